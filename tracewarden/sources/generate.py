@@ -1,0 +1,182 @@
+"""Synthetic agent traces, a function of the trace number and a seed."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewarden.schema import KEY_VALUES, SPAN_EVENTS, span_row, text_entry
+
+SECOND = 1_000_000_000
+MS = 1_000_000
+
+# Names, attributes and message texts of a generated trace (fixed values).
+SCOPE_NAME, SCOPE_VERSION = "strands-agents", "0.1.0"
+MODEL = "mistral-small-latest"
+AGENT_TOOLS = '["generate_image", "say_something_nice"]'
+SYSTEM_PROMPT = (
+    "\nYou are an expert in The Lord of the Rings (LOTR) universe.\n"
+    "You love all books and characters described in J. R. R. Tolkien novels, and related movies.\n"
+    "You are extremely knowledgeable about the LOTR universe, both from the books, movies, and TV shows.\n"
+)
+USER_MESSAGE = '[{"text": "Tell me about the Balrog"}]'
+ROOT_REPLY = '[{"text": "Ah, the Balrog... a fascinating and terrifying creature of Middle-earth!"}]'
+CHAT_REPLY = '[{"text": "The Balrog is a creature of shadow and flame..."}]'
+STREAM_URL = "https://api.mistral.ai/v1/chat/completions#stream"
+STREAM_HOST = "api.mistral.ai"
+
+
+def generate_spans(
+    spark: SparkSession,
+    n: int,
+    seed: int = 0,
+    base_nanos: int = 1_700_000_000 * SECOND,
+    spacing_nanos: int = 100 * MS,
+    service: str = "agent",
+) -> DataFrame:
+    """``n`` traces of four spans each; trace ``i`` starts ``i * spacing`` later."""
+    return spans_of_traces(
+        spark.range(n).select("id"), seed, F.lit(base_nanos) + F.col("id") * spacing_nanos, service
+    )
+
+
+def spans_of_traces(traces: DataFrame, seed: int, base: Column, service: str = "agent") -> DataFrame:
+    """Four spans per row of ``traces`` (column ``id``) that start at ``base``."""
+    number = F.col("id")
+
+    def draw(tag: str) -> Column:
+        return F.xxhash64(number, F.lit(seed), F.lit(tag))
+
+    def between(tag: str, low: int, high: int) -> Column:
+        return F.lit(low) + F.pmod(draw(tag), F.lit(high - low + 1))
+
+    def hex_draw(tag: str) -> Column:
+        return F.lower(F.lpad(F.hex(draw(tag)), 16, "0"))
+
+    def uuid_draw(tag: str) -> Column:
+        digits = F.concat(hex_draw(tag + "a"), hex_draw(tag + "b"))
+        parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+        return F.concat_ws("-", *[F.substring(digits, a, n) for a, n in parts])
+
+    chat_key = f"{service}.chat_id"
+    t = traces.select(
+        number,
+        base.cast("bigint").alias("base"),
+        F.concat(hex_draw("t1"), hex_draw("t2")).alias("trace"),
+        F.concat_ws(
+            "/",
+            F.lit(service),
+            uuid_draw("chat"),
+            F.floor(base / F.lit(SECOND)).cast("string"),
+        ).alias("chat"),
+        *[hex_draw(p).alias(p) for p in ("root", "loop", "reply", "stream")],
+    )
+    chat = F.col("chat")
+
+    def message(time: Column, name: str, *entries: Column) -> Column:
+        return F.struct(
+            time.cast("bigint").alias("time_unix_nano"),
+            F.lit(name).alias("name"),
+            F.array(*entries).cast(KEY_VALUES).alias("attributes"),
+            F.lit(0).alias("dropped_attributes_count"),
+        )
+
+    def span(own, parent, name, kind, start, end, entries, events=()):
+        return F.struct(
+            own.alias("span_id"),
+            parent.alias("parent_span_id"),
+            name.alias("name"),
+            F.lit(kind).alias("kind"),
+            start.cast("bigint").alias("start"),
+            end.cast("bigint").alias("end"),
+            F.array(text_entry(chat_key, chat), *entries).cast(KEY_VALUES).alias("attributes"),
+            F.array(*events).cast(SPAN_EVENTS).alias("events"),
+        )
+
+    def words(pairs: dict[str, str]) -> list[Column]:
+        return [text_entry(k, F.lit(v)) for k, v in pairs.items()]
+
+    start = F.col("base")
+    root_end = start + between("root_end", SECOND, 3 * SECOND)
+    chat_start = start + between("chat_start", 50 * MS, 100 * MS)
+    chat_end = chat_start + between("chat_length", SECOND // 2, 2 * SECOND)
+    stream_start = start + between("stream_start", 50 * MS, 100 * MS)
+    root = span(
+        F.col("root"), F.lit(""), F.concat(F.lit("invoke_agent "), chat), 1, start, root_end,
+        words({"gen_ai.operation.name": "invoke_agent", "gen_ai.system": SCOPE_NAME})
+        + [text_entry("gen_ai.agent.name", chat)]
+        + words({
+            "gen_ai.request.model": MODEL,
+            "gen_ai.agent.tools": AGENT_TOOLS,
+            "system_prompt": SYSTEM_PROMPT,
+        }),
+        [
+            message(start + between("root_ask", 10 * MS, 50 * MS), "gen_ai.user.message",
+                    *words({"content": USER_MESSAGE})),
+            message(root_end - between("root_reply", 10 * MS, 50 * MS), "gen_ai.choice",
+                    *words({"finish_reason": "end_turn", "message": ROOT_REPLY})),
+        ],
+    )
+    loop = span(
+        F.col("loop"), F.col("root"), F.lit("execute_event_loop_cycle"), 1,
+        start + between("loop_start", 10 * MS, 50 * MS),
+        start + between("loop_end", 2 * SECOND, 5 * SECOND),
+        [text_entry("event_loop.cycle_id", uuid_draw("cycle"))],
+    )
+    reply = span(
+        F.col("reply"), F.col("loop"), F.lit("chat"), 1, chat_start, chat_end,
+        words({
+            "gen_ai.operation.name": "chat",
+            "gen_ai.system": SCOPE_NAME,
+            "gen_ai.request.model": MODEL,
+        }),
+        [
+            message(chat_start + between("chat_ask", 10 * MS, 30 * MS), "gen_ai.user.message",
+                    *words({"content": USER_MESSAGE})),
+            message(chat_end - between("chat_reply", 10 * MS, 30 * MS), "gen_ai.choice",
+                    *words({"finish_reason": "end_turn", "message": CHAT_REPLY})),
+        ],
+    )
+    stream = span(
+        F.col("stream"), F.col("loop"), F.lit("stream_chat"), 3, stream_start,
+        stream_start + between("stream_length", SECOND // 2, 2 * SECOND),
+        words({
+            "agent.trace.public": "",
+            "http.request.method": "POST",
+            "http.url": STREAM_URL,
+            "server.address": STREAM_HOST,
+            "server.port": "443",
+            "gen_ai.request.model": MODEL,
+        }),
+    )
+    rows = t.select("trace", F.explode(F.array(root, loop, reply, stream)).alias("s"))
+    s = F.col("s")
+    resource = F.struct(
+        F.array(*words({
+            "service.name": service,
+            "telemetry.sdk.language": "python",
+            "telemetry.sdk.name": "opentelemetry",
+        })).cast(KEY_VALUES).alias("attributes"),
+        F.lit(0).alias("dropped_attributes_count"),
+    )
+    scope = F.struct(
+        F.lit(SCOPE_NAME).alias("name"),
+        F.lit(SCOPE_VERSION).alias("version"),
+        F.array().cast(KEY_VALUES).alias("attributes"),
+        F.lit(0).alias("dropped_attributes_count"),
+    )
+    return rows.select(
+        *span_row(
+            trace_id=F.col("trace"),
+            span_id=s["span_id"],
+            parent_span_id=s["parent_span_id"],
+            name=s["name"],
+            kind=s["kind"],
+            start_time_unix_nano=s["start"],
+            end_time_unix_nano=s["end"],
+            attributes=s["attributes"],
+            events=s["events"],
+            resource=resource,
+            scope=scope,
+        )
+    )

@@ -28,7 +28,7 @@ def duplicate_span_ids(spans: DataFrame) -> DataFrame:
     )
 
 
-def _climb(nodes: DataFrame) -> list[DataFrame]:
+def _climb(nodes: DataFrame, paths: bool = False) -> list[DataFrame]:
     """Pointer tables, one per round, the last one with every span at its root.
 
     ``nodes`` has trace_id, span_id, up (parent or NULL) and own (a number).
@@ -40,7 +40,7 @@ def _climb(nodes: DataFrame) -> list[DataFrame]:
             "trace_id", "span_id", "up", "own",
             F.lit(None).cast("bigint").alias("above"),
             F.lit(0).alias("depth"),
-            F.col("span_id").alias("path"),
+            (F.col("span_id") if paths else F.lit(None).cast("string")).alias("path"),
             F.when(F.col("up").isNull(), F.col("span_id")).alias("top"),
         )
     )
@@ -66,7 +66,7 @@ def _climb(nodes: DataFrame) -> list[DataFrame]:
             "own",
             F.greatest("above", "more_above").alias("above"),
             (F.col("depth") + F.col("more_depth") + 1).alias("depth"),
-            F.concat_ws("/", "more_path", "path").alias("path"),
+            (F.concat_ws("/", "more_path", "path") if paths else F.col("path")).alias("path"),
             F.col("next_top").alias("top"),
         )
         level = freeze(level.filter("up is null").unionByName(moved))
@@ -85,16 +85,18 @@ def _first_roots(spans: DataFrame) -> DataFrame:
     return spans.filter(root).groupBy("trace_id").agg(F.min("span_id").alias("top"))
 
 
+def _reached(spans: DataFrame, paths: bool) -> DataFrame:
+    done = _climb(_nodes(spans), paths)[-1].filter("up is null")
+    return done.join(_first_roots(spans), ["trace_id", "top"], "left_semi")
+
+
 def span_tree(spans: DataFrame) -> DataFrame:
     """Spans reachable from the root of their trace, with depth and path.
 
     ``spans`` has trace_id, span_id and parent_id, ids unique per trace.  Of
     several roots the one with the smallest id counts.
     """
-    reached = _climb(_nodes(spans))[-1].filter("up is null")
-    return reached.join(_first_roots(spans), ["trace_id", "top"], "left_semi").select(
-        "trace_id", "span_id", "depth", "path"
-    )
+    return _reached(spans, True).select("trace_id", "span_id", "depth", "path")
 
 
 def tree_errors(spans: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def tree_errors(spans: DataFrame) -> DataFrame:
     copies = duplicate_span_ids(spans).select("trace_id").distinct().withColumn("doubled", F.lit(1))
     totals = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"))
     unique = spans.dropDuplicates(["trace_id", "span_id"])
-    reached = span_tree(unique).groupBy("trace_id").agg(F.count(F.lit(1)).alias("reached"))
+    reached = _reached(unique, False).groupBy("trace_id").agg(F.count(F.lit(1)).alias("reached"))
     roots = _first_roots(spans).withColumn("rooted", F.lit(1)).drop("top")
     joined = (
         totals.join(reached, "trace_id", "left")

@@ -27,15 +27,15 @@ def sim_columns(rows: DataFrame, *others: str) -> DataFrame:
 
 
 def _bare(path: str) -> str:
-    return re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", path)
+    return re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", path).rstrip("/")
 
 
 def read_sim_spans(spark: SparkSession, paths: list[str], add_index: bool = True) -> DataFrame:
     """Spans of several files; a malformed or incomplete line fails the load.
 
-    With ``add_index`` the position of the file in ``paths`` is appended to
-    its trace ids, so that files with equal ids stay apart.  All files are one
-    scan; the positions join in from the list of paths.
+    With ``add_index`` the position of the file (or of its folder) in
+    ``paths`` is appended to its trace ids, so that files with equal ids stay
+    apart.  All files are one scan; the positions join in from the list.
     """
     rows = spark.read.schema(SIM_SPANS).option("mode", "FAILFAST").json(paths)
     file_path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "[+]", "%2B"))
@@ -53,12 +53,18 @@ def read_sim_spans(spark: SparkSession, paths: list[str], add_index: bool = True
     places = spark.createDataFrame(
         [(_bare(path), f"-{i}") for i, path in enumerate(paths)], "file string, place string"
     )
+    folders = places.select(F.col("file").alias("folder"), F.col("place").alias("folder_place"))
+    inside = spans.withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
     # One row per path the caller listed, so the size is that of the list.
-    placed = spans.join(F.broadcast(places), "file", "left")
-    place = F.when(
-        F.col("place").isNull(), F.raise_error(F.concat(F.lit("no listed file "), "file"))
-    ).otherwise(F.col("place"))
-    return placed.withColumn("trace_id", F.concat("trace_id", place)).drop("file", "place")
+    placed = inside.join(F.broadcast(places), "file", "left").join(
+        F.broadcast(folders), "folder", "left"
+    )
+    place = F.coalesce(
+        "place", "folder_place", F.raise_error(F.concat(F.lit("no listed file "), "file"))
+    )
+    return placed.withColumn("trace_id", F.concat("trace_id", place)).drop(
+        "file", "place", "folder", "folder_place"
+    )
 
 
 def sim_lines(sim_spans: DataFrame) -> DataFrame:

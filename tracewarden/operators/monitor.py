@@ -71,6 +71,11 @@ class Monitor:
     ttl_ms: int | None = None
     ignore_key: Callable[[Column], Column] | None = None
     ignore_session: Column | None = None
+    across_sessions: bool = True
+
+    def fold_keys(self) -> list[str]:
+        """What a state belongs to: the key since its last restart, or a session."""
+        return ["key", "generation"] if self.across_sessions else ["key", "session_start"]
 
     def carries(self, arrays, places, keys, starts):
         """State at the start of each chunk a key runs into, folded in turn."""
@@ -333,36 +338,52 @@ def evaluate(
     ``starts`` holds states to begin from, columns ``key`` and ``state``.
     """
     narrow = narrowed(spans, monitor)
+    if not isinstance(monitor, SumMonitor):
+        # The wide spans are read once; the passes below see narrow rows only.
+        narrow = freeze(narrow)
+    return evaluate_narrow(narrow, monitor, starts, chunks)
+
+
+def evaluate_narrow(
+    narrow: DataFrame,
+    monitor: Monitor,
+    starts: DataFrame | None = None,
+    chunks: int | None = None,
+) -> DataFrame:
+    """``evaluate`` for spans that ``narrowed`` has prepared."""
     if isinstance(monitor, SumMonitor):
-        events = monitor_events(monitored(narrow, monitor), monitor.features)
-        states = _session_totals(events, starts)
+        states = _session_totals(narrow, monitor, starts)
     else:
-        # The wide spans are read once; the passes below see narrow rows only.
-        states = _session_states(freeze(narrow), monitor, starts, chunks)
-    return states.withColumn("verdict", monitor.verdict(F.col("state")))
+        states = _session_states(narrow, monitor, starts, chunks)
+    return states.select(
+        "key", "generation", "session_start", "session_end", "state",
+        monitor.verdict(F.col("state")).alias("verdict"),
+    )
 
 
-def _session_totals(events: DataFrame, starts: DataFrame | None) -> DataFrame:
+def _session_totals(narrow: DataFrame, monitor: Monitor, starts: DataFrame | None) -> DataFrame:
+    events = monitor_events(monitored(narrow, monitor), monitor.features)
     per_session = events.groupBy("key", "generation", "session_start", "session_end").agg(
-        F.sum("amount").alias("amount")
+        F.sum("amount").alias("state")
     )
+    if not monitor.across_sessions:
+        return per_session
     # One row per session here, not per event.
     so_far = (
         Window.partitionBy("key", "generation")
         .orderBy("session_start")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    totals = per_session.withColumn("state", F.sum("amount").over(so_far))
-    if starts is not None:
-        totals = _with_starts(
-            totals, ["key", "generation"], starts, F.lit(0).cast("bigint")
-        ).withColumn("state", F.col("state") + F.col("_start"))
-    return totals.select("key", "generation", "session_start", "session_end", "state")
+    totals = per_session.withColumn("state", F.sum("state").over(so_far))
+    if starts is None:
+        return totals
+    started = _with_starts(totals, monitor.fold_keys(), starts, F.lit(0).cast("bigint"))
+    return started.withColumn("state", F.col("state") + F.col("_start"))
 
 
 def _session_states(narrow, monitor, starts, chunks) -> DataFrame:
     payload = list(monitor.features)
-    keys = ["key", "generation"]
+    keys = monitor.fold_keys()
     events = monitor_events(monitored(narrow, monitor), monitor.features)
     rows = events.withColumn("mark", F.lit(False))
     # A mark stands for the end of a session; it moves nothing.
@@ -377,12 +398,12 @@ def _session_states(narrow, monitor, starts, chunks) -> DataFrame:
     else:
         inner = monitor.step
         folding = replace(monitor, step=lambda s, e: F.when(e["mark"], s).otherwise(inner(s, e)))
+    order = [c for c in FOLD_ORDER if c not in keys]
+    carried = [c for c in ("session_end", "generation") if c not in keys]
     folded = fold(
-        rows.unionByName(marks), keys, FOLD_ORDER, ["session_end", *payload], folding, starts, chunks
-    )
-    return folded.filter("mark").select(
-        "key", "generation", "session_start", "session_end", "state"
+        rows.unionByName(marks), keys, order, [*carried, *payload], folding, starts, chunks
     )
+    return folded.filter("mark")
 
 
 def evaluate_steps(
@@ -391,8 +412,8 @@ def evaluate_steps(
     """State and verdict after every event."""
     placed = monitored(narrowed(spans, monitor), monitor)
     events = monitor_events(placed, monitor.features)
-    keys = ["key", "generation"]
-    order = ["session_start", *EVENT_ORDER]
+    keys = monitor.fold_keys()
+    order = [c for c in ["session_start", *EVENT_ORDER] if c not in keys]
     if isinstance(monitor, SumMonitor):
         states = ordered.running_sums(
             events, keys, order, {"state": F.col("amount")}, chunks

@@ -755,16 +755,9 @@ def d14_multiple_root_errors(spark, d):
 SELECT key, session_start, CAST(sum(CASE WHEN name = 'error' THEN end_ns - start_ns ELSE 0 END) AS BIGINT) AS state
 FROM deduped GROUP BY ALL""")
 def e2_evaluate(spark, d):
-    """Each session by itself: the session is part of the key."""
-    placed = ss.sessionize(keyed(spark, d), GAP)
-    own = placed.withColumn("key", F.concat_ws("@", "key", F.col("session_start").cast("string")))
-    own = own.withColumn("attributes", F.filter(attrs(), lambda a: a["key"] == "event.type"))
-    # Spans keep their trace id as key, so the session key takes its place.
-    as_traces = own.withColumn("trace_id", F.col("key"))
-    states = monitor.evaluate(as_traces, errors_monitor())
-    return states.select(
-        F.substring_index("key", "@", 1).alias("key"), "session_start", "state"
-    )
+    """Each session by itself."""
+    m = errors_monitor(key_attribute="bucket", across_sessions=False)
+    return monitor.evaluate(events(spark, d), m).select("key", "session_start", "state")
 
 
 def last_error_monitor(**settings) -> monitor.Monitor:

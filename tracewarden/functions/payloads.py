@@ -37,7 +37,8 @@ def escape_json(text: Column) -> Column:
     already; only texts that hold other characters pay for the per-character
     part.
     """
-    quoted = F.to_json(F.struct(text.alias("t")))
+    # A NULL text gives an object without the field.
+    quoted = let(F.to_json(F.struct(text.alias("t"))), lambda q: F.nullif(q, F.lit("{}")))
     inner = let(quoted, lambda q: F.substring(q, F.lit(7), F.length(q) - 8))
     escapes = F.replace(inner, F.lit("/"), F.lit("\\/"))
 

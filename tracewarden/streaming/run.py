@@ -120,13 +120,16 @@ class MonitorStream:
         """Judge closed sessions from the last finished state of their key.
 
         A session fires when the watermark passes its end, and again when a
-        late span reaches it; sessions of the key behind it fire with it.
+        late span reaches it; sessions of the key behind it fire with it.  A
+        key whose sessions become final is folded too, for the state to keep.
         """
         closed = placed.filter(F.col("session_end") <= high)
+        fires = F.col("changed") | (F.col("session_end") > low)
+        finishes = F.col("session_end") + self.monitor.lateness_ms <= high
         due = (
-            closed.filter(F.col("changed") | (F.col("session_end") > low))
+            closed.filter(fires | finishes)
             .groupBy("key")
-            .agg(F.min("session_start").alias("due_from"))
+            .agg(F.min(F.when(fires, F.col("session_start"))).alias("due_from"))
         )
         done = closed.join(due.select("key"), "key", "left_semi").select(*columns)
         states = self._states(batch_id - 1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions.spans import is_root
 from tracewarden.operators.ordered import next_values
 from tracewarden.operators.sessions import sessionize, sessions, tumbling_letters
+from tracewarden.session import freeze
 
 
 def _flag(p: Column) -> Column:
@@ -77,9 +78,11 @@ def bounded_response(
     rows are ordered by ``order``.  While rows may still come, a ``p`` whose
     bound has not passed yet leaves the check undecided.
     """
-    needed = rows.select(
-        *keys, *order, *([position] if position not in order else []),
-        _flag(p).alias("_p"), F.when(_flag(q), F.col(position)).alias("_q"),
+    needed = freeze(
+        rows.select(
+            *keys, *order, *([position] if position not in order else []),
+            _flag(p).alias("_p"), F.when(_flag(q), F.col(position)).alias("_q"),
+        )
     )
     # Only rows with p or q take part; the end of the key is an aggregate.
     ends = needed.groupBy(*keys).agg(F.max(position).alias("_end"))

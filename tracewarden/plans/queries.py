@@ -15,7 +15,7 @@ from tracewarden.plans import sql
 from tracewarden.schema import (
     KEY_VALUES, attribute_entry, bool_value, double_value, number_value, text_value,
 )
-from tracewarden.session import shared_dir
+from tracewarden.session import freeze, shared_dir
 from tracewarden.sinks import text as text_sink, verdicts as verdict_sink
 from tracewarden.sources import generate, otlp, simspans, tables
 
@@ -618,6 +618,7 @@ def d2_to_events(spark, d):
     return ss.to_events(events(spark, d)).select("span_id", "is_end", F.col("epoch_unix_nano").alias("epoch_ns"))
 
 
+_EVENT = "row(epoch_ns, trace_id, span_id, is_end)"
 _SEQ = "row_number() OVER (PARTITION BY key, session_start ORDER BY epoch_ns, trace_id, span_id, is_end)"
 
 
@@ -950,6 +951,43 @@ def e16_verdict_summary(spark, d):
     return monitor.verdict_summary(two_monitors(spark, d))
 
 
+SHIP_LIMIT = 200 * DAY_NS
+
+
+@query("e10_duration_of_orders", f"""WITH {_ORDER_SESSIONS},
+{sql.duration_verdicts(SHIP_LIMIT, "name = 'ship'", "days on the way")} SELECT {_VERDICT} FROM judged""")
+def e10_duration_of_orders(spark, d):
+    m = properties.duration_safety(
+        "days on the way", matches=F.col("name") == "ship", limit_nanos=SHIP_LIMIT, gap_ms=GAP
+    )
+    return monitor.run_monitor(orders(spark, d), m)
+
+
+def shipping_monitor() -> monitor.StateMonitor:
+    """After an order has begun, three of its lines are shipped."""
+    states = ["none", 0, 1, 2, 3]
+    ends = F.col("is_end")
+    rules = [
+        monitor.Rule("order", ~ends & (F.col("name") == "order"), {"none": 0}),
+        monitor.Rule("ship", ends & (F.col("name") == "ship"), {0: 1, 1: 2, 2: 3}),
+    ]
+    return monitor.StateMonitor.of(
+        "three lines shipped", states, "none", rules, {3: True, "none": False}, gap_ms=GAP
+    )
+
+
+@query("e11_states_of_orders", f"""WITH {_ORDER_SESSIONS},
+begun AS (SELECT key, session_start, min({_EVENT}) AS first FROM evs WHERE NOT is_end AND name = 'order' GROUP BY ALL),
+shipped AS (
+  SELECT e.key, e.session_start, session_end, any_value(first) IS NULL AS unordered,
+         count(*) FILTER (WHERE is_end AND name = 'ship' AND {_EVENT} > first) AS n
+  FROM evs e LEFT JOIN begun b ON e.key = b.key AND e.session_start = b.session_start GROUP BY ALL)
+SELECT key, session_start, session_end, 'three lines shipped' AS propertyName,
+       CASE WHEN unordered THEN 'False' WHEN n >= 3 THEN 'True' ELSE 'Undecided' END AS truthValue FROM shipped""")
+def e11_states_of_orders(spark, d):
+    return monitor.run_monitor(orders(spark, d), shipping_monitor())
+
+
 # --- temporal checks -------------------------------------------------------
 
 SEQ = ["epoch_unix_nano", "trace_id", "span_id", "is_end"]
@@ -961,7 +999,8 @@ def session_rows(spark, d):
     spans = keyed(spark, d).select(
         "key", *IDS, "start_time_unix_nano", "end_time_unix_nano", "name", "parent_span_id"
     )
-    return ss.session_events(spans, GAP)
+    # Each check reads the rows twice, on closed and on open sequences.
+    return freeze(ss.session_events(spans, GAP))
 
 
 def both(check: Callable[[bool], DataFrame]) -> DataFrame:

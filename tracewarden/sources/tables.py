@@ -19,7 +19,17 @@ SECOND = 1_000_000_000
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{table}.parquet"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are task slots, over all slots.
+
+    A file of one row group is one task, however much work follows per row.
+    Large inputs have splits enough and are left as they are.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
 
 
 def utc_micros(df: DataFrame, column: str) -> Column:

@@ -77,16 +77,18 @@ class Monitor:
         """What a state belongs to: the key since its last restart, or a session."""
         return ["key", "generation"] if self.across_sessions else ["key", "session_start"]
 
-    def carries(self, arrays, places, keys, starts):
-        """State at the start of each chunk a key runs into, folded in turn."""
-        folder = f"{shared_dir(arrays.sparkSession)}/{uuid.uuid4().hex}"
-        parts = arrays.join(F.broadcast(places), [*keys, CHUNK])
+    def carries(self, parts, keys, starts):
+        """State at the start of each chunk a key runs into, folded in turn.
+
+        ``parts`` are the arrays of the keys that lie in several chunks.
+        """
+        spark = parts.sparkSession
+        folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         parts.write.partitionBy("_place").parquet(f"{folder}/parts")
-        spark = arrays.sparkSession
-        last = places.agg(F.max("_place")).first()[0]
+        parts = spark.read.schema(parts.schema).parquet(f"{folder}/parts")
+        last = parts.agg(F.max("_place")).first()[0]
         if last is None:
             return None
-        parts = spark.read.parquet(f"{folder}/parts")
         fold = F.aggregate("items", F.col("_start"), self.step).alias("_start")
         state = parts.filter("_place = 1").drop("_place")
         state = _with_starts(state, keys, starts, self.init).select(*keys, fold)
@@ -94,7 +96,7 @@ class Monitor:
             here = parts.filter(F.col("_place") == place).join(freeze(state), keys)
             here.select(*keys, CHUNK, "_start").write.mode("append").parquet(f"{folder}/starts")
             state = here.select(*keys, fold)
-        return spark.read.parquet(f"{folder}/starts")
+        return spark.read.schema(here.select(*keys, CHUNK, "_start").schema).parquet(f"{folder}/starts")
 
 
 @dataclass(frozen=True)
@@ -155,7 +157,7 @@ class StateMonitor(Monitor):
             **settings,
         )
 
-    def carries(self, arrays, places, keys, starts):
+    def carries(self, parts, keys, starts):
         size = len(self.states)
         moves = F.array(*[F.lit(t) for t in self.table])
         same = F.array(*[F.lit(i) for i in range(size)])
@@ -164,9 +166,7 @@ class StateMonitor(Monitor):
             same,
             lambda m, e: F.transform(m, lambda s: F.get(moves, e["letter"] * size + s)),
         )
-        parts = arrays.join(F.broadcast(places), [*keys, CHUNK]).select(
-            *keys, F.struct("_place", CHUNK, stretch.alias("map")).alias("part")
-        )
+        parts = parts.select(*keys, F.struct("_place", CHUNK, stretch.alias("map")).alias("part"))
         # One entry per chunk of the key, so at most as many as partitions.
         per_key = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
         per_key = _with_starts(per_key, keys, starts, self.init)
@@ -211,10 +211,11 @@ def _states_after(items: Column, start: Column, step) -> Column:
     )
 
 
-def _traced(arrays: DataFrame, keys: list[str], step) -> DataFrame:
+def _traced(arrays: DataFrame, keys: list[str], step, keep: str | None = None) -> DataFrame:
     """Rows of the arrays again, each with the state after it.
 
     Arrays are taken in blocks so that writing the states down stays linear.
+    With ``keep`` only rows flagged by that field come out.
     """
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("items") - 1) / BLOCK).cast("int")),
@@ -236,6 +237,8 @@ def _traced(arrays: DataFrame, keys: list[str], step) -> DataFrame:
     )
     block, start = F.col("b.blocks"), F.col("b.starts")
     rows = F.arrays_zip(block.alias("item"), _states_after(block, start, step).alias("state"))
+    if keep is not None:
+        rows = F.filter(rows, lambda r: r["item"][keep])
     return per_block.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.item.*", "r.state")
 
 
@@ -247,23 +250,26 @@ def fold(
     monitor: Monitor,
     starts: DataFrame | None = None,
     chunks: int | None = None,
+    keep: str | None = None,
 ) -> DataFrame:
-    """State after each row, folding each key's rows in order.
+    """State after each row (or each kept row), folding each key's rows in order.
 
     Each task holds one chunk of a key at a time.  Only keys that run over a
     chunk border need a carried state, at most one per chunk.
     """
     placed = ordered.into_chunks(rows, keys, order, chunks)
     arrays = ordered.arrays_per_chunk(placed, keys, order, payload)
-    places = ordered.spanning(placed, keys)
-    carry = monitor.carries(arrays, places, keys, starts)
+    # At most one row per chunk and per chunk border.
+    places = F.broadcast(ordered.spanning(placed, keys))
+    parts = ordered.arrays_per_chunk(placed.join(places, [*keys, CHUNK], "left_semi"), keys, order, payload)
+    carry = monitor.carries(parts.join(places, [*keys, CHUNK]), keys, starts)
     started = _with_starts(arrays, keys, starts, monitor.init)
     if carry is not None:
         carry = carry.withColumnRenamed("_start", "_carried")
         started = started.join(F.broadcast(carry), [*keys, CHUNK], "left").withColumn(
             "_start", F.coalesce("_carried", "_start")
         )
-    return _traced(started, keys, monitor.step)
+    return _traced(started, keys, monitor.step, keep)
 
 
 def _narrow(spans: DataFrame, features: dict[str, Column]) -> DataFrame:
@@ -400,10 +406,9 @@ def _session_states(narrow, monitor, starts, chunks) -> DataFrame:
         folding = replace(monitor, step=lambda s, e: F.when(e["mark"], s).otherwise(inner(s, e)))
     order = [c for c in FOLD_ORDER if c not in keys]
     carried = [c for c in ("session_end", "generation") if c not in keys]
-    folded = fold(
-        rows.unionByName(marks), keys, order, [*carried, *payload], folding, starts, chunks
+    return fold(
+        rows.unionByName(marks), keys, order, [*carried, *payload], folding, starts, chunks, "mark"
     )
-    return folded.filter("mark")
 
 
 def evaluate_steps(

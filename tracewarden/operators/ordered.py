@@ -35,8 +35,8 @@ def into_chunks(
 
 def _carried(per_chunk: DataFrame, keys: list[str]) -> DataFrame:
     """Only the rows of keys that lie in several chunks."""
-    several = per_chunk.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return per_chunk.join(several.drop("_n"), keys, "left_semi")
+    chunks = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return per_chunk.withColumn("_n", chunks).filter("_n > 1").drop("_n")
 
 
 def running_sums(
@@ -104,25 +104,27 @@ def next_values(
     """
     names = list(values)
     rows = into_chunks(df.withColumns(values), keys, order, chunks)
-    following = (
+    # Looking back in reverse order: one pass, where a frame that reaches to the
+    # end of the group would be worked out anew for each row.
+    backwards = (
         Window.partitionBy(CHUNK, *keys)
-        .orderBy(*order)
-        .rowsBetween(int(strict), Window.unboundedFollowing)
+        .orderBy(*[F.desc(c) for c in order])
+        .rowsBetween(Window.unboundedPreceding, -int(strict))
     )
-    local = rows.withColumns({n: F.first(n, ignorenulls=True).over(following) for n in names})
+    local = rows.withColumns({n: F.last(n, ignorenulls=True).over(backwards) for n in names})
     position = F.struct(*order)
     per_chunk = rows.groupBy(*keys, CHUNK).agg(
         *[F.min_by(n, F.when(F.col(n).isNotNull(), position)).alias(n) for n in names]
     )
     after = (
-        Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+        Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
         _carried(per_chunk, keys)
         .select(
             *keys,
             CHUNK,
-            *[F.first(n, ignorenulls=True).over(after).alias(f"_c{n}") for n in names],
+            *[F.last(n, ignorenulls=True).over(after).alias(f"_c{n}") for n in names],
         )
         .dropna("all", subset=[f"_c{n}" for n in names])
     )
@@ -143,6 +145,5 @@ def arrays_per_chunk(
 def spanning(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``(key, chunk, place)`` of keys that lie in several chunks, place from 1."""
     places = _carried(rows.select(*keys, CHUNK).distinct(), keys)
-    return places.withColumn(
-        "_place", F.row_number().over(Window.partitionBy(*keys).orderBy(CHUNK))
-    )
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(CHUNK))
+    return freeze(places.withColumn("_place", place))

@@ -56,7 +56,11 @@ def session_slices(spans: DataFrame, gap_ms: int, ttl_ms: int | None = None) ->
     )
     by_time = Window.partitionBy("key").orderBy("slice")
     up_to_here = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = by_time.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    from_the_end = (
+        Window.partitionBy("key")
+        .orderBy(F.desc("slice"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     pause = F.col("low") - F.lag("high").over(by_time)
     ending = F.lead("low").over(by_time) - F.col("high")
     expired = F.lit(0)
@@ -70,10 +74,10 @@ def session_slices(spans: DataFrame, gap_ms: int, ttl_ms: int | None = None) ->
                     F.when(F.col("pause").isNull() | (F.col("pause") > gap_ms), F.col("low")),
                     ignorenulls=True,
                 ).over(up_to_here),
-                "session_end": F.first(
+                "session_end": F.last(
                     F.when(F.col("ending").isNull() | (F.col("ending") > gap_ms), F.col("high")),
                     ignorenulls=True,
-                ).over(from_here)
+                ).over(from_the_end)
                 + gap_ms,
                 "generation": F.sum(expired).over(up_to_here).cast("int"),
             }

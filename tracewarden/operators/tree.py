@@ -8,8 +8,6 @@ is written out; nothing is gathered per trace.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +42,15 @@ def _climb(nodes: DataFrame, paths: bool = False) -> list[DataFrame]:
             F.when(F.col("up").isNull(), F.col("span_id")).alias("top"),
         )
     )
-    largest = level.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 1
-    levels = [level]
-    for _ in range(max(1, math.ceil(math.log2(largest + 1)))):
+    levels, waiting = [level], None
+    while True:
         pending = level.filter("up is not null")
-        if pending.isEmpty():
+        # Every round some span reaches its root, unless all that wait are on
+        # a cycle or below one.
+        left = pending.count()
+        if left == 0 or left == waiting:
             break
+        waiting = left
         higher = level.select(
             "trace_id",
             F.col("span_id").alias("up"),
@@ -130,7 +131,7 @@ def effective_timeline(sim_spans: DataFrame, pad_ms: int = PAD_MS) -> DataFrame:
     A span starts at its offset but not before its parent; it ends after its
     duration but not before its children.
     """
-    spans = sim_spans.withColumn("offset", F.col("start_offset_ms") + pad_ms)
+    spans = freeze(sim_spans.withColumn("offset", F.col("start_offset_ms") + pad_ms))
     levels = _climb(_nodes(spans, "offset"))
     starts = levels[-1].filter("up is null").select(
         "trace_id",
@@ -139,7 +140,7 @@ def effective_timeline(sim_spans: DataFrame, pad_ms: int = PAD_MS) -> DataFrame:
         F.col("above").alias("parent_start_ms"),
         F.greatest("own", "above").alias("start_ms"),
     )
-    planned = spans.join(starts, ["trace_id", "span_id"])
+    planned = freeze(spans.join(starts, ["trace_id", "span_id"]))
     ends = freeze(
         planned.select(
             "trace_id", "span_id", (F.col("start_ms") + F.col("duration_ms")).alias("end_ms")

@@ -191,6 +191,14 @@ def test_state_monitor_against_brute_force(hot_spans, chunks, ttl_ms):
     assert got == want
 
 
+def test_state_monitor_over_bounded_chunks(hot_spans, monkeypatch):
+    monkeypatch.setattr(m.ordered, "CHUNK_BITS", 4)
+    _, df = hot_spans
+    small = states_of(m.evaluate(df, state_monitor(), chunks=2))
+    monkeypatch.undo()
+    assert small == states_of(m.evaluate(df, state_monitor(), chunks=1))
+
+
 @pytest.mark.parametrize("chunks", [1, 25])
 def test_general_fold_against_brute_force(hot_spans, chunks):
     rows, df = hot_spans

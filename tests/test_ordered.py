@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracewarden.operators import ordered
 from tracewarden.operators.ordered import CHUNK, into_chunks, next_values, numbered, running_sums, spanning
 
 
@@ -60,6 +61,20 @@ def test_next_values(rows, strict, chunks):
             assert found[(key, at)] == (q, w)
 
 
+def test_chunks_are_bounded_in_one_partition(rows, monkeypatch):
+    data, df = rows
+    monkeypatch.setattr(ordered, "CHUNK_BITS", 5)
+    placed = into_chunks(df, ["key"], ["at"], 2)
+    assert placed.groupBy(CHUNK).count().agg(F.max("count")).first()[0] <= 32
+    got = running_sums(df, ["key"], ["at"], {"total": F.col("v"), "n": F.lit(1)}, 2)
+    want = {}
+    for key, at, v, _ in sorted(data):
+        total, n = want.get(key, (0, 0))
+        want[key] = (total + v, n + 1)
+    last = got.groupBy("key").agg(F.max_by(F.struct("total", "n"), "at").alias("s"))
+    assert {r.key: tuple(r.s) for r in last.collect()} == want
+
+
 def test_a_large_key_covers_many_chunks_and_carries_stay_few(rows):
     _, df = rows
     placed = into_chunks(df, ["key"], ["at"], 40)

@@ -2,12 +2,13 @@
 
 A window partitioned by key puts every row of a key into one task, which a key
 with a large share of all rows cannot afford.  Here rows are range-partitioned
-by (key, order), so that a large key covers many partitions ("chunks") of
-about equal size.  Each chunk is worked on by itself, and what crosses a chunk
-border goes into a *carry* table.  Rows are sorted by key, so only the first
-key of a chunk can continue from the chunk before: a carry table never has
-more rows than there are chunks, which is the number of shuffle partitions.
-That bound, not the data, is why carry tables are broadcast.
+and sorted by (key, order) and cut into "chunks" of at most ``2 ** CHUNK_BITS``
+rows, so that a large key covers many chunks.  Each chunk is worked on by
+itself, and what crosses a chunk border goes into a *carry* table.  Rows are
+sorted by key, so only the first key of a chunk can continue from the chunk
+before: a carry table never has more rows than there are chunks, that is
+rows / 2 ** CHUNK_BITS + shuffle partitions (some two million short rows for
+5e11 input rows).  That bound is why carry tables are broadcast.
 """
 
 from __future__ import annotations
@@ -18,19 +19,23 @@ from pyspark.sql import functions as F
 from tracewarden.session import freeze
 
 CHUNK = "_chunk"
+CHUNK_BITS = 18
 
 
 def into_chunks(
     df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None
 ) -> DataFrame:
-    """Rows with the number of the range they fall in, written out once.
+    """Rows with the number of their chunk, written out once.
 
     Range borders come from a sample and differ between runs of a plan, so the
     numbered rows are frozen before they are used twice.
     """
     by = [*keys, *order]
     ranged = df.repartitionByRange(chunks, *by) if chunks else df.repartitionByRange(*by)
-    return freeze(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    # The id counts the sorted rows of a partition up from the partition's own
+    # base, so its upper bits number runs of rows in (key, order).
+    place = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
+    return freeze(ranged.sortWithinPartitions(*by).withColumn(CHUNK, place))
 
 
 def _carried(per_chunk: DataFrame, keys: list[str]) -> DataFrame:

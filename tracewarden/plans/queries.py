@@ -422,7 +422,14 @@ def c5_any_value_to_string(spark, d):
     )
 
 
-@query("c6_escape_json")
+@query("c6_escape_json", r"""
+SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE
+    WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = '/' THEN '\/'
+    WHEN unicode(c) = 10 THEN '\n' WHEN unicode(c) = 13 THEN '\r' WHEN unicode(c) = 9 THEN '\t'
+    WHEN unicode(c) = 8 THEN '\b' WHEN unicode(c) = 12 THEN '\f'
+    WHEN unicode(c) > 65535 THEN printf('\u%04X\u%04X', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023))
+    WHEN unicode(c) > 127 OR unicode(c) < 32 THEN printf('\u%04X', unicode(c)) ELSE c END), '') AS escaped
+FROM documents""")
 def c6_escape_json(spark, d):
     return tables.load(spark, d, "documents").select(
         "doc_id", payloads.escape_json(F.col("text")).alias("escaped")

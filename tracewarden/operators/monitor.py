@@ -167,21 +167,11 @@ class StateMonitor(Monitor):
             lambda m, e: F.transform(m, lambda s: F.get(moves, e["letter"] * size + s)),
         )
         parts = parts.select(*keys, F.struct("_place", CHUNK, stretch.alias("map")).alias("part"))
-        # One entry per chunk of the key, so at most as many as partitions.
-        per_key = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+        # One entry per chunk of the key, each a short map.
+        per_key = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("items"))
         per_key = _with_starts(per_key, keys, starts, self.init)
-        before = F.aggregate(
-            "parts",
-            F.struct(F.col("_start").alias("s"), F.array_repeat("_start", 0).alias("out")),
-            lambda acc, p: F.struct(
-                F.get(p["map"], acc["s"]).alias("s"), F.array_append(acc["out"], acc["s"]).alias("out")
-            ),
-            lambda acc: acc["out"],
-        )
-        entry = F.explode(
-            F.zip_with("parts", before, lambda p, s: F.struct(p[CHUNK].alias(CHUNK), s.alias("_start")))
-        )
-        return per_key.select(*keys, entry.alias("e")).select(*keys, f"e.{CHUNK}", "e._start")
+        entered = _traced(per_key, keys, lambda s, part: F.get(part["map"], s), before=True)
+        return entered.select(*keys, CHUNK, F.col("state").alias("_start"))
 
 
 def _with_starts(df: DataFrame, keys: list[str], starts: DataFrame | None, init: Column):
@@ -199,20 +189,23 @@ def _with_starts(df: DataFrame, keys: list[str], starts: DataFrame | None, init:
     )
 
 
-def _states_after(items: Column, start: Column, step) -> Column:
-    """State after each item of a short array."""
+def _states(items: Column, start: Column, step, before: bool) -> Column:
+    """State after (or before) each item of a short array."""
+    after = lambda acc: F.concat(F.slice(acc["out"], 2, F.size(acc["out"])), F.array(acc["s"]))
     return F.aggregate(
         items,
         F.struct(start.alias("s"), F.array_repeat(start, 0).alias("out")),
         lambda acc, e: F.struct(
             step(acc["s"], e).alias("s"), F.array_append(acc["out"], acc["s"]).alias("out")
         ),
-        lambda acc: F.concat(F.slice(acc["out"], 2, F.size(acc["out"])), F.array(acc["s"])),
+        (lambda acc: acc["out"]) if before else after,
     )
 
 
-def _traced(arrays: DataFrame, keys: list[str], step, keep: str | None = None) -> DataFrame:
-    """Rows of the arrays again, each with the state after it.
+def _traced(
+    arrays: DataFrame, keys: list[str], step, keep: str | None = None, before: bool = False
+) -> DataFrame:
+    """Rows of the arrays again, each with the state after (or before) it.
 
     Arrays are taken in blocks so that writing the states down stays linear.
     With ``keep`` only rows flagged by that field come out.
@@ -222,21 +215,15 @@ def _traced(arrays: DataFrame, keys: list[str], step, keep: str | None = None) -
         lambda i: F.slice("items", i * BLOCK + 1, BLOCK),
     )
     cut = arrays.select(*keys, "_start", blocks.alias("blocks"))
-    starts = F.aggregate(
-        "blocks",
-        F.struct(F.col("_start").alias("s"), F.array_repeat("_start", 0).alias("out")),
-        lambda acc, b: F.struct(
-            F.aggregate(b, acc["s"], step).alias("s"),
-            F.array_append(acc["out"], acc["s"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    starts = _states(
+        F.col("blocks"), F.col("_start"), lambda s, b: F.aggregate(b, s, step), before=True
     )
     starts = F.when(F.size("blocks") == 1, F.array("_start")).otherwise(starts)
     per_block = cut.select(
         *keys, F.explode(F.arrays_zip("blocks", starts.alias("starts"))).alias("b")
     )
     block, start = F.col("b.blocks"), F.col("b.starts")
-    rows = F.arrays_zip(block.alias("item"), _states_after(block, start, step).alias("state"))
+    rows = F.arrays_zip(block.alias("item"), _states(block, start, step, before).alias("state"))
     if keep is not None:
         rows = F.filter(rows, lambda r: r["item"][keep])
     return per_block.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.item.*", "r.state")

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,7 +66,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text, or of one longer text."""
-    sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0))
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0))
     start, held = 0, 0
     for k, size in enumerate(sizes.tolist()):
         if k > start and held + size > limit:

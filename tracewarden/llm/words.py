@@ -29,7 +29,7 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 _GRAM_STEPS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 
 
 class Words(NamedTuple):

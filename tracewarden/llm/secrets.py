@@ -111,6 +111,16 @@ def _hot(found: Column, scan: Scan) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(found)), none, step)
 
 
+def _cut_out(place: Column, scan: Scan) -> Column:
+    """The stretch of a found string that is hot; null if none is."""
+
+    def ends(hot):
+        first, last = place["start"] + hot["first"] - scan.window, place["start"] + hot["last"]
+        return F.when(hot["first"].isNotNull(), F.struct(first.alias("start"), last.alias("end")))
+
+    return F.transform(F.array(_hot(place["found"], scan)), ends)[0]
+
+
 def _random(text: Column, scans: tuple[Scan, ...], allow: tuple[str, ...]) -> Column:
     """Stretches of candidates whose windows reach their class's entropy."""
 
@@ -121,15 +131,7 @@ def _random(text: Column, scans: tuple[Scan, ...], allow: tuple[str, ...]) -> Co
             allowed = allowed | found.rlike(pattern)
         out = F.lit(None).cast("struct<start:int,end:int>")
         for scan in reversed(scans):
-            hot = _hot(found, scan)
-            cut = F.transform(
-                F.array(hot),
-                lambda h, scan=scan: F.when(
-                    h["first"].isNotNull(),
-                    F.struct((s["start"] + h["first"] - scan.window).alias("start"), (s["start"] + h["last"]).alias("end")),
-                ),
-            )[0]
-            out = F.when(found.rlike(scan.like), cut).otherwise(out)
+            out = F.when(found.rlike(scan.like), _cut_out(s, scan)).otherwise(out)
         return F.when(~allowed, out)
 
     some = F.filter(_places(text, CANDIDATE), lambda s: s["found"].rlike("[0-9]"))

@@ -92,8 +92,8 @@ def _plain(pattern: str, kind: str, place: int) -> str:
     # Matches with their places: a match ends where the gaps and matches so far end.
     whole = _quoted(pattern)
     return f"""
-    select r, {place} as place, '{kind}' as kind, at - len(m) as start, at as stop, m from (
-      select r, m, sum(len(gap) + len(m)) over (partition by r order by i) as at from (
+    select r, {place} as place, '{kind}' as kind, pos - len(m) as start, pos as stop, m from (
+      select r, m, sum(len(gap) + len(m)) over (partition by r order by i) as pos from (
         select r, unnest(ms) as m, unnest(gs) as gap, unnest(range(len(ms))) as i from (
           select r, regexp_extract_all(text, {whole}) as ms,
             string_split_regex(text, {whole})[:len(regexp_extract_all(text, {whole}))] as gs from docs)))

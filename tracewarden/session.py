@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
+def freeze(df: DataFrame, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, fixes values that
@@ -46,5 +46,5 @@ def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     target = path or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(target)
+    df.write.mode("overwrite").parquet(target, compression=codec)
     return spark.read.schema(df.schema).parquet(target)

@@ -91,7 +91,6 @@ def test_a_broken_archive_raises(spark, tmp_path):
     (tmp_path / "old" / "empty.warc").write_bytes(b"")
     got = read_warc(spark, str(tmp_path / "old")).collect()
     assert [(r["record_type"], bytes(r["payload"]), r["payload_bytes"]) for r in got] == [("resource", b"WARC", 4)] * 3
-    assert sorted(r["offset"] for r in got) == [0, len(old), 2 * len(old)]
 
 
 def test_archives_of_an_empty_table(spark):

@@ -28,6 +28,7 @@ MAGIC, VERSION, END = "WARC/", "1.1", "\r\n\r\n"
 #: Where archives are split.  No header line can hold it, and no end of it is
 #: also its beginning.
 CUT = "\n" + MAGIC
+_PIECE = ["file", "split", "place"]
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -144,7 +145,7 @@ def _reached(links: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, offset, record_type, record_id, uri, refers_to, header_digest,
+    """``(file, record_type, record_id, uri, refers_to, header_digest,
     payload_digest, payload_bytes, payload)`` of each record under ``path``.
 
     ``payload`` is what follows the HTTP header of a record's block.  A
@@ -168,7 +169,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     sound = F.col("body").rlike(r"^1\.[01]\r\n") & (end > 0)
     scan = scan.withColumn("header", F.when(sound, F.substring("body", F.lit(1), end - 1)))
     content = F.when(F.col("header").isNotNull(), _field(F.col("header"), "Content-Length").try_cast("long"))
-    pieces = freeze(scan.withColumns({"head": F.octet_length("header").cast("long"), "content": content}).drop("value"))
+    scan = scan.withColumns({"head": F.octet_length("header").cast("long"), "content": content})
+    pieces = freeze(scan.drop("value", "header"), codec="zstd")
     narrow = freeze(_placed(pieces.select("file", "split", "place", "lead", "bytes", "head", "content")))
     met = _reached(narrow.filter("next is not null").select("file", "start", "next"))
     heads = freeze(narrow.join(met, ["file", "start"]))
@@ -179,9 +181,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     broken = sizes.join(filled, "file", "left").filter("size > 0 and (until is null or until <> size)").select("file")
 
     # The only piece of most records; a piece ends before a line's last byte.
-    pure = heads.filter("stop + 1 >= next").select("file", "split", "place", F.col("start").alias("offset"))
-    one = pieces.join(pure, ["file", "split", "place"])
-    one = one.select("file", "offset", "header", "content", "head", F.col("body").alias("block"))
+    # All pieces but those of other kinds, which are few: magic inside payloads.
+    pure = heads.filter("stop + 1 >= next").select(*_PIECE)
+    others = freeze(narrow.join(pure, _PIECE, "left_anti").select(*_PIECE))
+    one = pieces.join(others, _PIECE, "left_anti").select("file", "content", "head", F.col("body").alias("block"))
     cut = freeze(heads.filter("stop + 1 < next").select("file", F.col("start").alias("offset"), F.col("next").alias("until")))
     records = one if cut.isEmpty() else one.unionByName(_rejoined(pieces, narrow, cut))
     return _parsed(records, freeze(broken))
@@ -199,16 +202,16 @@ def _rejoined(pieces: DataFrame, narrow: DataFrame, cut: DataFrame) -> DataFrame
     )
     inside = narrow.select("file", "split", "place", "start", F.floor(F.col("start") / block).alias("block"))
     owned = inside.join(spans, ["file", "block"]).filter("start >= offset and start < until")
-    parts = pieces.join(owned.select("file", "split", "place", "start", "offset"), ["file", "split", "place"])
+    parts = pieces.join(freeze(owned.select(*_PIECE, "start", "offset")), _PIECE)
     # Of later pieces also the magic that a line may have twice.
     again = F.when((F.col("lead") > 0) & (F.col("start") > F.col("offset")), F.lit(MAGIC)).otherwise(F.lit(""))
     parts = parts.withColumn("part", F.struct("start", F.concat(again, "body").alias("text")))
     grouped = parts.groupBy("file", "offset").agg(
         F.array_sort(F.collect_list("part")).alias("parts"),
-        F.min_by(F.struct("header", "content", "head"), "start").alias("h"),
+        F.min_by(F.struct("content", "head"), "start").alias("h"),
     )
     whole = F.array_join(F.transform("parts", lambda p: p["text"]), CUT)
-    return grouped.select("file", "offset", "h.header", "h.content", "h.head", whole.alias("block"))
+    return grouped.select("file", "h.content", "h.head", whole.alias("block"))
 
 
 def _field(text: Column, key: str) -> Column:
@@ -217,9 +220,10 @@ def _field(text: Column, key: str) -> Column:
 
 def _parsed(records: DataFrame, broken: DataFrame) -> DataFrame:
     there = lambda c: F.when(c != "", c)
+    cut = lambda start, n: F.substring(F.col("block").cast("binary"), start, n.cast("int"))
+    body = cut(F.col("head").cast("int") + len(END) + 1, F.col("content"))
+    rows = records.select("file", cut(F.lit(1), F.col("head")).cast("string").alias("header"), body.alias("block"))
     header = F.col("header")
-    block = F.substring(F.col("block").cast("binary"), F.col("head").cast("int") + len(END) + 1, F.col("content").cast("int"))
-    rows = records.withColumn("block", block)
     text = F.col("block").cast("string")
     http = _field(header, "Content-Type").startswith("application/http")
     top = F.when(http, F.substring_index(text, END, 1))
@@ -230,7 +234,6 @@ def _parsed(records: DataFrame, broken: DataFrame) -> DataFrame:
     revisit = kind == "revisit"
     rows = rows.select(
         "file",
-        "offset",
         kind.alias("record_type"),
         _field(header, "WARC-Record-ID").alias("record_id"),
         there(_field(header, "WARC-Target-URI")).alias("uri"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from samples import entries, span, spans
 from tracewarden.functions import spans as fs
 from tracewarden.operators import monitor as m
+from tracewarden.operators.sessions import session_slices
 from tracewarden.operators.properties import (
     answer_is_yes, classify_text, duration_safety, judge_texts, mention_response,
 )
@@ -205,6 +206,10 @@ def test_general_fold_against_brute_force(hot_spans, chunks):
     monitor = m.Monitor(
         name="mixed", init=F.lit(7).cast("bigint"),
         step=lambda s, e: (s * 31 + e["n"]) % 1_000_003,
+        neutral=F.array(F.lit(1).cast("bigint"), F.lit(0).cast("bigint")),
+        lift=lambda e: F.array(F.lit(31).cast("bigint"), e["n"].cast("bigint")),
+        merge=lambda a, b: F.array(a[0] * b[0] % 1_000_003, (a[1] * b[0] + b[1]) % 1_000_003),
+        enter=lambda s, a: (s * a[0] + a[1]) % 1_000_003,
         verdict=lambda s: s > 500_000,
         features={"n": F.length("name") + F.when(F.col("is_end"), 1).otherwise(0)},
         key_attribute="key", gap_ms=8_000,
@@ -311,3 +316,20 @@ def test_old_keys_are_ignored(spark):
     monitor = mention(spark, ignore_key=ignore_older_than_a_day(1_000_000))
     found = m.run_monitor(freeze(old.union(new).union(other)), monitor).collect()
     assert sorted(r.key for r in found) == ["conv/2/990000", "conv/none"]
+
+
+@pytest.mark.parametrize("ttl", [None, 3_000])
+def test_sessions_do_not_depend_on_the_blocks_they_are_found_in(spark, ttl):
+    draw = random.Random(8)
+    starts = [draw.randrange(-40_000, 400_000) for _ in range(600)]
+    rows = [("hot" if draw.random() < 0.8 else draw.choice(["a", "b", None]), ms * 1_000_000) for ms in starts]
+    spans = spark.createDataFrame(rows, "key string, start_time_unix_nano long")
+    few, many = (session_slices(spans, 900, ttl, bits) for bits in (40, 1))
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    assert few.select("session_start").distinct().count() > 20
+
+
+def test_a_step_without_a_summary_is_refused_over_chunks(spark):
+    bare = m.Monitor(name="bare", init=F.lit(0), step=lambda s, e: s, verdict=lambda s: s > 0)
+    with pytest.raises(ValueError, match="lift, merge and enter"):
+        bare.carries(None, ["key"], None)

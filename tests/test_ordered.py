@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewarden.operators import ordered
-from tracewarden.operators.ordered import CHUNK, into_chunks, next_values, numbered, running_sums, spanning
+from tracewarden.operators.ordered import CHUNK, into_chunks, multiple, next_values, numbered, prefixes, running_sums
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +81,27 @@ def test_a_large_key_covers_many_chunks_and_carries_stay_few(rows):
     sizes = [r["count"] for r in placed.groupBy(CHUNK).count().collect()]
     assert max(sizes) < 3 * sum(sizes) / len(sizes)
     assert placed.filter("key = 'hot'").select(CHUNK).distinct().count() > 10
-    # Beyond a key's first chunk, each chunk has at most one continuing key.
-    places = spanning(placed, ["key"]).filter("_place > 1")
-    assert places.groupBy(CHUNK).count().filter("count > 1").count() == 0
+    assert {r.key for r in multiple(placed, ["key"]).collect()} >= {"hot"}
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+def test_prefixes_over_sparse_and_negative_chunks(spark, monkeypatch, bits):
+    monkeypatch.setattr(ordered, "FAN_BITS", bits)
+    at = [-70_000, -3, 0, 1, 2, 255, 256, 1 << 20]
+    rows = [(k, c, [i]) for k in ("a", None) for i, c in enumerate(at)] + [("b", 5, [9])]
+    parts = spark.createDataFrame(rows, f"key string, {CHUNK} long, part array<int>")
+    got = prefixes(parts, ["key"], F.array().cast("array<int>"), lambda x, y: F.concat(x, y))
+    found = {(r["key"], r[CHUNK]): r["before"] for r in got.collect()}
+    assert found == {(k, c): list(range(i)) for k in ("a", None) for i, c in enumerate(at)} | {("b", 5): []}
+
+
+def test_jobs_grow_slower_than_chunks(spark, rows):
+    _, df = rows
+
+    def jobs(chunks):
+        tracker, group = spark.sparkContext.statusTracker(), f"chunks-{chunks}"
+        spark.sparkContext.setJobGroup(group, group)
+        running_sums(df, ["key"], ["at"], {"n": F.lit(1)}, chunks).count()
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(64) <= jobs(4) + 8

@@ -29,8 +29,10 @@ def rate_by(
     """Rate per second over the last ``range_s`` seconds, every ``step_s``.
 
     Rows are counted per step first; only the counts are spread over the
-    windows that contain the step.
+    windows that contain the step.  ``range_s`` is a multiple of ``step_s``.
     """
+    if step_s <= 0 or range_s % step_s:
+        raise ValueError(f"{range_s} s is no multiple of steps of {step_s} s")
     step = F.lit(step_s * 1000).cast("bigint")
     slot = F.call_function("div", ms, step) * step
     counts = df.groupBy(label.alias("label"), slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,36 +5,39 @@ Three kinds share one interface (``init``, ``step``, ``verdict`` as Columns):
 * ``SumMonitor`` - the state is a running total.  Totals are partial
   aggregates per session; events are neither ordered nor gathered.
 * ``StateMonitor`` - finitely many states, moved by rules that look at the
-  event only.  A stretch of events is then a small map from state to state,
-  stretches are folded in parallel, and the maps are put in a row per key.
-* ``Monitor`` - any step.  Stretches of a key have to be folded one after the
-  other, each in a bounded array, with the state written out in between.
+  event only.  A stretch of events is then a small map from state to state.
+* ``Monitor`` - any state, with a summary of a stretch of events that can be
+  merged with the summary of the next one (``lift``, ``merge``, ``enter``).
+
+Stretches of a key are folded in parallel; their maps or summaries are merged
+as a tree, so a key of any length costs a logarithm of jobs.  A step without a
+summary can only fold ready-made arrays (``fold_sequences``).
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tracewarden.operators import ordered
 from tracewarden.operators.ordered import CHUNK
 from tracewarden.operators.sessions import (
+    BLOCK_BITS,
     EVENT_ORDER,
     dedupe_spans,
     ignore_windows,
     key_spans,
     session_counters,
+    session_slices,
     sessionize,
     sessions,
     to_events,
 )
-from tracewarden.session import freeze, shared_dir
+from tracewarden.session import freeze
 
 # Length of the arrays in which the states after every event are written down.
 BLOCK = 256
@@ -54,14 +57,24 @@ class Monitor:
 
     ``features`` are columns computed per event before any shuffle; ``step``
     sees the state and a struct with the features, ``is_end`` and
-    ``epoch_unix_nano``.  ``rules`` name the conditions under which the step
+    ``epoch_unix_nano``.  ``lift`` gives the summary of one event, ``neutral``
+    that of none, ``merge`` that of two stretches, and ``enter`` the state after
+    a stretch from the state before it.  ``rules`` name the conditions under which the step
     does something, for auditing.
+
+    ``ignore_session`` is a condition on a session's counters and on
+    ``ignore_features``: named aggregates of span Columns over the session's
+    events in order, each ``("any" | "all" | "first" | "last", column)``.
     """
 
     name: str
     init: Column
     step: Callable[[Column, Column], Column]
     verdict: Callable[[Column], Column]
+    neutral: Column | None = None
+    lift: Callable[[Column], Column] | None = None
+    merge: Callable[[Column, Column], Column] | None = None
+    enter: Callable[[Column, Column], Column] | None = None
     features: dict[str, Column] = field(default_factory=dict)
     rules: dict[str, Column] = field(default_factory=dict)
     prepare: Callable[[DataFrame], DataFrame] | None = None
@@ -71,6 +84,7 @@ class Monitor:
     ttl_ms: int | None = None
     ignore_key: Callable[[Column], Column] | None = None
     ignore_session: Column | None = None
+    ignore_features: dict[str, tuple[str, Column]] = field(default_factory=dict)
     across_sessions: bool = True
 
     def fold_keys(self) -> list[str]:
@@ -78,25 +92,19 @@ class Monitor:
         return ["key", "generation"] if self.across_sessions else ["key", "session_start"]
 
     def carries(self, parts, keys, starts):
-        """State at the start of each chunk a key runs into, folded in turn.
+        """State at the start of each chunk of the keys that lie in several.
 
-        ``parts`` are the arrays of the keys that lie in several chunks.
+        ``parts`` are the arrays of these keys.
         """
-        spark = parts.sparkSession
-        folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-        parts.write.partitionBy("_place").parquet(f"{folder}/parts")
-        parts = spark.read.schema(parts.schema).parquet(f"{folder}/parts")
-        last = parts.agg(F.max("_place")).first()[0]
-        if last is None:
+        if self.merge is None:
+            raise ValueError(f"{self.name}: a step is folded over chunks by lift, merge and enter")
+        stretch = F.aggregate("items", self.neutral, lambda acc, e: self.merge(acc, self.lift(e)))
+        parts = parts.select(*keys, CHUNK, stretch.alias("part"))
+        before = ordered.prefixes(parts, keys, self.neutral, self.merge)
+        if before is None:
             return None
-        fold = F.aggregate("items", F.col("_start"), self.step).alias("_start")
-        state = parts.filter("_place = 1").drop("_place")
-        state = _with_starts(state, keys, starts, self.init).select(*keys, fold)
-        for place in range(2, last + 1):
-            here = parts.filter(F.col("_place") == place).join(freeze(state), keys)
-            here.select(*keys, CHUNK, "_start").write.mode("append").parquet(f"{folder}/starts")
-            state = here.select(*keys, fold)
-        return spark.read.schema(here.select(*keys, CHUNK, "_start").schema).parquet(f"{folder}/starts")
+        entered = _with_starts(before, keys, starts, self.init)
+        return entered.select(*keys, CHUNK, self.enter(F.col("_start"), F.col("before")).alias("_carried"))
 
 
 @dataclass(frozen=True)
@@ -143,6 +151,8 @@ class StateMonitor(Monitor):
             letter = F.when(rule.when, i if i in moving else 0).otherwise(letter)
         size = len(states)
         moves = F.array(*[F.lit(t) for t in table])
+        # A stretch is the list of the states that it leads to from each state.
+        moved = lambda e: F.transform(F.array(*map(F.lit, range(size))), lambda s: F.get(moves, e["letter"] * size + s))
         verdict = [verdicts.get(s) for s in states]
         judged = F.array(*[F.lit(v).cast("boolean") for v in verdict])
         return StateMonitor(
@@ -150,6 +160,10 @@ class StateMonitor(Monitor):
             init=F.lit(number[start]),
             step=lambda s, e: F.get(moves, e["letter"] * size + s),
             verdict=lambda s: F.get(judged, s),
+            neutral=F.array(*map(F.lit, range(size))),
+            lift=moved,
+            merge=lambda m, n: F.transform(m, lambda s: F.get(n, s)),
+            enter=lambda s, m: F.get(m, s),
             features={"letter": letter},
             rules={r.name: r.when for r in rules},
             states=tuple(states),
@@ -157,22 +171,6 @@ class StateMonitor(Monitor):
             **settings,
         )
 
-    def carries(self, parts, keys, starts):
-        size = len(self.states)
-        moves = F.array(*[F.lit(t) for t in self.table])
-        same = F.array(*[F.lit(i) for i in range(size)])
-        stretch = F.aggregate(
-            "items",
-            same,
-            lambda m, e: F.transform(m, lambda s: F.get(moves, e["letter"] * size + s)),
-        )
-        parts = parts.select(*keys, F.struct("_place", CHUNK, stretch.alias("map")).alias("part"))
-        # One entry per chunk of the key, each a short map.
-        per_key = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("items"))
-        per_key = _with_starts(per_key, keys, starts, self.init)
-        entered = _traced(per_key, keys, lambda s, part: F.get(part["map"], s), before=True)
-        return entered.select(*keys, CHUNK, F.col("state").alias("_start"))
-
 
 def _with_starts(df: DataFrame, keys: list[str], starts: DataFrame | None, init: Column):
     """Add ``_start``: the stored state of the key, or the initial one."""
@@ -189,19 +187,6 @@ def _with_starts(df: DataFrame, keys: list[str], starts: DataFrame | None, init:
     )
 
 
-def _states(items: Column, start: Column, step, before: bool) -> Column:
-    """State after (or before) each item of a short array."""
-    after = lambda acc: F.concat(F.slice(acc["out"], 2, F.size(acc["out"])), F.array(acc["s"]))
-    return F.aggregate(
-        items,
-        F.struct(start.alias("s"), F.array_repeat(start, 0).alias("out")),
-        lambda acc, e: F.struct(
-            step(acc["s"], e).alias("s"), F.array_append(acc["out"], acc["s"]).alias("out")
-        ),
-        (lambda acc: acc["out"]) if before else after,
-    )
-
-
 def _traced(
     arrays: DataFrame, keys: list[str], step, keep: str | None = None, before: bool = False
 ) -> DataFrame:
@@ -215,7 +200,7 @@ def _traced(
         lambda i: F.slice("items", i * BLOCK + 1, BLOCK),
     )
     cut = arrays.select(*keys, "_start", blocks.alias("blocks"))
-    starts = _states(
+    starts = ordered.running(
         F.col("blocks"), F.col("_start"), lambda s, b: F.aggregate(b, s, step), before=True
     )
     starts = F.when(F.size("blocks") == 1, F.array("_start")).otherwise(starts)
@@ -223,7 +208,7 @@ def _traced(
         *keys, F.explode(F.arrays_zip("blocks", starts.alias("starts"))).alias("b")
     )
     block, start = F.col("b.blocks"), F.col("b.starts")
-    rows = F.arrays_zip(block.alias("item"), _states(block, start, step, before).alias("state"))
+    rows = F.arrays_zip(block.alias("item"), ordered.running(block, start, step, before).alias("state"))
     if keep is not None:
         rows = F.filter(rows, lambda r: r["item"][keep])
     return per_block.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.item.*", "r.state")
@@ -242,20 +227,20 @@ def fold(
     """State after each row (or each kept row), folding each key's rows in order.
 
     Each task holds one chunk of a key at a time.  Only keys that run over a
-    chunk border need a carried state, at most one per chunk.
+    chunk border need a carried state, at most one per chunk.  Runs jobs while
+    it is built and writes tables to the shared folder.
     """
     placed = ordered.into_chunks(rows, keys, order, chunks)
     arrays = ordered.arrays_per_chunk(placed, keys, order, payload)
-    # At most one row per chunk and per chunk border.
-    places = F.broadcast(ordered.spanning(placed, keys))
-    parts = ordered.arrays_per_chunk(placed.join(places, [*keys, CHUNK], "left_semi"), keys, order, payload)
-    carry = monitor.carries(parts.join(places, [*keys, CHUNK]), keys, starts)
+    several = ordered.same_keys(placed, ordered.multiple(placed, keys), keys, "left_semi")
+    parts = ordered.arrays_per_chunk(several, keys, order, payload)
+    carry = None
+    if not several.isEmpty():
+        carry = monitor.carries(parts, keys, starts)
     started = _with_starts(arrays, keys, starts, monitor.init)
     if carry is not None:
-        carry = carry.withColumnRenamed("_start", "_carried")
-        started = started.join(F.broadcast(carry), [*keys, CHUNK], "left").withColumn(
-            "_start", F.coalesce("_carried", "_start")
-        )
+        started = ordered.same_keys(started, carry, [*keys, CHUNK], "left")
+        started = started.withColumn("_start", F.coalesce("_carried", "_start")).drop("_carried")
     return _traced(started, keys, monitor.step, keep)
 
 
@@ -284,28 +269,30 @@ def narrowed(
         keyed = keyed.filter(~F.coalesce(monitor.ignore_key(F.col("key")), F.lit(False)))
     if monitor.prepare is not None:
         keyed = monitor.prepare(keyed)
-    return _narrow(keyed, monitor.features if features is None else features)
+    looked_at = {f"_ignore_{n}": c for n, (_, c) in monitor.ignore_features.items()}
+    return _narrow(keyed, (monitor.features if features is None else features) | looked_at)
 
 
-def ignored_sessions(narrow: DataFrame, monitor: Monitor) -> DataFrame | None:
+def ignored_sessions(placed: DataFrame, monitor: Monitor) -> DataFrame | None:
     if monitor.ignore_session is None:
         return None
-    placed = sessionize(narrow, monitor.gap_ms, monitor.ttl_ms)
-    return session_counters(placed).filter(monitor.ignore_session)
+    return session_counters(placed, monitor.ignore_features).filter(monitor.ignore_session)
 
 
-def monitored(narrow: DataFrame, monitor: Monitor) -> DataFrame:
+def monitored(narrow: DataFrame, monitor: Monitor, borders: DataFrame | None = None) -> DataFrame:
     """Spans of the sessions the monitor looks at, with their session."""
-    placed = sessionize(narrow, monitor.gap_ms, monitor.ttl_ms)
-    ignored = ignored_sessions(narrow, monitor)
+    placed = sessionize(narrow, monitor.gap_ms, monitor.ttl_ms, borders)
+    ignored = ignored_sessions(placed, monitor)
     return placed if ignored is None else ignore_windows(placed, ignored)
 
 
-def session_ends(narrow: DataFrame, monitor: Monitor) -> DataFrame:
+def session_ends(narrow: DataFrame, monitor: Monitor, borders: DataFrame | None = None) -> DataFrame:
     """The sessions themselves, from the small table of time slices."""
-    ends = sessions(narrow, monitor.gap_ms, monitor.ttl_ms)
-    ignored = ignored_sessions(narrow, monitor)
-    return ends if ignored is None else ignore_windows(ends, ignored)
+    ends = sessions(narrow, monitor.gap_ms, monitor.ttl_ms, borders)
+    if monitor.ignore_session is None:
+        return ends
+    placed = sessionize(narrow, monitor.gap_ms, monitor.ttl_ms, borders)
+    return ignore_windows(ends, ignored_sessions(placed, monitor))
 
 
 def monitor_events(placed: DataFrame, features) -> DataFrame:
@@ -361,13 +348,11 @@ def _session_totals(narrow: DataFrame, monitor: Monitor, starts: DataFrame | Non
     )
     if not monitor.across_sessions:
         return per_session
-    # One row per session here, not per event.
-    so_far = (
-        Window.partitionBy("key", "generation")
-        .orderBy("session_start")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row per session here; starts are a gap apart, which bounds a block.
+    block = F.shiftright(F.floor(F.col("session_start") / monitor.gap_ms), BLOCK_BITS)
+    totals = ordered.running_sum_in_blocks(
+        per_session, ["key", "generation"], "session_start", block, "state"
     )
-    totals = per_session.withColumn("state", F.sum("state").over(so_far))
     if starts is None:
         return totals
     started = _with_starts(totals, monitor.fold_keys(), starts, F.lit(0).cast("bigint"))
@@ -377,10 +362,11 @@ def _session_totals(narrow: DataFrame, monitor: Monitor, starts: DataFrame | Non
 def _session_states(narrow, monitor, starts, chunks) -> DataFrame:
     payload = list(monitor.features)
     keys = monitor.fold_keys()
-    events = monitor_events(monitored(narrow, monitor), monitor.features)
+    borders = freeze(session_slices(narrow, monitor.gap_ms, monitor.ttl_ms))
+    events = monitor_events(monitored(narrow, monitor, borders), monitor.features)
     rows = events.withColumn("mark", F.lit(False))
     # A mark stands for the end of a session; it moves nothing.
-    ends = session_ends(narrow, monitor)
+    ends = session_ends(narrow, monitor, borders)
     blank = {c: F.lit(None).cast(t) for c, t in events.dtypes if c not in ends.columns}
     marks = ends.withColumns(blank).withColumn("mark", F.lit(True))
     folding = monitor
@@ -389,8 +375,7 @@ def _session_states(narrow, monitor, starts, chunks) -> DataFrame:
         rows = rows.filter("letter > 0")
         marks = marks.withColumn("letter", F.lit(0))
     else:
-        inner = monitor.step
-        folding = replace(monitor, step=lambda s, e: F.when(e["mark"], s).otherwise(inner(s, e)))
+        folding = _past_marks(monitor)
     order = [c for c in FOLD_ORDER if c not in keys]
     carried = [c for c in ("session_end", "generation") if c not in keys]
     return fold(
@@ -398,6 +383,15 @@ def _session_states(narrow, monitor, starts, chunks) -> DataFrame:
     )
 
 
+def _past_marks(monitor: Monitor) -> Monitor:
+    """The monitor for rows among which marks move nothing."""
+    step, lift, neutral = monitor.step, monitor.lift, monitor.neutral
+    moved = replace(monitor, step=lambda s, e: F.when(e["mark"], s).otherwise(step(s, e)))
+    if lift is None:
+        return moved
+    return replace(moved, lift=lambda e: F.when(e["mark"], neutral).otherwise(lift(e)))
+
+
 def evaluate_steps(
     spans: DataFrame, monitor: Monitor, chunks: int | None = None
 ) -> DataFrame:

@@ -4,15 +4,17 @@ A window partitioned by key puts every row of a key into one task, which a key
 with a large share of all rows cannot afford.  Here rows are range-partitioned
 and sorted by (key, order) and cut into "chunks" of at most ``2 ** CHUNK_BITS``
 rows, so that a large key covers many chunks.  Each chunk is worked on by
-itself, and what crosses a chunk border goes into a *carry* table.  Rows are
-sorted by key, so only the first key of a chunk can continue from the chunk
-before: a carry table never has more rows than there are chunks, that is
-rows / 2 ** CHUNK_BITS + shuffle partitions (some two million short rows for
-5e11 input rows).  That bound is why carry tables are broadcast.
+itself, and what crosses a chunk border goes into a *carry* table of at most
+one row per key and chunk.  What the chunks before a chunk add up to is worked
+out as a tree over the chunks (:func:`prefixes`), so no task sees all chunks of
+a key, and carries are joined on (key, chunk), which no key can dominate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from tracewarden.session import freeze
 
 CHUNK = "_chunk"
 CHUNK_BITS = 18
+FAN_BITS = 8
 
 
 def into_chunks(
@@ -38,10 +41,78 @@ def into_chunks(
     return freeze(ranged.sortWithinPartitions(*by).withColumn(CHUNK, place))
 
 
-def _carried(per_chunk: DataFrame, keys: list[str]) -> DataFrame:
-    """Only the rows of keys that lie in several chunks."""
-    chunks = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return per_chunk.withColumn("_n", chunks).filter("_n > 1").drop("_n")
+def multiple(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that lie in several chunks."""
+    ends = rows.groupBy(*keys).agg(F.min(CHUNK).alias("_low"), F.max(CHUNK).alias("_high"))
+    return ends.filter("_low < _high").select(*keys)
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which some may be NULL; both have only these in common."""
+    names = {k: f"_r_{k}" for k in keys}
+    other = right.withColumnsRenamed(names)
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(other, met, how).drop(*names.values())
+
+
+def running(items: Column, start: Column, combine: Callable[[Column, Column], Column], before: bool) -> Column:
+    """What precedes (or ends with) each item of a short array, combined."""
+    after = lambda acc: F.concat(F.slice(acc["out"], 2, F.size(acc["out"])), F.array(acc["s"]))
+    return F.aggregate(
+        items,
+        F.struct(start.alias("s"), F.array_repeat(start, 0).alias("out")),
+        lambda acc, e: F.struct(
+            combine(acc["s"], e).alias("s"), F.array_append(acc["out"], acc["s"]).alias("out")
+        ),
+        (lambda acc: acc["out"]) if before else after,
+    )
+
+
+def prefixes(
+    parts: DataFrame,
+    keys: list[str],
+    neutral: Column,
+    combine: Callable[[Column, Column], Column],
+) -> DataFrame | None:
+    """``(keys, chunk, before)``: what the parts of all earlier chunks combine to.
+
+    ``parts`` holds keys, chunk and ``part``.  Groups of neighbouring chunks
+    are combined to one part each, level by level, until one is left; on the
+    way back each group hands every member what lies before it.  A group has
+    at most ``2 ** FAN_BITS`` members, and levels grow with the logarithm of the chunks.
+    """
+    level = freeze(parts.select(*keys, F.col(CHUNK).cast("bigint").alias("_at"), "part"))
+    low, top = level.agg(F.min("_at"), F.max("_at")).first()
+    if low is None:
+        return None
+    level, top = level.withColumn("_at", F.col("_at") - low), top - low
+    groups = []
+    while True:
+        members = F.array_sort(F.collect_list(F.struct("_at", "part"))).alias("items")
+        level = level.withColumn("_up", F.shiftright("_at", FAN_BITS))
+        groups.append(freeze(level.groupBy(*keys, F.col("_up").alias("_at")).agg(members)))
+        top >>= FAN_BITS
+        if top == 0:
+            break
+        joined = F.aggregate("items", neutral, lambda acc, m: combine(acc, m["part"]))
+        level = groups[-1].select(*keys, "_at", joined.alias("part"))
+    before = groups[-1].select(*keys, "_at", neutral.alias("before"))
+    for group in reversed(groups):
+        handed = running(F.col("items"), F.col("before"), lambda acc, m: combine(acc, m["part"]), True)
+        rows = same_keys(group, before, [*keys, "_at"], "inner")
+        each = F.explode(F.arrays_zip("items", handed.alias("handed"))).alias("e")
+        before = rows.select(*keys, each).select(
+            *keys, F.col("e.items._at").alias("_at"), F.col("e.handed").alias("before")
+        )
+    return before.select(*keys, (F.col("_at") + low).alias(CHUNK), "before")
+
+
+def suffixes(
+    parts: DataFrame, keys: list[str], neutral: Column, combine: Callable[[Column, Column], Column]
+) -> DataFrame | None:
+    """As ``prefixes``, of the later chunks: ``combine(what follows, a part)``."""
+    found = prefixes(parts.withColumn(CHUNK, -F.col(CHUNK)), keys, neutral, combine)
+    return None if found is None else found.withColumn(CHUNK, -F.col(CHUNK))
 
 
 def running_sums(
@@ -67,21 +138,38 @@ def _running_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = rows.withColumns({out: F.sum(v).over(inside) for out, v in sums.items()})
-    per_chunk = rows.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(v) for v in sums.values()])
-    before = (
-        Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        _carried(per_chunk, keys)
-        .select(*keys, CHUNK, *[F.sum(v).over(before).alias(f"_c{v}") for v in sums.values()])
-        .dropna("all", subset=[f"_c{v}" for v in sums.values()])
-    )
-    joined = local.join(F.broadcast(carry), [*keys, CHUNK], "left")
-    totals = {
-        out: F.col(out) + F.coalesce(F.col(f"_c{v}"), F.lit(0)) for out, v in sums.items()
-    }
-    extra = [CHUNK, *sums.values(), *[f"_c{v}" for v in sums.values()]]
-    return joined.withColumns(totals).drop(*extra)
+    total = F.struct(*[F.sum(v).alias(v) for v in sums.values()])
+    per_chunk = rows.groupBy(*keys, CHUNK).agg(total.alias("part"))
+    per_chunk = same_keys(per_chunk, multiple(rows, keys), keys, "left_semi")
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(v) for v in sums.values()])
+    add = lambda x, y: F.struct(*[(x[v] + y[v]).alias(v) for v in sums.values()])
+    carry = prefixes(per_chunk, keys, zero, add)
+    if carry is not None:
+        local = same_keys(local, carry, [*keys, CHUNK], "left")
+        local = local.withColumns(
+            {out: F.col(out) + F.coalesce(F.col("before")[v], F.lit(0)) for out, v in sums.items()}
+        ).drop("before")
+    return local.drop(CHUNK, *sums.values())
+
+
+def running_sum_in_blocks(
+    df: DataFrame, keys: list[str], order: str, block: Column, value: str
+) -> DataFrame:
+    """``value`` summed up to each row, for rows that bear their block.
+
+    Blocks follow the order and hold few rows each; only they are windowed.
+    """
+    rows = df.withColumn(CHUNK, block)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kind = df.schema[value].dataType
+    sums = rows.groupBy(*keys, CHUNK).agg(F.sum(value).cast(kind).alias("part"))
+    sums = same_keys(sums, multiple(sums, keys), keys, "left_semi")
+    carry = prefixes(sums, keys, F.lit(0).cast(kind), lambda x, y: (x + F.coalesce(y, F.lit(0))).cast(kind))
+    local = rows.withColumn(value, F.sum(value).over(inside).cast(kind))
+    if carry is not None:
+        local = same_keys(local, carry, [*keys, CHUNK], "left")
+        local = local.withColumn(value, F.col(value) + F.coalesce("before", F.lit(0).cast(kind))).drop("before")
+    return local.drop(CHUNK)
 
 
 def numbered(
@@ -118,25 +206,17 @@ def next_values(
     )
     local = rows.withColumns({n: F.last(n, ignorenulls=True).over(backwards) for n in names})
     position = F.struct(*order)
-    per_chunk = rows.groupBy(*keys, CHUNK).agg(
-        *[F.min_by(n, F.when(F.col(n).isNotNull(), position)).alias(n) for n in names]
-    )
-    after = (
-        Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        _carried(per_chunk, keys)
-        .select(
-            *keys,
-            CHUNK,
-            *[F.last(n, ignorenulls=True).over(after).alias(f"_c{n}") for n in names],
-        )
-        .dropna("all", subset=[f"_c{n}" for n in names])
-    )
-    joined = local.join(F.broadcast(carry), [*keys, CHUNK], "left")
-    return joined.withColumns({n: F.coalesce(n, f"_c{n}") for n in names}).drop(
-        CHUNK, *[f"_c{n}" for n in names]
-    )
+    first = [F.min_by(n, F.when(F.col(n).isNotNull(), position)).alias(n) for n in names]
+    per_chunk = rows.groupBy(*keys, CHUNK).agg(F.struct(*first).alias("part"))
+    per_chunk = same_keys(per_chunk, multiple(rows, keys), keys, "left_semi")
+    # From the end: of the parts seen the nearest one counts.
+    nearest = lambda x, y: F.struct(*[F.coalesce(y[n], x[n]).alias(n) for n in names])
+    nothing = F.struct(*[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names])
+    carry = suffixes(per_chunk, keys, nothing, nearest)
+    if carry is not None:
+        local = same_keys(local, carry, [*keys, CHUNK], "left")
+        local = local.withColumns({n: F.coalesce(n, F.col("before")[n]) for n in names}).drop("before")
+    return local.drop(CHUNK)
 
 
 def arrays_per_chunk(
@@ -145,10 +225,3 @@ def arrays_per_chunk(
     """One ordered array per key and chunk; never longer than a chunk."""
     item = F.struct(*order, *[p for p in payload if p not in order])
     return rows.groupBy(CHUNK, *keys).agg(F.array_sort(F.collect_list(item)).alias(out))
-
-
-def spanning(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``(key, chunk, place)`` of keys that lie in several chunks, place from 1."""
-    places = _carried(rows.select(*keys, CHUNK).distinct(), keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(CHUNK))
-    return freeze(places.withColumn("_place", place))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.spans import is_root, nanos_to_ms, string_attribute
-from tracewarden.operators.ordered import next_values, numbered
+from tracewarden.operators.ordered import CHUNK, multiple, next_values, numbered, prefixes, same_keys, suffixes
+from tracewarden.session import freeze
 
 # Order of the events of a session; ends follow starts at the same instant.
 EVENT_ORDER = ["epoch_unix_nano", "trace_id", "span_id", "is_end"]
+# Slices of a key that one window sees.
+BLOCK_BITS = 12
 SPAN_IDENTITY = ["start_time_unix_nano", "end_time_unix_nano", "trace_id"]
 
 
@@ -37,70 +40,124 @@ def _slice(gap_ms: int) -> Column:
     return F.call_function("div", F.col("start_ms") - F.pmod("start_ms", width), width)
 
 
-def session_slices(spans: DataFrame, gap_ms: int, ttl_ms: int | None = None) -> DataFrame:
+def _joined_stretch(earlier: Column, later: Column, gap_ms: int, ttl_ms: int | None) -> Column:
+    """Two stretches of slices in time order as one.
+
+    ``low`` and ``high`` are the first and last start; ``start`` is where the
+    last session begins and ``end`` where the first one stops, if the stretch
+    holds a border; ``expired`` counts restarts inside.
+    """
+    pause = later["low"] - earlier["high"]
+    border = pause > gap_ms
+    expired = (pause > gap_ms + ttl_ms).cast("int") if ttl_ms is not None else F.lit(0)
+    joined = F.struct(
+        earlier["low"].alias("low"),
+        later["high"].alias("high"),
+        F.coalesce(later["start"], F.when(border, later["low"]), earlier["start"]).alias("start"),
+        F.coalesce(earlier["end"], F.when(border, earlier["high"]), later["end"]).alias("end"),
+        (earlier["expired"] + later["expired"] + expired).alias("expired"),
+    )
+    return F.when(earlier["low"].isNull(), later).when(later["low"].isNull(), earlier).otherwise(joined)
+
+
+def session_slices(
+    spans: DataFrame, gap_ms: int, ttl_ms: int | None = None, block_bits: int = BLOCK_BITS
+) -> DataFrame:
     """Session borders per key and time slice.
 
     Two starts within one slice as wide as the gap are closer than the gap,
     so a slice never holds a session border.  The slices are partial
-    aggregates of the spans; the window then sees one small row per slice, at
-    most (time range / gap) of them for a key however many spans it has.
+    aggregates of the spans.  Windows run over blocks of at most
+    ``2 ** block_bits`` slices; what lies before and after a block is summed up
+    as a tree over the blocks of a key, so that no task sees a whole key.
 
     ``generation`` counts the state restarts of the key: a session that starts
     more than ``ttl_ms`` after the session before it was closed begins a new
-    one.  Touching sessions merge.
+    one.  Touching sessions merge.  Runs jobs while it is built.
     """
-    slices = (
+    slices = freeze(
         spans.withColumn("start_ms", _start_ms())
         .groupBy("key", _slice(gap_ms).alias("slice"))
         .agg(F.min("start_ms").alias("low"), F.max("start_ms").alias("high"))
+        .withColumn(CHUNK, F.shiftright("slice", block_bits))
     )
-    by_time = Window.partitionBy("key").orderBy("slice")
+    by_time = Window.partitionBy("key", CHUNK).orderBy("slice")
     up_to_here = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     from_the_end = (
-        Window.partitionBy("key")
+        Window.partitionBy("key", CHUNK)
         .orderBy(F.desc("slice"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    pause = F.col("low") - F.lag("high").over(by_time)
-    ending = F.lead("low").over(by_time) - F.col("high")
+    wide = F.lit(None).cast("bigint")
+    nothing = F.struct(
+        *[wide.alias(c) for c in ("low", "high", "start", "end")], F.lit(0).alias("expired")
+    )
+    inner = slices.withColumns({"pause": F.col("low") - F.lag("high").over(by_time), "was": F.lag("high").over(by_time)})
+    border = F.col("pause") > gap_ms
+    restart = F.count_if(F.col("pause") > gap_ms + ttl_ms).cast("int") if ttl_ms is not None else F.lit(0)
+    stretch = F.struct(
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.max(F.when(border, F.col("low"))).alias("start"),
+        F.min(F.when(border, F.col("was"))).alias("end"),
+        restart.alias("expired"),
+    )
+    parts = inner.groupBy("key", CHUNK).agg(stretch.alias("part"))
+    parts = freeze(same_keys(parts, multiple(slices, ["key"]), ["key"], "left_semi"))
+    joined = lambda x, y: _joined_stretch(x, y, gap_ms, ttl_ms)
+    before = prefixes(parts, ["key"], nothing, joined)
+    after = suffixes(parts, ["key"], nothing, lambda x, y: joined(y, x))
+    for name, carry in (("earlier", before), ("later", after)):
+        if carry is None:
+            slices = slices.withColumn(name, nothing)
+        else:
+            slices = same_keys(slices, carry.withColumnRenamed("before", name), ["key", CHUNK], "left")
+            slices = slices.withColumn(name, F.coalesce(name, nothing))
+    earlier, later = F.col("earlier"), F.col("later")
+    pause = F.col("low") - F.coalesce(F.lag("high").over(by_time), earlier["high"])
+    ending = F.coalesce(F.lead("low").over(by_time), later["low"]) - F.col("high")
     expired = F.lit(0)
     if ttl_ms is not None:
         expired = F.when(F.col("pause") > gap_ms + ttl_ms, 1).otherwise(0)
+    begun = F.last(
+        F.when(F.col("pause").isNull() | (F.col("pause") > gap_ms), F.col("low")), ignorenulls=True
+    ).over(up_to_here)
+    stopped = F.last(
+        F.when(F.col("ending").isNull() | (F.col("ending") > gap_ms), F.col("high")), ignorenulls=True
+    ).over(from_the_end)
     return (
         slices.withColumns({"pause": pause, "ending": ending})
         .withColumns(
             {
-                "session_start": F.last(
-                    F.when(F.col("pause").isNull() | (F.col("pause") > gap_ms), F.col("low")),
-                    ignorenulls=True,
-                ).over(up_to_here),
-                "session_end": F.last(
-                    F.when(F.col("ending").isNull() | (F.col("ending") > gap_ms), F.col("high")),
-                    ignorenulls=True,
-                ).over(from_the_end)
-                + gap_ms,
-                "generation": F.sum(expired).over(up_to_here).cast("int"),
+                "session_start": F.coalesce(begun, earlier["start"], earlier["low"]),
+                "session_end": F.coalesce(stopped, later["end"], later["high"]) + gap_ms,
+                "generation": (F.sum(expired).over(up_to_here) + earlier["expired"]).cast("int"),
             }
         )
         .select("key", "slice", "session_start", "session_end", "generation")
     )
 
 
-def sessionize(spans: DataFrame, gap_ms: int, ttl_ms: int | None = None) -> DataFrame:
+def sessionize(
+    spans: DataFrame, gap_ms: int, ttl_ms: int | None = None, borders: DataFrame | None = None
+) -> DataFrame:
     """Spans with the start and end (ms) of their session.
 
     The join is on (key, slice), so a large key is spread over its slices and
     adaptive skew splitting takes care of a large slice.
     """
-    borders = session_slices(spans, gap_ms, ttl_ms)
+    borders = session_slices(spans, gap_ms, ttl_ms) if borders is None else borders
     placed = spans.withColumn("start_ms", _start_ms()).withColumn("slice", _slice(gap_ms))
     return placed.join(borders, ["key", "slice"]).drop("slice", "start_ms")
 
 
-def sessions(spans: DataFrame, gap_ms: int, ttl_ms: int | None = None) -> DataFrame:
+def sessions(
+    spans: DataFrame, gap_ms: int, ttl_ms: int | None = None, borders: DataFrame | None = None
+) -> DataFrame:
     """One row per key and session, without touching the spans twice."""
+    borders = session_slices(spans, gap_ms, ttl_ms) if borders is None else borders
     return (
-        session_slices(spans, gap_ms, ttl_ms)
+        borders
         .select("key", "session_start", "session_end", "generation")
         .distinct()
     )
@@ -146,8 +203,41 @@ def session_sequence(spans: DataFrame, gap_ms: int, chunks: int | None = None) -
     return order_events(session_events(spans, gap_ms), chunks=chunks)
 
 
-def session_counters(placed: DataFrame) -> DataFrame:
-    """Spans in, distinct spans, roots, duplicates and key fallbacks per session."""
+def _seen(name: str, kind: str) -> Column:
+    """An aggregate of a feature over a session's start and end events."""
+    start, end = F.col(f"_ignore_{name}_0"), F.col(f"_ignore_{name}_1")
+    if kind == "any":
+        return F.coalesce(F.bool_or(F.coalesce(start, F.lit(False)) | F.coalesce(end, F.lit(False))), F.lit(False))
+    if kind == "all":
+        return F.coalesce(F.bool_and(F.coalesce(start & end, F.lit(False))), F.lit(True))
+    at = lambda time, is_end: F.struct(time, "trace_id", "span_id", F.lit(is_end))
+    begin, stop = at("start_time_unix_nano", False), at("end_time_unix_nano", True)
+    if kind == "first":
+        early = F.when(begin <= stop, start).otherwise(end)
+        return F.min_by(early, F.least(begin, stop))
+    if kind == "last":
+        late = F.when(begin > stop, start).otherwise(end)
+        return F.max_by(late, F.greatest(begin, stop))
+    raise ValueError(f"any, all, first or last, not {kind}")
+
+
+def session_counters(
+    placed: DataFrame, features: dict[str, tuple[str, Column]] | None = None
+) -> DataFrame:
+    """Spans in, distinct spans, roots, duplicates and key fallbacks per session.
+
+    ``features`` adds aggregates over the events of the deduplicated spans; the
+    spans hold the features of both events (``_ignore_<name>_0`` and ``_1``).
+    """
+    counted = _counters(placed)
+    if not features:
+        return counted
+    by = ["key", "session_start"]
+    seen = dedupe_spans(placed).groupBy(*by).agg(*[_seen(n, kind).alias(n) for n, (kind, _) in features.items()])
+    return counted.join(seen, by)
+
+
+def _counters(placed: DataFrame) -> DataFrame:
     root = is_root(F.col("parent_span_id"))
     per_id = placed.groupBy("key", "session_start", "session_end", "span_id").agg(
         F.count(F.lit(1)).alias("copies"),

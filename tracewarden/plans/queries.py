@@ -17,7 +17,7 @@ from tracewarden.schema import (
 )
 from tracewarden.session import freeze, shared_dir
 from tracewarden.sinks import text as text_sink, verdicts as verdict_sink
-from tracewarden.sources import generate, otlp, simspans, tables
+from tracewarden.sources import otlp, simspans, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,33 +201,6 @@ def a5_read_sim_spans(spark, d):
     )
 
 
-@query("a6_generate_spans", """
-SELECT name, CAST(n AS BIGINT) AS spans, CAST(n AS BIGINT) AS in_range, CAST(n AS BIGINT) AS distinct_ids,
-       attributes, events
-FROM (SELECT count(*) AS n FROM orders),
-     (VALUES ('invoke_agent', 7, 2), ('execute_event_loop_cycle', 2, 0), ('chat', 4, 2), ('stream_chat', 7, 0))
-       AS s(name, attributes, events)""")
-def a6_generate_spans(spark, d):
-    rows = tables.load(spark, d, "orders")
-    traces = rows.select(F.col("o_orderkey").alias("id"), (tables.utc_micros(rows, "o_orderdate") * 1000).alias("at"))
-    made = generate.spans_of_traces(traces, 7, F.col("at"))
-    # Offsets and lengths of the four spans in ns (fixed values).
-    name = F.substring_index("name", " ", 1)
-    length = end() - start()
-    ok = (
-        F.when(name == "invoke_agent", length.between(1_000_000_000, 3_000_000_000))
-        .when(name == "execute_event_loop_cycle", length.between(1_950_000_000, 4_990_000_000))
-        .otherwise(length.between(500_000_000, 2_000_000_000))
-    )
-    return made.groupBy(name.alias("name")).agg(
-        F.count(F.lit(1)).alias("spans"),
-        F.count_if(ok).alias("in_range"),
-        F.countDistinct("span_id").alias("distinct_ids"),
-        F.max(F.size(attrs())).alias("attributes"),
-        F.max(F.size(messages_of())).alias("events"),
-    )
-
-
 @query("a7_spans_from_events", f"""WITH {sql.EVENTS}
 SELECT trace_id, span_id, parent_span_id, name, start_ns, end_ns, bucket, service FROM spans""")
 def a7_spans_from_events(spark, d):
@@ -503,12 +476,21 @@ def c15_span_duration(spark, d):
     return orders(spark, d).select("span_id", fs.span_duration_nanos(start(), end()).alias("duration"))
 
 
-@query("c16_matches_span", f"""WITH {sql.EVENTS}
-SELECT span_id, coalesce(name = 'error' AND bucket = 'k3', false) AS matches, false AS image FROM spans""")
+@query("c16_matches_span", """
+SELECT event_id, event_type = 'error' AS matches, event_id % 3 = 0 AND event_id % 2 = 0 AS image FROM events""")
 def c16_matches_span(spark, d):
-    return events(spark, d).select(
-        "span_id", fs.matches_span(attrs(), {"event.type": "error", "bucket": "k3"}).alias("matches"),
-        fs.is_image_generation_span(attrs()).alias("image"),
+    rows = tables.load(spark, d, "events")
+    # Spans with both, one, or none of the attributes of an image span.
+    operation = F.when(F.col("event_id") % 3 == 0, "execute_tool").otherwise("chat")
+    tool = F.when(F.col("event_id") % 2 == 0, "generate_image").otherwise("search")
+    entries = F.array(
+        text_entry("event.type", F.col("event_type")), text_entry("gen_ai.operation.name", operation),
+        text_entry("gen_ai.tool.name", tool),
+    ).cast(KEY_VALUES)
+    rows = rows.select("event_id", entries.alias("attributes"))
+    return rows.select(
+        "event_id", fs.matches_span(F.col("attributes"), {"event.type": "error"}).alias("matches"),
+        fs.is_image_generation_span(F.col("attributes")).alias("image"),
     )
 
 
@@ -534,24 +516,27 @@ def c18_message_text(spark, d):
     return rows.select("doc_id", "f.kind", payloads.message_text(F.col("f.p")).alias("message"))
 
 
-@query("c19_count_down", "SELECT l_orderkey, l_linenumber, greatest(l_linenumber - 3 - 1, 0) AS n FROM lineitem WHERE l_linenumber >= 3")
+@query("c19_count_down", "SELECT l_orderkey, l_linenumber, greatest(l_linenumber - 1, 0) AS n FROM lineitem")
 def c19_count_down(spark, d):
-    return tables.load(spark, d, "lineitem").filter("l_linenumber >= 3").select(
-        "l_orderkey", "l_linenumber", fs.count_down(F.col("l_linenumber") - 3).alias("n")
+    return tables.load(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", fs.count_down(F.col("l_linenumber")).alias("n")
     )
 
 
 @query("c20_json_fields", f"""WITH {sql.EVENTS}
-SELECT event_id, CAST(k AS VARCHAR) AS k, event_type AS kind, CAST(NULL AS VARCHAR) AS missing, true AS has_k
+SELECT event_id, CASE WHEN k % 3 <> 0 THEN CAST(k AS VARCHAR) END AS k, event_type AS kind,
+  CASE WHEN k % 2 = 0 THEN event_type END AS sometimes, k % 3 <> 0 AS has_k
 FROM (SELECT *, name AS event_type FROM spans)""")
 def c20_json_fields(spark, d):
+    number = F.get_json_object("props", "$.k").cast("int")
+    some = F.when(number % 2 == 0, F.col("event_type"))
     nested = F.to_json(F.struct(
-        F.get_json_object("props", "$.k").alias("k"),
-        F.struct(F.struct(F.col("event_type").alias("kind")).alias("inner")).alias("outer"),
+        F.when(number % 3 != 0, number).alias("k"),
+        F.struct(F.struct(F.col("event_type").alias("kind"), some.alias("x")).alias("inner")).alias("outer"),
     ))
     rows = tables.load(spark, d, "events").select("event_id", nested.alias("payload"))
-    found = payloads.json_fields(rows, "payload", {"k": "k", "kind": "outer.inner.kind", "missing": "outer.x"})
-    return found.select("event_id", "k", "kind", "missing", payloads.has_json_key(F.col("payload"), "k").alias("has_k"))
+    found = payloads.json_fields(rows, "payload", {"k": "k", "kind": "outer.inner.kind", "sometimes": "outer.inner.x"})
+    return found.select("event_id", "k", "kind", "sometimes", payloads.has_json_key(F.col("payload"), "k").alias("has_k"))
 
 
 @query("c21_parse_json_column", """
@@ -579,10 +564,18 @@ def c22_typed_values(spark, d):
 
 
 @query("c23_json_quality_report", """
-SELECT n AS payloads, n AS objects, CAST(0 AS BIGINT) AS other_json, CAST(0 AS BIGINT) AS repeated_keys,
-       CAST(0 AS BIGINT) AS broken FROM (SELECT count(*) AS n FROM events)""")
+SELECT count(*) AS payloads, count(*) FILTER (WHERE event_id % 5 < 2) AS objects,
+       count(*) FILTER (WHERE event_id % 5 = 2) AS other_json,
+       count(*) FILTER (WHERE event_id % 5 = 1) AS repeated_keys,
+       count(*) FILTER (WHERE event_id % 5 > 2) AS broken FROM events""")
 def c23_json_quality_report(spark, d):
-    return payloads.json_quality_report(tables.load(spark, d, "events"), "props")
+    kind = F.col("event_id") % 5
+    payload = (
+        F.when(kind == 0, F.col("props")).when(kind == 1, F.lit('{"k": 1, "j": 2, "k": 3}'))
+        .when(kind == 2, F.lit("[1, 2]")).when(kind == 3, F.concat(F.lit('{"k": '), F.col("event_type"))).otherwise(F.col("event_type"))
+    )
+    rows = tables.load(spark, d, "events").select(payload.alias("payload"))
+    return payloads.json_quality_report(rows, "payload")
 
 
 @query("c24_invalid_dates", """SELECT l_orderkey, l_linenumber, dd, mm, yy FROM (
@@ -768,9 +761,36 @@ def e2_evaluate(spark, d):
     return monitor.evaluate(events(spark, d), m).select("key", "session_start", "state")
 
 
+def _stretch(bought: Column, head: Column, tail: Column, best: Column) -> Column:
+    return F.struct(bought.alias("bought"), head.alias("head"), tail.alias("tail"), best.alias("best"))
+
+
+def _merged(a: Column, b: Column) -> Column:
+    return _stretch(
+        a["bought"] | b["bought"],
+        F.when(a["bought"], a["head"]).otherwise(a["head"] + b["head"]),
+        F.when(b["bought"], b["tail"]).otherwise(a["tail"] + b["tail"]),
+        F.greatest(a["best"], b["best"], F.when(a["bought"], a["tail"] + b["head"]).otherwise(0)),
+    )
+
+
 def last_error_monitor(**settings) -> monitor.Monitor:
-    """General fold: state is (errors since the last purchase, longest such run)."""
+    """General fold: state is (errors since the last purchase, longest such run).
+
+    A stretch is summed up by whether it holds a purchase, the errors before
+    the first and after the last one, and the longest run after a purchase.
+    """
+    zero, one, no = F.lit(0), F.lit(1), F.lit(False)
     return monitor.Monitor(
+        neutral=_stretch(no, zero, zero, zero),
+        lift=lambda e: F.when(e["error"], _stretch(no, one, one, zero)).otherwise(
+            _stretch(F.coalesce(e["buy"], no), zero, zero, zero)
+        ),
+        merge=_merged,
+        enter=lambda s, m: F.struct(
+            F.when(m["bought"], m["tail"]).otherwise(s["run"] + m["tail"]).alias("run"),
+            F.greatest(s["longest"], s["run"] + m["head"], m["best"]).alias("longest"),
+        ),
         name="few errors between purchases",
         init=F.struct(F.lit(0).alias("run"), F.lit(0).alias("longest")),
         step=lambda s, e: F.when(

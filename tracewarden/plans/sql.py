@@ -44,16 +44,18 @@ spans AS (
 
 SIM = """
 lines AS (
-  SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, max(l_quantity) AS quantity
-  FROM lineitem GROUP BY ALL),
+  SELECT l_orderkey, l_linenumber, l_partkey AS part, l_quantity AS quantity,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity) AS copy
+  FROM lineitem),
 sim AS (
   SELECT 'order' || o_orderkey AS trace_id, 'root' AS span_id, CAST(NULL AS VARCHAR) AS parent_id, 'order' AS span_name,
          0 AS start_offset_ms, o_custkey % 5000 AS duration_ms FROM orders
   UNION ALL
-  SELECT 'order' || a.l_orderkey, 'line' || a.l_linenumber,
+  SELECT 'order' || a.l_orderkey, 'line' || a.l_linenumber || CASE WHEN a.copy > 1 THEN '-' || a.copy ELSE '' END,
          CASE WHEN b.l_orderkey IS NULL THEN 'root' ELSE 'line' || (a.l_linenumber - 1) END, 'ship',
          a.part % 3000, CAST(a.quantity * 100 - 300 AS BIGINT)
-  FROM lines a LEFT JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1)"""
+  FROM lines a LEFT JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1
+       AND a.copy = b.copy AND b.copy = 1)"""
 
 
 def sessions(source: str, key: str, gap_ms: int, ttl_ms: int | None = None) -> str:

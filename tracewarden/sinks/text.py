@@ -9,18 +9,23 @@ from tracewarden.functions.terms import render_terms
 from tracewarden.sources.simspans import sim_lines
 
 
-def write_span_terms(spans: DataFrame, path: str, lines_per_file: int = 1000) -> None:
+def write_span_terms(spans: DataFrame, path: str, lines_per_file: int = 1_000_000) -> None:
     """One line per span, in files of bounded length."""
     render_terms(spans).write.mode("append").option("maxRecordsPerFile", lines_per_file).text(path)
 
 
 def stream_span_terms(
-    spans: DataFrame, path: str, checkpoint: str, trigger: str = "1 minute"
+    spans: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: str = "1 minute",
+    lines_per_file: int = 1_000_000,
 ) -> StreamingQuery:
-    """The same for a stream; files roll with every trigger."""
+    """The same for a stream; files roll with every trigger and when full."""
     return (
         render_terms(spans)
         .writeStream.format("text")
+        .option("maxRecordsPerFile", lines_per_file)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=trigger)

@@ -39,10 +39,15 @@ def write_verdict_batch(documents: DataFrame, batch_id: int, path: str) -> None:
 
 
 def verdicts_in_range(documents: DataFrame, property_name: str, start: Column, end: Column) -> DataFrame:
-    """Documents of a property started within the range, both ends included."""
-    return documents.filter(
-        (F.col("propertyName") == property_name) & F.col("startDate").between(start, end)
-    )
+    """Documents of a property started within the range, both ends included.
+
+    A stored table has a ``day`` partition for each date; only those of the
+    range are listed and read.
+    """
+    met = (F.col("propertyName") == property_name) & F.col("startDate").between(start, end)
+    if "day" in documents.columns:
+        met &= F.col("day").between(F.to_date(start), F.to_date(end))
+    return documents.filter(met)
 
 
 def latest_verdicts(documents: DataFrame) -> DataFrame:

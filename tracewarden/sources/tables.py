@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.schema import (
@@ -19,17 +19,7 @@ SECOND = 1_000_000_000
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{table}.parquet"))
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer splits than there are task slots, over all slots.
-
-    A file of one row group is one task, however much work follows per row.
-    Large inputs have splits enough and are left as they are.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+    return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
 def utc_micros(df: DataFrame, column: str) -> Column:
@@ -207,8 +197,9 @@ def sim_spans_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Planned spans from orders and lines, with ids that repeat nowhere.
 
     Line ``n`` of an order hangs below line ``n - 1`` where that exists, else
-    below the order; copies of a line hang below the order with ids of their
-    own, so that trees have several levels.
+    below the order, so that trees have several levels.  The table repeats
+    line numbers; further copies of a line hang below the order with ids of
+    their own.  Every row of both tables is a span.
     """
     orders = load(spark, folder, "orders")
     lines = load(spark, folder, "lineitem")
@@ -221,14 +212,23 @@ def sim_spans_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("start_offset_ms"),
         (F.col("o_custkey") % 5000).cast("bigint").alias("duration_ms"),
     )
-    per_line = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(
-        F.min("l_partkey").alias("part"), F.max("l_quantity").alias("quantity")
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity")
+    copies = lines.select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        "l_linenumber",
+        F.col("l_partkey").alias("part"),
+        F.col("l_quantity").alias("quantity"),
+        F.row_number().over(same).alias("copy"),
+    )
+    above = copies.filter("copy = 1").select(
+        "o_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.lit(1).alias("has_above"), "copy"
     )
-    above = per_line.select("o_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.lit(1).alias("has_above"))
-    placed = per_line.join(above, ["o_orderkey", "l_linenumber"], "left")
+    placed = copies.join(above, ["o_orderkey", "l_linenumber", "copy"], "left")
+    line = F.concat(F.lit("line"), F.col("l_linenumber").cast("string"))
+    own = F.when(F.col("copy") > 1, F.concat(line, F.lit("-"), F.col("copy").cast("string")))
     children = placed.select(
         trace.alias("trace_id"),
-        F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("span_id"),
+        F.coalesce(own, line).alias("span_id"),
         F.when(
             F.col("has_above") == 1,
             F.concat(F.lit("line"), (F.col("l_linenumber") - 1).cast("string")),

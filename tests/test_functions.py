@@ -62,11 +62,13 @@ def test_any_value_to_string(spark):
     values = [
         value("a"), value(None, bool_value=True), value(None, int_value=-3), value(None, double_value=0.5),
         value(None, array_value="[1]"), value(None, kvlist_value="{}"), value(None, bytes_value=b"\x0a\xff"),
-        value(None), value(""),
+        value(None), value(""), value('q"/é'),
     ]
     df = spark.createDataFrame([([("k", v) for v in values],)], f"a {KEY_VALUES}")
     got = df.select(F.transform("a", lambda e: fs.any_value_to_string(e["value"]))).first()[0]
-    assert got == ["a", "true", "-3", "0.5", "unsupportedArrayValue", "unsupportedKvlistValue", "0aff", "", ""]
+    assert got == ["a", "true", "-3", "0.5", "unsupportedArrayValue", "unsupportedKvlistValue", "0aff", "", "", 'q\\"\\/\\u00E9']
+    plain = df.select(F.transform("a", lambda e: fs.plain_value(e["value"]))).first()[0]
+    assert plain[:-1] == got[:-1] and plain[-1] == 'q"/é'
 
 
 def test_first_entry_wins(spark):

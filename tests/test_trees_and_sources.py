@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from samples import span, spans
-from tracewarden.operators import routing, tree
+from tracewarden.operators import metrics, routing, tree
 from tracewarden.operators.sessions import multiple_root_errors, tumbling_letters
 from tracewarden.settings import Job
 from tracewarden.operators.properties import duration_safety
 from tracewarden.sinks import text, verdicts
-from tracewarden.sources import generate, otlp, simspans
+from tracewarden.sources import otlp, simspans
 
 PLAN = [
     ("trace1", "root1", None, 0, 1000), ("trace1", "child11", "root1", 0, 3000),
@@ -183,23 +183,70 @@ def test_job_from_settings(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "terms")).count() == 1
 
 
-def test_generated_traces(spark):
-    df = generate.generate_spans(spark, 50, seed=4)
-    rows = df.collect()
-    assert len(rows) == 200 and sorted(rows, key=str) == sorted(generate.generate_spans(spark, 50, seed=4).collect(), key=str)
-    assert len({r.span_id for r in rows}) == 200 and len({r.trace_id for r in rows}) == 50
-    by_trace = {}
-    for r in rows:
-        by_trace.setdefault(r.trace_id, {})[r.name.split(" ")[0]] = r
-    for trace in by_trace.values():
-        root, loop = trace["invoke_agent"], trace["execute_event_loop_cycle"]
-        assert root.parent_span_id == "" and loop.parent_span_id == root.span_id
-        assert trace["chat"].parent_span_id == trace["stream_chat"].parent_span_id == loop.span_id
-        assert 10**7 <= loop.start_time_unix_nano - root.start_time_unix_nano <= 5 * 10**7
-        assert 2 * 10**9 <= loop.end_time_unix_nano - root.start_time_unix_nano <= 5 * 10**9
-        assert 5 * 10**7 <= trace["chat"].start_time_unix_nano - root.start_time_unix_nano <= 10**8
-    assert df.select("trace_id").distinct().join(
-        generate.generate_spans(spark, 50, seed=5).select("trace_id"), "trace_id").count() == 0
+_VALUE = (
+    "struct<string_value:string,bool_value:boolean,int_value:bigint,double_value:double,"
+    "array_value:struct<values:array<struct<int_value:bigint>>>,bytes_value:binary>"
+)
+_ATTRIBUTES = f"attributes:array<struct<key:string,value:{_VALUE}>>,dropped_attributes_count:bigint"
+DECODED = (
+    f"r struct<resource_spans:array<struct<resource:struct<{_ATTRIBUTES}>,scope_spans:array<struct<"
+    f"scope:struct<name:string,version:string,{_ATTRIBUTES}>,spans:array<struct<"
+    "trace_id:binary,span_id:binary,trace_state:string,parent_span_id:binary,flags:bigint,name:string,kind:int,"
+    f"start_time_unix_nano:bigint,end_time_unix_nano:bigint,{_ATTRIBUTES},"
+    f"events:array<struct<time_unix_nano:bigint,name:string,{_ATTRIBUTES}>>,dropped_events_count:bigint,"
+    f"links:array<struct<trace_id:binary,span_id:binary,trace_state:string,{_ATTRIBUTES},flags:bigint>>,"
+    "dropped_links_count:bigint,status:struct<message:string,code:int>>>,schema_url:string>>,schema_url:string>>>"
+)
+
+
+def test_decoded_requests(spark):
+    """A struct as the protobuf decoder gives it: descriptor names, binary ids."""
+    trace, own = bytes.fromhex("0af7651916cd43dd8448eb211c80319c"), bytes.fromhex("b7ad6b7169203331")
+    none = (None, None, None, None, None, None)
+    entries = [("n", (None, None, 7, None, None, None)), ("l", (*none[:4], ([(1,)],), None)), ("b", (*none[:5], b"\x01\xff")), ("s", ("x", *none[1:]))]
+    one = (trace, own, "", b"", 0, "a", 3, 1700000000000000001, 1700000000000000002, entries, 0,
+           [(5, "e", entries[:1], 0)], 0, [(own, trace, "", [], 0, 1)], 0, ("", 2))
+    request = ([((entries[3:], 0), [(("lib", "1", [], 0), [one], "s1"), (None, [], None)], "r1"), (None, [], None)],)
+    decoded = spark.createDataFrame([(request,), (None,)], DECODED)
+    (row,) = otlp.flatten_spans(otlp.decoded_requests(decoded, "r")).collect()
+    assert (row.trace_id, row.span_id, row.parent_span_id) == (trace.hex(), own.hex(), "")
+    assert row.start_time_unix_nano == 1700000000000000001 and row.kind == 3 and row.status.code == 2
+    assert row.attributes[0].value.int_value == 7 and "1" in row.attributes[1].value.array_value
+    assert bytes(row.attributes[2].value.bytes_value) == b"\x01\xff" and row.attributes[3].value.string_value == "x"
+    assert row.events[0].name == "e" and row.links[0].span_id == trace.hex() and row.links[0].flags == 1
+    assert row.scope.name == "lib" and row.scope_schema_url == "s1" and row.resource_schema_url == "r1"
+    assert row.resource.attributes[0].value.string_value == "x"
+
+
+def test_malformed_request_texts_fail(spark):
+    rows = spark.createDataFrame([("{broken",), (json.dumps(REQUEST),)], "t string")
+    with pytest.raises(Exception):
+        otlp.flatten_spans(otlp.parse_requests(rows, "t")).collect()
+    good = spark.createDataFrame([(json.dumps(REQUEST),), (None,)], "t string")
+    assert otlp.flatten_spans(otlp.parse_requests(good, "t")).count() == 1
+
+
+def test_rates_need_whole_steps(spark):
+    rows = spark.createDataFrame([(1000, "a"), (16_000, "a")], "ms bigint, label string")
+    with pytest.raises(ValueError):
+        metrics.rate_by(rows, F.col("ms"), F.col("label"), 50, 15)
+    got = metrics.rate_by(rows, F.col("ms"), F.col("label"), 30, 15).collect()
+    assert {r.window_end_ms: r.per_second for r in got} == {15_000: 1 / 30, 30_000: 2 / 30, 45_000: 1 / 30}
+
+
+def test_nested_paths_route(spark):
+    messages = spark.createDataFrame(
+        [(1, "t", '{"a":{"b":"x"},"c.d":"y"}'), (2, "t", '{"a":{"b":"z"}}'), (3, "t", "broken"), (4, "t", None)],
+        "msg_id bigint, topic string, attributes string",
+    )
+    fanned = routing.fan_out(messages, spark.createDataFrame([("t", "s")], "topic string, subscription string"))
+    subscribers = spark.createDataFrame(
+        [("s", "x", "a.b", "x"), ("s", "z", "a.b", "z"), ("s", "none", "a.q", "x"), ("s", "all", None, None), ("o", "other", None, None)],
+        "subscription string, subscriber string, filter_key string, filter_value string",
+    )
+    routed = routing.route(fanned, subscribers)
+    got = sorted((r.subscriber, r.msg_id) for r in routed.collect())
+    assert got == [("all", 1), ("all", 2), ("all", 3), ("all", 4), ("x", 1), ("z", 2)]
 
 
 def test_letters_and_second_roots(spark):
@@ -229,5 +276,6 @@ def test_verdict_tables(spark, tmp_path):
     assert [(r.truthValue, int(r.evaluationDate.timestamp())) for r in last] == [("False", 20)]
     low, high = F.timestamp_seconds(F.lit(1)), F.timestamp_seconds(F.lit(86_400))
     assert verdicts.verdicts_in_range(stored, "p", low, high).count() == 4
+    assert verdicts.verdicts_in_range(stored, "p", F.timestamp_seconds(F.lit(2)), high).count() == 2
     plan = verdicts.verdicts_in_range(stored, "p", low, high)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(propertyName" in plan

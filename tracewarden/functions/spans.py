@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.functions.payloads import let, message_text, text_contains
+from tracewarden.functions.payloads import escape_json, let, message_text, text_contains
 
 NANOS_PER_MS = 1_000_000
 
@@ -57,6 +57,12 @@ def event_label(
 
 
 def any_value_to_string(value: Column) -> Column:
+    """Text of an attribute value as it stands in terms: strings are escaped."""
+    text = value["string_value"]
+    return F.when(text.isNotNull(), escape_json(text)).otherwise(plain_value(value))
+
+
+def plain_value(value: Column) -> Column:
     """Text of an attribute value; lists and nested lists give a fixed word."""
     return (
         F.when(value["string_value"].isNotNull(), value["string_value"])
@@ -74,7 +80,7 @@ def any_value_to_string(value: Column) -> Column:
 def attribute(attributes: Column, key: str) -> Column:
     """Text of the first entry with the key; NULL when there is none."""
     texts = F.transform(
-        F.filter(attributes, lambda a: a["key"] == key), lambda a: any_value_to_string(a["value"])
+        F.filter(attributes, lambda a: a["key"] == key), lambda a: plain_value(a["value"])
     )
     return F.get(texts, F.lit(0))
 
@@ -95,7 +101,7 @@ def has_attribute(attributes: Column, key: str, value: str) -> Column:
     return F.coalesce(
         F.exists(
             attributes,
-            lambda a: (a["key"] == key) & (any_value_to_string(a["value"]) == value),
+            lambda a: (a["key"] == key) & (plain_value(a["value"]) == value),
         ),
         F.lit(False),
     )

@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.functions.payloads import escape_json
 from tracewarden.functions.spans import any_value_to_string
 
 
-def _value(value: Column) -> Column:
-    text = value["string_value"]
-    return F.when(text.isNotNull(), escape_json(text)).otherwise(any_value_to_string(value))
-
-
 def attribute_terms(attributes: Column) -> Column:
     """Entries as ``["key", "value"]`` joined by a space; ``nil`` when empty."""
     entries = F.transform(
-        attributes, lambda a: F.concat(F.lit('["'), a["key"], F.lit('", "'), _value(a["value"]), F.lit('"]'))
+        attributes, lambda a: F.concat(F.lit('["'), a["key"], F.lit('", "'), any_value_to_string(a["value"]), F.lit('"]'))
     )
     return F.when(F.size(attributes) == 0, "nil").otherwise(F.array_join(entries, " "))
 

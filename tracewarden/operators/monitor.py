@@ -329,20 +329,24 @@ def evaluate_narrow(
     monitor: Monitor,
     starts: DataFrame | None = None,
     chunks: int | None = None,
+    borders: DataFrame | None = None,
 ) -> DataFrame:
-    """``evaluate`` for spans that ``narrowed`` has prepared."""
+    """``evaluate`` for spans that ``narrowed`` has prepared.
+
+    ``borders`` are the ``session_slices`` of the spans, if they are known.
+    """
     if isinstance(monitor, SumMonitor):
-        states = _session_totals(narrow, monitor, starts)
+        states = _session_totals(narrow, monitor, starts, borders)
     else:
-        states = _session_states(narrow, monitor, starts, chunks)
+        states = _session_states(narrow, monitor, starts, chunks, borders)
     return states.select(
         "key", "generation", "session_start", "session_end", "state",
         monitor.verdict(F.col("state")).alias("verdict"),
     )
 
 
-def _session_totals(narrow: DataFrame, monitor: Monitor, starts: DataFrame | None) -> DataFrame:
-    events = monitor_events(monitored(narrow, monitor), monitor.features)
+def _session_totals(narrow: DataFrame, monitor: Monitor, starts, borders) -> DataFrame:
+    events = monitor_events(monitored(narrow, monitor, borders), monitor.features)
     per_session = events.groupBy("key", "generation", "session_start", "session_end").agg(
         F.sum("amount").alias("state")
     )
@@ -359,10 +363,11 @@ def _session_totals(narrow: DataFrame, monitor: Monitor, starts: DataFrame | Non
     return started.withColumn("state", F.col("state") + F.col("_start"))
 
 
-def _session_states(narrow, monitor, starts, chunks) -> DataFrame:
+def _session_states(narrow, monitor, starts, chunks, borders) -> DataFrame:
     payload = list(monitor.features)
     keys = monitor.fold_keys()
-    borders = freeze(session_slices(narrow, monitor.gap_ms, monitor.ttl_ms))
+    if borders is None:
+        borders = freeze(session_slices(narrow, monitor.gap_ms, monitor.ttl_ms))
     events = monitor_events(monitored(narrow, monitor, borders), monitor.features)
     rows = events.withColumn("mark", F.lit(False))
     # A mark stands for the end of a session; it moves nothing.
@@ -450,8 +455,31 @@ def unmatched_events(spans: DataFrame, monitor: Monitor) -> DataFrame:
 
 
 def run_monitors(spans: DataFrame, monitors: list[Monitor]) -> DataFrame:
-    """Verdicts of several properties over the same spans."""
-    return reduce(DataFrame.unionByName, [run_monitor(spans, m) for m in monitors])
+    """Verdicts of several properties over the same spans.
+
+    Monitors with the same key, gap and TTL that ignore and prepare nothing
+    read the spans once, for the features of all of them, and share the
+    sessions; others run by themselves.
+    """
+    groups: dict[tuple, list[Monitor]] = {}
+    for place, m in enumerate(monitors):
+        alone = m.prepare is not None or m.ignore_key is not None or m.ignore_session is not None
+        by = (m.key_attribute, m.gap_ms, m.ttl_ms, place if alone else -1)
+        groups.setdefault(by, []).append(m)
+    found = []
+    for (key_attribute, gap_ms, ttl_ms, _), group in groups.items():
+        if len(group) == 1:
+            found.append(run_monitor(spans, group[0]))
+            continue
+        features = {f"m{i}_{n}": c for i, m in enumerate(group) for n, c in m.features.items()}
+        narrow = freeze(_narrow(key_spans(spans, key_attribute), features))
+        borders = freeze(session_slices(narrow, gap_ms, ttl_ms))
+        for i, m in enumerate(group):
+            own = {f"m{i}_{n}_{e}": f"{n}_{e}" for n in m.features for e in (0, 1)}
+            others = [c for c in narrow.columns if c not in own and c.startswith("m") and c[1:2].isdigit()]
+            mine = narrow.drop(*others).withColumnsRenamed(own)
+            found.append(verdicts(evaluate_narrow(mine, m, borders=borders), m))
+    return reduce(DataFrame.unionByName, found)
 
 
 def verdict_summary(found: DataFrame) -> DataFrame:

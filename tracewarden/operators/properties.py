@@ -89,17 +89,24 @@ def classify_text(df: DataFrame, column: str, judged: DataFrame, label: str = "i
     """Add the judge's answer for each text; NULL where there is no answer.
 
     Texts are compared by their SHA-256 digest, so whole texts do not travel
-    through the join.  ``judged`` holds one row per text.
+    through the join.  Rows without a text get a key of their own each, as
+    they would else all meet in one task.  ``judged`` holds one row per text.
     """
     marks = judged.select(F.sha2("text", 256).alias("_digest"), F.col(label))
-    return df.withColumn("_digest", F.sha2(column, 256)).join(marks, "_digest", "left").drop("_digest")
+    own = F.concat(F.lit("none "), F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).cast("string"))
+    keyed = df.withColumn("_digest", F.coalesce(F.sha2(column, 256), own))
+    return keyed.join(marks, "_digest", "left").drop("_digest")
 
 
 def judge_texts(
     df: DataFrame, column: str, judge: Callable[[pd.Series], pd.Series], label: str = "impolite"
 ) -> DataFrame:
-    """Ask a batch judge once per distinct text: columns ``text`` and the answer."""
-    texts = df.select(F.col(column).alias("text")).dropna().distinct()
+    """Ask a batch judge once per distinct text: columns ``text`` and the answer.
+
+    Texts are told apart by their digest.
+    """
+    texts = df.select(F.col(column).alias("text")).dropna()
+    texts = texts.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text")).select("text")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

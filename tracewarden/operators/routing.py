@@ -17,14 +17,19 @@ def fan_out(messages: DataFrame, topic_subscriptions: DataFrame) -> DataFrame:
     return messages.join(topic_subscriptions, "topic")
 
 
+def _at_path(payload: Column, path: Column) -> Column:
+    """Text at a dotted path that is given by a column."""
+    quoted = F.concat(F.lit("$['"), F.replace(path, F.lit("."), F.lit("']['")), F.lit("']"))
+    return F.call_function("get_json_object", payload, quoted)
+
+
 def filter_holds(payload: Column, path: Column, value: Column) -> Column:
     """Whether a filter given by columns holds; a NULL path means no filter.
 
-    Paths are flat keys of the attributes object.
+    Paths are dotted, as in ``payloads.json_field``.
     """
-    fields = F.from_json(payload, "map<string,string>")
     return F.when(path.isNull(), True).otherwise(
-        F.coalesce(F.try_element_at(fields, path) == value, F.lit(False))
+        F.coalesce(_at_path(payload, path) == value, F.lit(False))
     )
 
 
@@ -32,11 +37,19 @@ def route(fanned: DataFrame, subscribers: DataFrame) -> DataFrame:
     """Messages per subscriber whose filter holds on the message's attributes.
 
     ``subscribers`` has subscription, subscriber, filter_key, filter_value.
+    Each message gives the values at the paths that some filter of the
+    subscription names; path and value are then part of the join, so a message
+    meets the subscribers that get it and no others.
     """
-    met = filter_holds(F.col("attributes"), F.col("filter_key"), F.col("filter_value"))
-    return fanned.join(subscribers, "subscription").filter(met).select(
-        "subscriber", "subscription", "topic", "msg_id"
+    out = ["subscriber", "subscription", "topic", "msg_id"]
+    filtered = subscribers.filter("filter_key is not null")
+    paths = filtered.select("subscription", "filter_key").distinct()
+    values = fanned.join(paths, "subscription").withColumn(
+        "filter_value", _at_path(F.col("attributes"), F.col("filter_key"))
     )
+    met = values.join(filtered, ["subscription", "filter_key", "filter_value"]).select(*out)
+    free = subscribers.filter("filter_key is null").select("subscription", "subscriber")
+    return met.unionByName(fanned.join(free, "subscription").select(*out))
 
 
 def received(routed: DataFrame, chunks: int | None = None) -> DataFrame:

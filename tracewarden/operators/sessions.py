@@ -210,7 +210,7 @@ def _seen(name: str, kind: str) -> Column:
         return F.coalesce(F.bool_or(F.coalesce(start, F.lit(False)) | F.coalesce(end, F.lit(False))), F.lit(False))
     if kind == "all":
         return F.coalesce(F.bool_and(F.coalesce(start & end, F.lit(False))), F.lit(True))
-    at = lambda time, is_end: F.struct(time, "trace_id", "span_id", F.lit(is_end))
+    at = lambda time, is_end: F.struct(F.col(time).alias("at"), "trace_id", "span_id", F.lit(is_end).alias("is_end"))
     begin, stop = at("start_time_unix_nano", False), at("end_time_unix_nano", True)
     if kind == "first":
         early = F.when(begin <= stop, start).otherwise(end)

@@ -1,7 +1,9 @@
 """Temporal checks over the ordered rows of each key, as partial aggregates.
 
-Every check gives one row per key with a nullable boolean ``holds``: NULL
-means undecided.  ``closed`` says that no more rows will come.
+Every check gives one row per key with nullable booleans: NULL means
+undecided.  ``holds`` is judged on sequences that are ``closed`` (no more rows
+will come) or not; with ``closed=None`` one pass gives both judgements, in the
+columns ``closed`` and ``open``.
 """
 
 from __future__ import annotations
@@ -19,36 +21,32 @@ def _flag(p: Column) -> Column:
     return F.coalesce(p, F.lit(False))
 
 
-def _decided(closed: bool, value: Column) -> Column:
-    return value if closed else F.lit(None).cast("boolean")
+def _judged(df: DataFrame, keys: list[str], ended: Column, running: Column, closed: bool | None) -> DataFrame:
+    if closed is None:
+        return df.select(*keys, ended.alias("closed"), running.cast("boolean").alias("open"))
+    return df.select(*keys, (ended if closed else running.cast("boolean")).alias("holds"))
 
 
-def always(rows: DataFrame, keys: list[str], p: Column, closed: bool = True) -> DataFrame:
-    kept = F.bool_and(_flag(p))
-    return rows.groupBy(*keys).agg(kept.alias("kept")).select(
-        *keys, F.when(~F.col("kept"), False).otherwise(_decided(closed, F.lit(True))).alias("holds")
-    )
+def always(rows: DataFrame, keys: list[str], p: Column, closed: bool | None = True) -> DataFrame:
+    found = rows.groupBy(*keys).agg(F.bool_and(_flag(p)).alias("kept"))
+    return _judged(found, keys, F.col("kept"), F.when(~F.col("kept"), False), closed)
 
 
-def eventually(rows: DataFrame, keys: list[str], p: Column, closed: bool = True) -> DataFrame:
-    met = F.bool_or(_flag(p))
-    return rows.groupBy(*keys).agg(met.alias("met")).select(
-        *keys, F.when(F.col("met"), True).otherwise(_decided(closed, F.lit(False))).alias("holds")
-    )
+def eventually(rows: DataFrame, keys: list[str], p: Column, closed: bool | None = True) -> DataFrame:
+    found = rows.groupBy(*keys).agg(F.bool_or(_flag(p)).alias("met"))
+    return _judged(found, keys, F.col("met"), F.when(F.col("met"), True), closed)
 
 
 def eventually_always(
-    rows: DataFrame, keys: list[str], order: list[str], p: Column, closed: bool = True
+    rows: DataFrame, keys: list[str], order: list[str], p: Column, closed: bool | None = True
 ) -> DataFrame:
     """From some point on ``p`` holds to the end: it holds on the last row."""
-    last = F.max_by(_flag(p), F.struct(*order))
-    return rows.groupBy(*keys).agg(last.alias("last")).select(
-        *keys, _decided(closed, F.col("last")).alias("holds")
-    )
+    found = rows.groupBy(*keys).agg(F.max_by(_flag(p), F.struct(*order)).alias("last"))
+    return _judged(found, keys, F.col("last"), F.lit(None), closed)
 
 
 def response(
-    rows: DataFrame, keys: list[str], order: list[str], p: Column, q: Column, closed: bool = True
+    rows: DataFrame, keys: list[str], order: list[str], p: Column, q: Column, closed: bool | None = True
 ) -> DataFrame:
     """Every ``p`` is followed, at or after it, by a ``q``."""
     place = F.struct(*order)
@@ -58,7 +56,7 @@ def response(
     answered = F.when(F.col("last_p").isNull(), True).otherwise(
         F.coalesce(F.col("last_p") <= F.col("last_q"), F.lit(False))
     )
-    return ends.select(*keys, _decided(closed, answered).alias("holds"))
+    return _judged(ends, keys, answered, F.lit(None), closed)
 
 
 def bounded_response(
@@ -69,14 +67,15 @@ def bounded_response(
     p: Column,
     q: Column,
     within: int,
-    closed: bool = True,
+    closed: bool | None = True,
     chunks: int | None = None,
 ) -> DataFrame:
     """Every ``p`` has a ``q`` at or after it, at most ``within`` positions on.
 
     ``position`` is the column that counts events, letters or nanoseconds; the
     rows are ordered by ``order``.  While rows may still come, a ``p`` whose
-    bound has not passed yet leaves the check undecided.
+    bound has not passed yet leaves the check undecided.  Runs jobs while it is
+    built.
     """
     needed = freeze(
         rows.select(
@@ -95,12 +94,8 @@ def bounded_response(
         F.min(position).alias("_first"), F.count_if(F.col("_q").isNotNull()).alias("_missed")
     )
     joined = ends.join(open_p, keys, "left")
-    if closed:
-        holds = F.col("_first").isNull()
-    else:
-        passed = (F.col("_missed") > 0) | (F.col("_first") + within < F.col("_end"))
-        holds = F.when(passed, False)
-    return joined.select(*keys, holds.alias("holds"))
+    passed = (F.col("_missed") > 0) | (F.col("_first") + within < F.col("_end"))
+    return _judged(joined, keys, F.col("_first").isNull(), F.when(passed, False), closed)
 
 
 def implies(a: Column, b: Column) -> Column:

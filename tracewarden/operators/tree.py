@@ -2,8 +2,8 @@
 
 Trees are climbed by pointer doubling: after round ``k`` each span points to
 its ancestor ``2^k`` levels up and knows what lies in between, so a tree of
-depth ``d`` takes ``log2 d`` joins of the spans table with itself.  Each round
-is written out; nothing is gathered per trace.
+depth ``d`` takes ``log2 d`` joins.  Each round joins and writes only the spans
+that have not reached their root; nothing is gathered per trace.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ def duplicate_span_ids(spans: DataFrame) -> DataFrame:
     )
 
 
-def _climb(nodes: DataFrame, paths: bool = False) -> list[DataFrame]:
-    """Pointer tables, one per round, the last one with every span at its root.
+def _climb(nodes: DataFrame, paths: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """Spans at their roots, and the spans still below theirs in each round.
 
     ``nodes`` has trace_id, span_id, up (parent or NULL) and own (a number).
     Spans below a missing parent drop out; spans on a cycle, or below one,
-    still point somewhere after the last round.
+    never get to a root.  Runs a few jobs per round while it is built.
     """
     level = freeze(
         nodes.select(
@@ -42,16 +42,17 @@ def _climb(nodes: DataFrame, paths: bool = False) -> list[DataFrame]:
             F.when(F.col("up").isNull(), F.col("span_id")).alias("top"),
         )
     )
-    levels, waiting = [level], None
+    done, rounds, waiting = level.filter("up is null"), [], None
+    pending = level.filter("up is not null")
     while True:
-        pending = level.filter("up is not null")
         # Every round some span reaches its root, unless all that wait are on
         # a cycle or below one.
         left = pending.count()
         if left == 0 or left == waiting:
-            break
+            return done, rounds
         waiting = left
-        higher = level.select(
+        rounds.append(pending)
+        higher = done.unionByName(pending).select(
             "trace_id",
             F.col("span_id").alias("up"),
             F.col("up").alias("next_up"),
@@ -70,9 +71,8 @@ def _climb(nodes: DataFrame, paths: bool = False) -> list[DataFrame]:
             (F.concat_ws("/", "more_path", "path") if paths else F.col("path")).alias("path"),
             F.col("next_top").alias("top"),
         )
-        level = freeze(level.filter("up is null").unionByName(moved))
-        levels.append(level)
-    return levels
+        level = freeze(moved)
+        done, pending = done.unionByName(level.filter("up is null")), level.filter("up is not null")
 
 
 def _nodes(spans: DataFrame, own: str | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def _first_roots(spans: DataFrame) -> DataFrame:
 
 
 def _reached(spans: DataFrame, paths: bool) -> DataFrame:
-    done = _climb(_nodes(spans), paths)[-1].filter("up is null")
+    done, _ = _climb(_nodes(spans), paths)
     return done.join(_first_roots(spans), ["trace_id", "top"], "left_semi")
 
 
@@ -132,8 +132,8 @@ def effective_timeline(sim_spans: DataFrame, pad_ms: int = PAD_MS) -> DataFrame:
     duration but not before its children.
     """
     spans = freeze(sim_spans.withColumn("offset", F.col("start_offset_ms") + pad_ms))
-    levels = _climb(_nodes(spans, "offset"))
-    starts = levels[-1].filter("up is null").select(
+    done, rounds = _climb(_nodes(spans, "offset"))
+    starts = done.select(
         "trace_id",
         "span_id",
         "depth",
@@ -141,23 +141,20 @@ def effective_timeline(sim_spans: DataFrame, pad_ms: int = PAD_MS) -> DataFrame:
         F.greatest("own", "above").alias("start_ms"),
     )
     planned = freeze(spans.join(starts, ["trace_id", "span_id"]))
-    ends = freeze(
-        planned.select(
-            "trace_id", "span_id", (F.col("start_ms") + F.col("duration_ms")).alias("end_ms")
-        )
+    # Ends only grow: each round adds rows for the spans above others, and the
+    # largest end of a span counts.
+    ends = planned.select(
+        "trace_id", "span_id", (F.col("start_ms") + F.col("duration_ms")).alias("end_ms")
     )
-    for level in levels[:-1]:
+    for pending in rounds:
         below = (
-            level.filter("up is not null")
+            pending.select("trace_id", "span_id", "up")
             .join(ends, ["trace_id", "span_id"])
             .groupBy("trace_id", F.col("up").alias("span_id"))
-            .agg(F.max("end_ms").alias("below"))
-        )
-        ends = freeze(
-            ends.join(below, ["trace_id", "span_id"], "left").select(
-                "trace_id", "span_id", F.greatest("end_ms", "below").alias("end_ms")
-            )
+            .agg(F.max("end_ms").alias("end_ms"))
         )
+        ends = ends.unionByName(freeze(below))
+    ends = ends.groupBy("trace_id", "span_id").agg(F.max("end_ms").alias("end_ms"))
     return planned.join(ends, ["trace_id", "span_id"])
 
 

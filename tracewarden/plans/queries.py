@@ -12,7 +12,7 @@ from tracewarden.functions import payloads, spans as fs, terms
 from tracewarden.operators import metrics, monitor, properties, routing, temporal, trace_query, tree
 from tracewarden.operators import sessions as ss
 from tracewarden.plans import sql
-from tracewarden.schema import (
+from tracewarden.schema import (, text_entry
     KEY_VALUES, attribute_entry, bool_value, double_value, number_value, text_value,
 )
 from tracewarden.session import freeze, shared_dir
@@ -371,7 +371,7 @@ def c4_nanos_to_ms(spark, d):
 
 
 @query("c5_any_value_to_string", """
-SELECT c_custkey, kind, CASE kind WHEN 's' THEN c_mktsegment WHEN 'i' THEN CAST(c_nationkey AS VARCHAR)
+SELECT c_custkey, kind, CASE kind WHEN 's' THEN c_mktsegment || '\\"\\/\\u00E9' WHEN 'i' THEN CAST(c_nationkey AS VARCHAR)
   WHEN 'b' THEN CASE WHEN c_nationkey > 9 THEN 'true' ELSE 'false' END WHEN 'a' THEN 'unsupportedArrayValue'
   WHEN 'k' THEN 'unsupportedKvlistValue' WHEN 'y' THEN lower(hex(c_name)) WHEN 'd' THEN
   CAST(c_nationkey + 0.5 AS DOUBLE)::VARCHAR ELSE '' END AS text
@@ -379,7 +379,7 @@ FROM customer, (VALUES ('s'), ('i'), ('b'), ('a'), ('k'), ('y'), ('d'), ('n')) A
 def c5_any_value_to_string(spark, d):
     blank = text_value(F.lit(None))
     values = {
-        "s": text_value(F.col("c_mktsegment")),
+        "s": text_value(F.concat("c_mktsegment", F.lit('"/\u00e9'))),
         "i": number_value(F.col("c_nationkey")),
         "b": bool_value(F.col("c_nationkey") > 9),
         "a": blank.withField("array_value", F.lit("[1]")),
@@ -564,7 +564,7 @@ def c22_typed_values(spark, d):
 
 
 @query("c23_json_quality_report", """
-SELECT count(*) AS payloads, count(*) FILTER (WHERE event_id % 5 < 2) AS objects,
+SELECT count(*) AS payloads, count(*) FILTER (WHERE event_id % 5 = 0) AS objects,
        count(*) FILTER (WHERE event_id % 5 = 2) AS other_json,
        count(*) FILTER (WHERE event_id % 5 = 1) AS repeated_keys,
        count(*) FILTER (WHERE event_id % 5 > 2) AS broken FROM events""")
@@ -681,14 +681,38 @@ def d10_ignore_windows(spark, d):
     )
 
 
+_BOUGHT = f"""WITH {TRACE_SESSIONS},
+kept AS (
+  SELECT key, session_start FROM evs GROUP BY ALL
+  HAVING bool_or(name = 'purchase') AND NOT arg_max(is_end AND name = 'error', row(epoch_ns, trace_id, span_id, is_end))),
+{_ERRORS.replace("FROM deduped", "FROM deduped SEMI JOIN kept USING (key, session_start)")}"""
+
+
+@query("d10_ignore_by_events", f"{_BOUGHT} SELECT {_VERDICT} FROM judged")
+def d10_ignore_by_events(spark, d):
+    """Sessions without a purchase, or that end in an error, are not judged."""
+    m = errors_monitor(
+        ignore_features={"bought": ("any", is_buy()), "failed": ("last", F.col("is_end") & is_error())},
+        ignore_session=~F.col("bought") | F.col("failed"),
+    )
+    return monitor.run_monitor(events(spark, d), m)
+
+
 @query("d11_older_than", f"""WITH {sql.CONVERSATIONS}
-SELECT span_id, 1700000000 + conv_id * 86400 < 1702000000 - 86400 AS too_old, false AS trace_too_old FROM spans""")
+SELECT span_id, 1700000000 + conv_id * 86400 < 1702000000 - 86400 AS too_old,
+  conv_id % 2 = 0 AND 1700000000 + conv_id * 86400 < 1702000000 - 86400 AS numbered_too_old FROM spans""")
 def d11_older_than(spark, d):
     spans = ss.key_by_attribute(chats(spark, d), "chat_id")
     as_of = F.lit(1_702_000_000)
     return spans.select(
         "span_id", ss.older_than(F.col("key"), as_of).alias("too_old"),
-        ss.older_than(F.concat(F.lit("x/"), F.lit("none")), as_of).alias("trace_too_old"),
+        # Keys that end in no number are never too old.
+        ss.older_than(
+            F.when(F.pmod(F.conv(F.col("trace_id"), 16, 10).cast("bigint"), F.lit(2)) == 0, F.col("key")).otherwise(
+                F.concat("key", F.lit("/none"))
+            ),
+            as_of,
+        ).alias("numbered_too_old"),
     )
 
 
@@ -932,7 +956,9 @@ ON d.text = j.text""")
 def e12_classify_text(spark, d):
     docs = tables.load(spark, d, "documents").select("doc_id", "text")
     labels = tables.load(spark, d, "labels").select("doc_id", "toxic")
-    judged = docs.join(labels, "doc_id").groupBy("text").agg((F.max("toxic") == 1).alias("impolite"))
+    judged = docs.join(labels, "doc_id").groupBy(F.sha2("text", 256)).agg(
+        F.first("text").alias("text"), (F.max("toxic") == 1).alias("impolite")
+    )
     return properties.classify_text(docs, "text", judged).select(
         "doc_id", monitor.truth(F.col("impolite")).alias("impolite")
     )
@@ -1030,14 +1056,10 @@ def session_rows(spark, d):
     return freeze(ss.session_events(spans, GAP))
 
 
-def both(check: Callable[[bool], DataFrame]) -> DataFrame:
+def both(judged: DataFrame) -> DataFrame:
     """A check on closed and on open sequences, in two columns of words."""
-    closed, opened = check(True), check(False)
-    keys = [c for c in closed.columns if c != "holds"]
-    joined = temporal.combine(keys, closed=closed, open=opened)
-    return joined.select(
-        *keys, monitor.truth(F.col("closed")).alias("closed"), monitor.truth(F.col("open")).alias("open")
-    )
+    words = {c: monitor.truth(F.col(c)) for c in ("closed", "open")}
+    return judged.withColumns(words)
 
 
 def _check(closed: str, opened: str, source: str = EV_SESSIONS, table: str = "evs") -> str:
@@ -1049,13 +1071,13 @@ SELECT key, session_start, {sql.truth('c')} AS closed, {sql.truth('o')} AS "open
 @query("f1_always", _check("bool_and(name <> 'error')", "CASE WHEN NOT bool_and(name <> 'error') THEN false END"))
 def f1_always(spark, d):
     rows = session_rows(spark, d)
-    return both(lambda c: temporal.always(rows, KEYS, ~is_error(), c))
+    return both(temporal.always(rows, KEYS, ~is_error(), None))
 
 
 @query("f2_eventually", _check("bool_or(name = 'purchase')", "CASE WHEN bool_or(name = 'purchase') THEN true END"))
 def f2_eventually(spark, d):
     rows = session_rows(spark, d)
-    return both(lambda c: temporal.eventually(rows, KEYS, is_buy(), c))
+    return both(temporal.eventually(rows, KEYS, is_buy(), None))
 
 
 _PLACE = "row(epoch_ns, trace_id, span_id, is_end)"
@@ -1064,7 +1086,7 @@ _PLACE = "row(epoch_ns, trace_id, span_id, is_end)"
 @query("f3_eventually_always", _check(f"arg_max(name <> 'error', {_PLACE})", "CAST(NULL AS BOOLEAN)"))
 def f3_eventually_always(spark, d):
     rows = session_rows(spark, d)
-    return both(lambda c: temporal.eventually_always(rows, KEYS, SEQ, ~is_error(), c))
+    return both(temporal.eventually_always(rows, KEYS, SEQ, ~is_error(), None))
 
 
 _ANSWERED = f"""max(CASE WHEN name = 'error' THEN {_PLACE} END) IS NULL OR
@@ -1074,7 +1096,7 @@ coalesce(max(CASE WHEN name = 'error' THEN {_PLACE} END) <= max(CASE WHEN name =
 @query("f4_response", _check(_ANSWERED, "CAST(NULL AS BOOLEAN)"))
 def f4_response(spark, d):
     rows = session_rows(spark, d)
-    return both(lambda c: temporal.response(rows, KEYS, SEQ, is_error(), is_buy(), c))
+    return both(temporal.response(rows, KEYS, SEQ, is_error(), is_buy(), None))
 
 
 def _bounded(source: str, keys: str, table: str, order: str, position: str, p: str, q: str, within: int) -> str:
@@ -1098,8 +1120,8 @@ SELECT {keys}, {sql.truth('c')} AS closed, {sql.truth('o')} AS "open" FROM check
     "name = 'error'", "name = 'purchase'", DAY_NS // 4))
 def f5_bounded_response_time(spark, d):
     rows = session_rows(spark, d)
-    return both(lambda c: temporal.bounded_response(
-        rows, KEYS, SEQ, "epoch_unix_nano", is_error(), is_buy(), DAY_NS // 4, c))
+    return both(temporal.bounded_response(
+        rows, KEYS, SEQ, "epoch_unix_nano", is_error(), is_buy(), DAY_NS // 4, None))
 
 
 @query("f5_bounded_response_events", _bounded(
@@ -1107,7 +1129,7 @@ def f5_bounded_response_time(spark, d):
     "name = 'error'", "name = 'purchase'", 10))
 def f5_bounded_response_events(spark, d):
     rows = ss.order_events(session_rows(spark, d))
-    return both(lambda c: temporal.bounded_response(rows, KEYS, ["seq"], "seq", is_error(), is_buy(), 10, c))
+    return both(temporal.bounded_response(rows, KEYS, ["seq"], "seq", is_error(), is_buy(), 10, None))
 
 
 @query("f6_connectives", f"""WITH {EV_SESSIONS}, checked AS (
@@ -1137,8 +1159,8 @@ _FIRST_KEYED = "keyed2 AS (SELECT * FROM placed WHERE sno = 1)"
 def f7_formula_on_letters(spark, d):
     spans = by_trace(spark, d).drop("attributes", "resource", "scope", "events", "links", "status")
     letters = temporal.letters_of_first_session(spans, 3 * 24 * HOUR, TICK, tests())
-    return both(lambda c: temporal.bounded_response(
-        letters, ["key"], ["letter"], "letter", F.col("p"), F.col("q"), 8, c))
+    return both(temporal.bounded_response(
+        letters, ["key"], ["letter"], "letter", F.col("p"), F.col("q"), 8, None))
 
 
 @query("f8_task_has_result", f"""WITH {sql.ORDERS},
@@ -1289,9 +1311,8 @@ def h8_sim_to_spans(spark, d):
 
 def messages(spark, d):
     """Events as messages: the topic is the event type."""
-    attributes = F.to_json(F.struct(
-        F.get_json_object("props", "$.k").alias("k"), (F.col("user_id") % 25).cast("string").alias("nation")
-    ))
+    nation = (F.col("user_id") % 25).cast("string").alias("nation")
+    attributes = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.struct(nation).alias("user")))
     return tables.load(spark, d, "events").select(
         F.col("event_id").alias("msg_id"), F.col("event_type").alias("topic"), attributes.alias("attributes")
     )
@@ -1306,7 +1327,7 @@ def topic_subscriptions(spark, d):
 def subscribers(spark, d):
     nations = tables.load(spark, d, "nation").select(
         F.lit("all").alias("subscription"), F.col("n_name").alias("subscriber"),
-        F.lit("nation").alias("filter_key"), F.col("n_nationkey").cast("string").alias("filter_value"),
+        F.lit("user.nation").alias("filter_key"), F.col("n_nationkey").cast("string").alias("filter_value"),
     )
     regions = tables.load(spark, d, "region").select(
         F.lit("only-error").alias("subscription"), F.col("r_name").alias("subscriber"),
@@ -1347,7 +1368,7 @@ def i3_received(spark, d):
 
 def expected(spark, d):
     """What each nation should get: its own messages, and one nation too much."""
-    rows = messages(spark, d).withColumn("nation", payloads.json_field(F.col("attributes"), "nation").cast("int"))
+    rows = messages(spark, d).withColumn("nation", payloads.json_field(F.col("attributes"), "user.nation").cast("int"))
     wanted = F.when((F.col("topic") == "error") & (F.col("nation") == 1), F.array("nation", F.lit(0))).otherwise(
         F.array("nation")
     )

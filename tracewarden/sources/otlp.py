@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.functions.spans import event_time
+from tracewarden.functions.spans import event_time, hex_id
 from tracewarden.schema import SPAN_COLUMNS
 
 # The JSON form writes ids as hex text, 64-bit numbers as text, and names in
@@ -59,10 +59,90 @@ def read_otlp_kafka(
         .option("startingOffsets", "earliest")
         .load()
     )
-    decoded = raw.select(from_protobuf("value", message, descriptor).alias("request"))
-    return decoded.select(
-        F.from_json(F.to_json("request"), f"struct<{_as_field_types()}>").alias("r")
-    ).select("r.*")
+    # Values nest in values; deeper ones than this are cut by the decoder.
+    options = {"recursive.fields.max.depth": "3", "enums.as.ints": "true", "mode": "FAILFAST"}
+    return decoded_requests(raw.select(from_protobuf("value", message, descriptor, options).alias("r")), "r")
+
+
+def decoded_requests(df: DataFrame, column: str) -> DataFrame:
+    """Requests from a struct whose fields bear the names of the descriptor.
+
+    Ids and byte values are binary there, times and counts numbers.
+    """
+    has = lambda kind, name: name in kind.fieldNames()
+
+    def values(v: Column, kind) -> Column:
+        nested = lambda name: F.to_json(v[name]) if has(kind, name) else F.lit(None).cast("string")
+        return F.struct(
+            v["string_value"].alias("stringValue"),
+            v["bool_value"].alias("boolValue"),
+            v["int_value"].cast("string").alias("intValue"),
+            v["double_value"].alias("doubleValue"),
+            nested("array_value").alias("arrayValue"),
+            nested("kvlist_value").alias("kvlistValue"),
+            F.base64(v["bytes_value"]).alias("bytesValue"),
+        )
+
+    def attributes(c: Column, kind) -> Column:
+        inner = kind["attributes"].dataType.elementType["value"].dataType
+        one = lambda a: F.struct(a["key"].alias("key"), values(a["value"], inner).alias("value"))
+        return F.transform(c["attributes"], one).alias("attributes")
+
+    dropped = lambda c: c["dropped_attributes_count"].cast("int").alias("droppedAttributesCount")
+    text = lambda c, name: c.cast("string").alias(name)
+
+    def span(s: Column, kind) -> Column:
+        event_kind, link_kind = (kind[n].dataType.elementType for n in ("events", "links"))
+        events = F.transform(
+            s["events"],
+            lambda e: F.struct(
+                text(e["time_unix_nano"], "timeUnixNano"), e["name"].alias("name"), attributes(e, event_kind), dropped(e)
+            ),
+        )
+        links = F.transform(
+            s["links"],
+            lambda x: F.struct(
+                hex_id(x["trace_id"]).alias("traceId"), hex_id(x["span_id"]).alias("spanId"),
+                x["trace_state"].alias("traceState"), attributes(x, link_kind), dropped(x), x["flags"].cast("int").alias("flags"),
+            ),
+        )
+        status = F.struct(s["status"]["message"].alias("message"), s["status"]["code"].cast("int").alias("code"))
+        return F.struct(
+            hex_id(s["trace_id"]).alias("traceId"),
+            hex_id(s["span_id"]).alias("spanId"),
+            hex_id(s["parent_span_id"]).alias("parentSpanId"),
+            s["trace_state"].alias("traceState"),
+            s["flags"].cast("int").alias("flags"),
+            s["name"].alias("name"),
+            s["kind"].cast("int").alias("kind"),
+            text(s["start_time_unix_nano"], "startTimeUnixNano"),
+            text(s["end_time_unix_nano"], "endTimeUnixNano"),
+            attributes(s, kind),
+            events.alias("events"),
+            links.alias("links"),
+            dropped(s),
+            s["dropped_events_count"].cast("int").alias("droppedEventsCount"),
+            s["dropped_links_count"].cast("int").alias("droppedLinksCount"),
+            F.when(s["status"].isNotNull(), status).alias("status"),
+        )
+
+    def scope_spans(ss: Column, kind) -> Column:
+        scope, scope_kind = ss["scope"], kind["scope"].dataType
+        named = F.struct(scope["name"].alias("name"), scope["version"].alias("version"), attributes(scope, scope_kind), dropped(scope))
+        inner = kind["spans"].dataType.elementType
+        spans = F.transform(ss["spans"], lambda s: span(s, inner))
+        return F.struct(F.when(scope.isNotNull(), named).alias("scope"), spans.alias("spans"), ss["schema_url"].alias("schemaUrl"))
+
+    def resource_spans(rs: Column, kind) -> Column:
+        resource, resource_kind = rs["resource"], kind["resource"].dataType
+        named = F.struct(attributes(resource, resource_kind), dropped(resource))
+        inner = kind["scope_spans"].dataType.elementType
+        scopes = F.transform(rs["scope_spans"], lambda ss: scope_spans(ss, inner))
+        return F.struct(F.when(resource.isNotNull(), named).alias("resource"), scopes.alias("scopeSpans"), rs["schema_url"].alias("schemaUrl"))
+
+    kind = df.schema[column].dataType["resource_spans"].dataType.elementType
+    made = F.transform(F.col(column)["resource_spans"], lambda rs: resource_spans(rs, kind))
+    return df.select(made.cast(REQUESTS.split(" ", 1)[1]).alias("resourceSpans"))
 
 
 def _as_field_types() -> str:
@@ -71,10 +151,12 @@ def _as_field_types() -> str:
 
 
 def parse_requests(df: DataFrame, column: str) -> DataFrame:
-    """Requests from a text column that holds one JSON request per row."""
-    return df.select(
-        F.from_json(F.col(column), f"struct<{_as_field_types()}>").alias("r")
-    ).select("r.*")
+    """Requests from a text column that holds one JSON request per row.
+
+    A malformed request fails the job, as in ``read_otlp``; a NULL has no spans.
+    """
+    parsed = F.from_json(F.col(column), f"struct<{_as_field_types()}>", {"mode": "FAILFAST"})
+    return df.select(parsed.alias("r")).select("r.*")
 
 
 def _attributes(column: Column) -> Column:
@@ -110,19 +192,29 @@ def _id(column: Column) -> Column:
 
 def flatten_spans(requests: DataFrame) -> DataFrame:
     """One row per span, carrying its resource, its scope and both schema urls."""
-    per_resource = requests.select(F.explode("resourceSpans").alias("rs"))
-    per_scope = per_resource.select(
-        F.col("rs.resource").alias("resource"),
-        F.col("rs.schemaUrl").alias("resource_url"),
-        F.explode("rs.scopeSpans").alias("ss"),
+    # Resource and scope are built once each, before their spans are listed.
+    resource, scope = F.col("rs.resource"), F.col("ss.scope")
+    per_resource = requests.select(F.explode("resourceSpans").alias("rs")).select(
+        F.struct(
+            _attributes(resource["attributes"]).alias("attributes"),
+            _zero(resource["droppedAttributesCount"]).alias("dropped_attributes_count"),
+        ).cast(SPAN_COLUMNS["resource"]).alias("resource"),
+        _text(F.col("rs.schemaUrl")).alias("resource_url"),
+        F.col("rs.scopeSpans").alias("scopes"),
     )
-    per_span = per_scope.select(
+    per_scope = per_resource.select("resource", "resource_url", F.explode("scopes").alias("ss")).select(
         "resource",
         "resource_url",
-        F.col("ss.scope").alias("scope"),
-        F.col("ss.schemaUrl").alias("scope_url"),
-        F.explode("ss.spans").alias("s"),
+        F.struct(
+            _text(scope["name"]).alias("name"),
+            _text(scope["version"]).alias("version"),
+            _attributes(scope["attributes"]).alias("attributes"),
+            _zero(scope["droppedAttributesCount"]).alias("dropped_attributes_count"),
+        ).cast(SPAN_COLUMNS["scope"]).alias("scope"),
+        _text(F.col("ss.schemaUrl")).alias("scope_url"),
+        F.col("ss.spans").alias("spans"),
     )
+    per_span = per_scope.select("resource", "resource_url", "scope", "scope_url", F.explode("spans").alias("s"))
     s = F.col("s")
     events = F.transform(
         F.coalesce(s["events"], F.array()),
@@ -144,7 +236,6 @@ def flatten_spans(requests: DataFrame) -> DataFrame:
             _zero(x["flags"]).alias("flags"),
         ),
     )
-    scope, resource = F.col("scope"), F.col("resource")
     columns = {
         "trace_id": _id(s["traceId"]),
         "span_id": _id(s["spanId"]),
@@ -165,18 +256,10 @@ def flatten_spans(requests: DataFrame) -> DataFrame:
             _text(s["status"]["message"]).alias("message"),
             _zero(s["status"]["code"]).alias("code"),
         ),
-        "scope": F.struct(
-            _text(scope["name"]).alias("name"),
-            _text(scope["version"]).alias("version"),
-            _attributes(scope["attributes"]).alias("attributes"),
-            _zero(scope["droppedAttributesCount"]).alias("dropped_attributes_count"),
-        ),
-        "scope_schema_url": _text(F.col("scope_url")),
-        "resource": F.struct(
-            _attributes(resource["attributes"]).alias("attributes"),
-            _zero(resource["droppedAttributesCount"]).alias("dropped_attributes_count"),
-        ),
-        "resource_schema_url": _text(F.col("resource_url")),
+        "scope": F.col("scope"),
+        "scope_schema_url": F.col("scope_url"),
+        "resource": F.col("resource"),
+        "resource_schema_url": F.col("resource_url"),
     }
     return per_span.select(
         *[columns[name].cast(kind).alias(name) for name, kind in SPAN_COLUMNS.items()]

@@ -12,7 +12,8 @@ from tracewarden.functions import payloads, spans as fs, terms
 from tracewarden.operators import metrics, monitor, properties, routing, temporal, trace_query, tree
 from tracewarden.operators import sessions as ss
 from tracewarden.plans import sql
-from tracewarden.schema import (, text_entry
+from tracewarden.schema import (
+    text_entry,
     KEY_VALUES, attribute_entry, bool_value, double_value, number_value, text_value,
 )
 from tracewarden.session import freeze, shared_dir

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm.steps import tidy
-from tracewarden.llm.words import NON_SPACE, Words, covered, grams, pieces, plain_strings, split_words
+from tracewarden.llm.words import NON_SPACE, Words, covered, grams, pieces, plain_strings, sequence_print, split_words
 from tracewarden.session import freeze
 
 
@@ -80,10 +80,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _prints(docs: DataFrame) -> DataFrame:
     def work(part, found):
-        sums = []
-        for seed in (0, 1):
-            sums.append([grams(h, len(h), seed)[0] if len(h) else 0 for h in (found.hashes[found.of(i)] for i in range(len(part)))])
-        print_1, print_2 = (_signed(np.array(s, np.uint64)) for s in sums)
+        texts = [found.hashes[found.of(i)] for i in range(len(part))]
+        print_1, print_2 = (pa.array([sequence_print(t, seed) for t in texts], pa.int64()) for seed in (0, 1))
         return [part.column(0), part.column(1), pa.array(np.diff(found.bounds).astype(np.int64)), print_1, print_2]
 
     names = ["doc_id", "h", "n", "p1", "p2"]

@@ -118,6 +118,13 @@ def grams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mixed(out + np.uint64(n))
 
 
+def sequence_print(hashes: np.ndarray, seed: int = 0) -> int:
+    """A hash of a whole sequence of words, as a signed number."""
+    terms = mixed(hashes + _GRAM_STEPS[seed]) if seed else hashes
+    total = (terms * _power_tables(len(hashes))[0]).sum(dtype=np.uint64)
+    return int(mixed(np.array([total], np.uint64) + np.uint64(len(hashes))).view(np.int64)[0])
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """The distinct runs of ``n`` words, sorted; a shorter text is one run.
 

@@ -65,12 +65,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
             "all_w": F.sum("w").over(every),
             "cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
             "w_before": F.coalesce(F.sum("w").over(before), F.lit(0.0)),
+            "place": F.row_number().over(by_level),
         }
     )
     # The level if all sources before this one are at their caps; the first
     # source whose own cap is not below it sets the level of all.
     ranked = ranked.withColumn("level", (F.col("all_size") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before")))
-    level = F.min(F.when(F.col("cap") >= F.col("level") * F.col("w"), F.struct(F.col("cap") / F.col("w"), "level"))).over(every)
+    uncapped = F.when(F.col("cap") >= F.col("level") * F.col("w"), F.struct("place", "level"))
+    level = F.min(uncapped).over(every)
     return ranked.select("source", "source_size", F.least("cap", level["level"] * F.col("w")).alias("target"))
 
 

@@ -15,9 +15,9 @@ good as (select doc_id, case when max(quality) > 0 then 2.0 when max(quality) <=
 totals as (select source, sum(size)::double as source_size,
   [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as w from docs group by source),
 caps as (select *, source_size * 3.0::double as cap, sum(source_size) over () as all_size, sum(w) over () as all_w from totals),
-levels as (select *, (all_size - coalesce(sum(cap) over before, 0)) / (all_w - coalesce(sum(w) over before, 0)) as level
+levels as (select *, (all_size - coalesce(sum(cap) over before, 0)) / (all_w - coalesce(sum(w) over before, 0)) as level, row_number() over before as place
   from caps window before as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
-chosen as (select level from levels where cap >= level * w order by cap / w, level limit 1),
+chosen as (select level from levels where cap >= level * w order by place limit 1),
 targets as (select source, source_size, least(cap, (select level from chosen) * w) as target from levels),
 keyed as (select d.*, -ln((('0x' || substr(md5(coalesce(d.doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
     / coalesce(weight, 1.0)::double as key from docs d left join good using (doc_id)),

@@ -121,6 +121,20 @@ def _labels(host: str) -> list[str]:
     return [*out, "".join(run)] if run else out
 
 
+def _words(pieces: list[str]) -> list[str]:
+    """Neighbouring single letters are one unknown word."""
+    out, loose = [], ""
+    for piece in pieces:
+        if len(piece) == 1:
+            loose += piece
+            continue
+        if loose:
+            out.append(loose)
+            loose = ""
+        out.append(piece)
+    return [*out, loose] if loose else out
+
+
 def _segmented(model):
     """Adds ``names``, the host's words, to ``(host)``."""
 
@@ -128,7 +142,7 @@ def _segmented(model):
         for batch in batches:
             split = model.value.split
             hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
-            names = [[w for label in _labels(h) if label not in PLAIN for w in split(label)] for h in hosts]
+            names = [[w for label in _labels(h) if label not in PLAIN for w in _words(split(label))] for h in hosts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names, "names"])
 
     return task
@@ -178,7 +192,8 @@ def judged_urls(
     tally = np.zeros((2, BUCKETS))
     for r in rows.select(bad.alias("bad"), F.explode("tokens").alias("t")).groupBy("bad", "t").count().collect():
         tally[int(r["bad"]), r["t"]] = r["count"]  # at most two rows for each bucket
-    rates = np.log(tally + 1) - np.log(tally.sum(axis=1, keepdims=True) + BUCKETS)
+    seen = max(1, (tally.sum(axis=0) > 0).sum())
+    rates = np.log(tally + 1) - np.log(tally.sum(axis=1, keepdims=True) + seen)
     prior = math.log(pages_of.get(True, 0) + 1) - math.log(pages_of.get(False, 0) + 1)
     gains = spark.sparkContext.broadcast(rates[1] - rates[0])
     learned = bool(pages_of.get(True)) and bool(pages_of.get(False))

@@ -245,9 +245,7 @@ def _parsed(records: DataFrame, broken: DataFrame) -> DataFrame:
     )
     # One row per broken archive, which stops the read.
     error = F.raise_error(F.concat(F.lit("the record chain ends early in "), F.col("file")))
-    stops = broken.select(
-        "file", *[F.when(error.cast("string").isNull(), F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:]]
-    )
+    stops = broken.select("file", *[error.cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:]])
     return rows.unionByName(stops)
 
 

@@ -34,7 +34,7 @@ RULES = (
 )
 #: Words of hosts that are examples to block.
 SEEDS = (
-    "ads", "adult", "bet", "betting", "casino", "cheap", "doubleclick", "gambling", "loan", "loans",
+    "ads", "adult", "bet", "bets", "betting", "casino", "cheap", "doubleclick", "gambling", "loan", "loans",
     "lottery", "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "track", "tracker",
     "viagra", "warez", "xxx",
 )

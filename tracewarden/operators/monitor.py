@@ -352,6 +352,7 @@ def _session_totals(narrow: DataFrame, monitor: Monitor, starts, borders) -> Dat
     )
     if not monitor.across_sessions:
         return per_session
+    per_session = freeze(per_session)
     # One row per session here; starts are a gap apart, which bounds a block.
     block = F.shiftright(F.floor(F.col("session_start") / monitor.gap_ms), BLOCK_BITS)
     totals = ordered.running_sum_in_blocks(

@@ -140,11 +140,11 @@ def _running_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict
     local = rows.withColumns({out: F.sum(v).over(inside) for out, v in sums.items()})
     total = F.struct(*[F.sum(v).alias(v) for v in sums.values()])
     per_chunk = rows.groupBy(*keys, CHUNK).agg(total.alias("part"))
-    per_chunk = same_keys(per_chunk, multiple(rows, keys), keys, "left_semi")
+    several = multiple(rows, keys)
     zero = F.struct(*[F.lit(0).cast("bigint").alias(v) for v in sums.values()])
     add = lambda x, y: F.struct(*[(x[v] + y[v]).alias(v) for v in sums.values()])
-    carry = prefixes(per_chunk, keys, zero, add)
-    if carry is not None:
+    if not several.isEmpty():
+        carry = prefixes(same_keys(per_chunk, several, keys, "left_semi"), keys, zero, add)
         local = same_keys(local, carry, [*keys, CHUNK], "left")
         local = local.withColumns(
             {out: F.col(out) + F.coalesce(F.col("before")[v], F.lit(0)) for out, v in sums.items()}
@@ -163,10 +163,11 @@ def running_sum_in_blocks(
     inside = Window.partitionBy(*keys, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kind = df.schema[value].dataType
     sums = rows.groupBy(*keys, CHUNK).agg(F.sum(value).cast(kind).alias("part"))
-    sums = same_keys(sums, multiple(sums, keys), keys, "left_semi")
-    carry = prefixes(sums, keys, F.lit(0).cast(kind), lambda x, y: (x + F.coalesce(y, F.lit(0))).cast(kind))
+    several = multiple(sums, keys)
     local = rows.withColumn(value, F.sum(value).over(inside).cast(kind))
-    if carry is not None:
+    if not several.isEmpty():
+        add = lambda x, y: (x + F.coalesce(y, F.lit(0))).cast(kind)
+        carry = prefixes(same_keys(sums, several, keys, "left_semi"), keys, F.lit(0).cast(kind), add)
         local = same_keys(local, carry, [*keys, CHUNK], "left")
         local = local.withColumn(value, F.col(value) + F.coalesce("before", F.lit(0).cast(kind))).drop("before")
     return local.drop(CHUNK)
@@ -208,12 +209,12 @@ def next_values(
     position = F.struct(*order)
     first = [F.min_by(n, F.when(F.col(n).isNotNull(), position)).alias(n) for n in names]
     per_chunk = rows.groupBy(*keys, CHUNK).agg(F.struct(*first).alias("part"))
-    per_chunk = same_keys(per_chunk, multiple(rows, keys), keys, "left_semi")
+    several = multiple(rows, keys)
     # From the end: of the parts seen the nearest one counts.
     nearest = lambda x, y: F.struct(*[F.coalesce(y[n], x[n]).alias(n) for n in names])
     nothing = F.struct(*[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names])
-    carry = suffixes(per_chunk, keys, nothing, nearest)
-    if carry is not None:
+    if not several.isEmpty():
+        carry = suffixes(same_keys(per_chunk, several, keys, "left_semi"), keys, nothing, nearest)
         local = same_keys(local, carry, [*keys, CHUNK], "left")
         local = local.withColumns({n: F.coalesce(n, F.col("before")[n]) for n in names}).drop("before")
     return local.drop(CHUNK)

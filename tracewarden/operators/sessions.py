@@ -102,11 +102,13 @@ def session_slices(
         F.min(F.when(border, F.col("was"))).alias("end"),
         restart.alias("expired"),
     )
-    parts = inner.groupBy("key", CHUNK).agg(stretch.alias("part"))
-    parts = freeze(same_keys(parts, multiple(slices, ["key"]), ["key"], "left_semi"))
     joined = lambda x, y: _joined_stretch(x, y, gap_ms, ttl_ms)
-    before = prefixes(parts, ["key"], nothing, joined)
-    after = suffixes(parts, ["key"], nothing, lambda x, y: joined(y, x))
+    several, before, after = multiple(slices, ["key"]), None, None
+    if not several.isEmpty():
+        parts = inner.groupBy("key", CHUNK).agg(stretch.alias("part"))
+        parts = freeze(same_keys(parts, several, ["key"], "left_semi"))
+        before = prefixes(parts, ["key"], nothing, joined)
+        after = suffixes(parts, ["key"], nothing, lambda x, y: joined(y, x))
     for name, carry in (("earlier", before), ("later", after)):
         if carry is None:
             slices = slices.withColumn(name, nothing)

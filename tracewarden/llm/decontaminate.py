@@ -130,20 +130,19 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: int, max_grams: int) -> DataFrame:
-    """``(doc_id, text)`` and ``FOUND``."""
+    """``doc_id`` and ``FOUND``."""
     spark = docs.sparkSession
     found = freeze(item_grams(benchmark, width))
     docs = docs.select("doc_id", "text")
     if found.count() > max_grams:
-        return _joined(docs, found, share)
+        return _joined(docs, found, share).drop("text")
     table = spark.sparkContext.broadcast(_Grams(found.select("n", "g1", "words", "item_id").collect()))
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(FOUND).fields])
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(FOUND).fields])
     arrow = _arrow(schema)
 
     def finish(part, rows, cut):
-        new = pa.Table.from_pylist(rows, pa.schema(list(arrow)[2:])).to_batches()
-        columns = new[0].columns if new else [pa.array([], f.type) for f in list(arrow)[2:]]
-        return pa.RecordBatch.from_arrays([*part.columns, *columns], names=arrow.names)
+        new = pa.RecordBatch.from_pylist(rows, pa.schema(list(arrow)[1:]))
+        return pa.RecordBatch.from_arrays([part.column(0), *new.columns], names=arrow.names)
 
     return docs.mapInArrow(_scan(table, share, finish, arrow), schema)
 
@@ -205,7 +204,7 @@ def contamination(
     empty texts have no words; items without id or words are not looked for;
     equal items are all named.  Other columns are not read.
     """
-    return _found(docs, benchmark, width, share, max_grams).drop("text")
+    return _found(docs, benchmark, width, share, max_grams)
 
 
 def decontaminated(

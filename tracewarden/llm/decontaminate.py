@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewarden.llm.steps import tidy
 from tracewarden.llm.words import ALNUM, covered, grams, pieces, plain_strings, split_words
 from tracewarden.session import freeze
 
@@ -131,7 +132,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: int, max_grams: int) -> DataFrame:
     """``doc_id`` and ``FOUND``."""
-    spark = docs.sparkSession
+    spark = tidy(docs.sparkSession)
     found = freeze(item_grams(benchmark, width))
     docs = docs.select("doc_id", "text")
     if found.count() > max_grams:
@@ -214,6 +215,7 @@ def decontaminated(
     the hit words cut out of all texts (``remove="spans"``)."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
+    tidy(docs.sparkSession)
     found = freeze(item_grams(benchmark, width))
     if found.count() > MAX_GRAMS:
         if remove == "spans":

@@ -10,10 +10,14 @@ from tracewarden.session import freeze
 #: Shuffle files of a finished step are of no use to later ones, which read
 #: the table it has written.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a Python worker gets at once; texts and sets can be long.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def tidy(spark: SparkSession) -> SparkSession:
+    """Settings of the package's jobs: little disk and memory at a time."""
     spark.conf.set(CLEAN, "true")
+    spark.conf.set(BATCH, "1000")
     return spark
 
 

@@ -19,7 +19,6 @@ import os
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +37,8 @@ _START = "▁"
 #: Longer runs of letters are scored in parts of this length.
 _LONGEST = 48
 #: Words that a task keeps the scores of.
-_CACHE = 200_000
-_PART_CHARS = 1 << 22
+_CACHE = 100_000
+_PART_CHARS = 1 << 20
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -161,10 +160,10 @@ class Model:
         found = [words_of(t) for t in texts]
         sizes = np.array([len(f) for f in found], np.int64)
         out = np.zeros((len(texts), len(self.langs)))
-        flat = np.array([w for f in found for w in f], object)
-        if len(flat):
-            codes, words = pd.factorize(flat)
-            scores = np.concatenate([self.word_scores(list(words[i : i + _CACHE])) for i in range(0, len(words), _CACHE)])
+        if sizes.any():
+            flat = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+            codes, words = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+            scores = np.concatenate([self.word_scores(words[i : i + _CACHE]) for i in range(0, len(words), _CACHE)])
             some = np.flatnonzero(sizes)
             begins = np.concatenate(([0], np.cumsum(sizes)))[some]
             out[some] = np.add.reduceat(scores[codes], begins)

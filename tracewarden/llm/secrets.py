@@ -187,9 +187,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with all its columns, each found stretch of ``text`` replaced by
-    ``mark`` (touching ones by one) and ``n_chars``, where there is such a
+    ``mark`` (overlapping ones by one) and ``n_chars``, where there is such a
     column, counted anew.  A null text stays null."""
     text = F.col("text")
+
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])

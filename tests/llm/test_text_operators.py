@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewarden.llm.chat import escaped, read_windows, training_windows, unescaped, window_digests
 from tracewarden.llm.decontaminate import contamination, decontaminated
 from tracewarden.llm.mixing import mix, source_targets
-from tracewarden.llm.secrets import SCANS, find_secrets, redacted
+from tracewarden.llm.secrets import ALLOW, ITERATIVE, SCANS, find_secrets, redacted
 
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
 
@@ -124,6 +125,29 @@ def test_entropy_of_sliding_windows(spark):
     assert [(s["start"], s["end"]) for s in got] == [(2 + hot[0], 2 + hot[-1] + scan.window)]
 
 
+def test_long_joined_texts(spark):
+    """No pattern recurses with the text's length, and no step walks the text from its start."""
+    words = ["ab1-" * 500, "ab1-" * 25_000, "/" + "some_word/" * 10_000, "ab-" * 33_000 + "12345", "12-" + "ab1-" * 25_000]
+    key = "aB3dE6gH9jK2mN5pQ8sT1vW4"
+    long = key * 4_200
+    texts = [*words, long, f"{'ab1-' * 25_000} {key}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in find_secrets(docs).collect()}
+    at = len(texts[6])
+    assert spans == {**{i: [] for i in range(5)}, 5: [(0, len(long))], 6: [(at - len(key), at)]}
+    assert redacted(docs).filter("doc_id = 5").first()["text"] == "[secret]"
+
+
+@pytest.mark.parametrize("pattern", ITERATIVE)
+def test_allowed_words_without_a_repeated_group(spark, pattern):
+    assert pattern in ALLOW
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("aZ19/_-") for _ in range(draw.randrange(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", F.col("t").rlike(pattern).alias("old"), F.col("t").rlike(ITERATIVE[pattern]).alias("new")).collect()
+    assert all(r["old"] == r["new"] for r in got) and {r["old"] for r in got} == {True, False}
+
+
 def test_redaction_keeps_columns_and_clean_texts(spark):
     docs = spark.createDataFrame(
         [(i, t, None, "s", len(t or "")) for i, t in enumerate(TEXTS)], "doc_id long, text string, spans string, base string, n_chars int"

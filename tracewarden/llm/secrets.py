@@ -31,6 +31,10 @@ ALLOW = (
     r"(?i)0123456789|abcdefghij",
     r"(?i)example|placeholder|changeme|xxxxx",
 )
+#: The same patterns as Spark's engine runs them: it matches a repeated group by
+#: recursion, as deep as the text has words, unless the group gives nothing back.
+#: No part here can match what its successor needs, so nothing has to be given back.
+ITERATIVE = {ALLOW[1]: r"^/?(?:[A-Za-z]++[0-9]{0,4}+[/_-]++)++[A-Za-z]*+[0-9]{0,4}+/?$"}
 
 
 class Scan(NamedTuple):
@@ -90,25 +94,29 @@ def _hot(found: Column, scan: Scan) -> Column:
     terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 2)])
     most = w * (math.log2(w) - scan.bits) + 1e-9
 
-    def step(acc, i):
-        old = F.substring(found, F.greatest(i - w, F.lit(1)), F.least(i - 1, F.lit(w)))
-        leaving = F.when(i > w, F.substring(found, i - w, F.lit(1)))
-        coming = F.substring(found, i, F.lit(1))
-        rest = F.when(i > w, F.substring(found, i - w + 1, F.lit(w - 1))).otherwise(old)
+    def step(acc, coming):
+        i, full = acc["i"] + 1, acc["i"] >= w
+        rest = F.when(full, F.substring(acc["seen"], 2, w)).otherwise(acc["seen"])
         count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
-        n_out = count(old, leaving)
+        n_out = count(acc["seen"], F.substring(acc["seen"], 1, 1))
         n_in = count(rest, coming)
-        lost = F.when(i > w, F.get(terms, n_out) - F.get(terms, n_out - 1)).otherwise(F.lit(0.0))
+        lost = F.when(full, F.get(terms, n_out) - F.get(terms, n_out - 1)).otherwise(F.lit(0.0))
         total = acc["total"] - lost + F.get(terms, n_in + 1) - F.get(terms, n_in)
         hot = (i >= w) & (total <= most)
         return F.struct(
+            i.alias("i"),
+            F.concat(rest, coming).alias("seen"),
             total.alias("total"),
             F.when(hot & acc["first"].isNull(), i).otherwise(acc["first"]).alias("first"),
             F.when(hot, i).otherwise(acc["last"]).alias("last"),
         )
 
-    none = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(found)), none, step)
+    # The window goes along, as finding it in the whole string takes longer the further it is.
+    none = F.struct(
+        F.lit(0).alias("i"), F.lit("").alias("seen"), F.lit(0.0).alias("total"),
+        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
+    )
+    return F.aggregate(F.split(found, ""), none, step)
 
 
 def _cut_out(place: Column, scan: Scan) -> Column:
@@ -128,7 +136,7 @@ def _random(text: Column, scans: tuple[Scan, ...], allow: tuple[str, ...]) -> Co
         found = s["found"]
         allowed = F.lit(False)
         for pattern in allow:
-            allowed = allowed | found.rlike(pattern)
+            allowed = allowed | found.rlike(ITERATIVE.get(pattern, pattern))
         out = F.lit(None).cast("struct<start:int,end:int>")
         for scan in reversed(scans):
             out = F.when(found.rlike(scan.like), _cut_out(s, scan)).otherwise(out)

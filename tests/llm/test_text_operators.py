@@ -283,3 +283,40 @@ def test_windows_repeat_history_and_keep_the_system_turn(talks):
     assert sum(len(w["loss"]) for w in windows) == 18
     assert training_windows(df.limit(0)).collect() == []
     assert read_windows(training_windows(df, 40, 20)).count() > 3
+
+
+def cut_by_hand(rows, stride, history):
+    code = lambda t: t.replace("\\", "\\b").replace("<", "\\l").replace(">", "\\g")
+    out = []
+    for c in {r[0] for r in rows}:
+        turns, at, wins = sorted((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == c), 0, {}
+        placed = []
+        for *_, role, text in turns:
+            tokens = len(text.split()) + 4
+            wins.setdefault((at // stride, (at + tokens - 1) // stride), []).append(len(placed))
+            placed.append((at, tokens, role, text))
+            at += tokens
+        system = next((i for i, p in enumerate(placed) if p[2] == "system"), None)
+        for new in wins.values():
+            past = [i for i in range(new[0]) if placed[i][0] >= placed[new[0]][0] - history]
+            past = [system] * (system is not None and system < new[0] and system not in past) + past
+            text = "".join(f"<turn {code(placed[i][2])}>{code(placed[i][3])}</turn>\n" for i in past + new)
+            out.append((c, new[0] + 1, sum(placed[i][1] for i in past + new), text, len(past)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("stride,history,chunks,block", [(384, 96, None, 4096), (40, 20, 7, 5), (30, 60, 3, 64)])
+def test_windows_of_conversations_in_many_blocks(talks, stride, history, chunks, block):
+    """The same windows however a conversation is cut up, and no task that gets a whole one."""
+    rows, df = talks
+    rows = rows + [(None, i % 400, "system" if i == 900 else "user", f"null {i % 7}", 1) for i in range(1000)]
+    more = df.sparkSession.createDataFrame(rows, df.schema)
+    windows = training_windows(more, stride, history, chunks, block)
+    got = [tuple(r) for r in windows.select("conv_id", "first_turn", "n_tokens", "formatted", "n_repeated").collect()]
+    assert sorted(got, key=str) == cut_by_hand(rows, stride, history)
+
+
+def test_no_window_function_spans_a_conversation(talks):
+    plan = training_windows(talks[1])._jdf.queryExecution().analyzed().toString()
+    specs = re.findall(r"windowspecdefinition\((.*?) ASC", plan)
+    assert specs and all("at#" in s for s in specs)

@@ -4,7 +4,9 @@ Prefix sums of turn tokens place every turn on a ruler that is cut every
 ``stride`` tokens.  The turns within one stretch are a window's new turns; a
 turn across a cut has a window of its own.  So a window's new turns fit the
 stride unless a single turn is longer, whatever came before, and windows are
-found without walking through the conversation.  Each window starts with the
+found without walking through the conversation, and no task gets a whole one.
+Only :func:`window_digests` gathers a conversation, as its digests are of the
+whole.  Each window starts with the
 system turn and the turns of the last ``history`` tokens; these are repeated
 and carry no loss.  Loss lies on the texts of new assistant turns.
 
@@ -13,9 +15,14 @@ Everything is a Column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewarden.operators.ordered import running_sums, same_keys
+from tracewarden.session import freeze
+
 # The template.
 OPEN, CLOSE = "<turn ", "</turn>\n"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MARKS = 4
 STRIDE = 384
 HISTORY = 96
+#: Turns that one task looks up history in.
+BLOCK = 4096
 
 
 def escaped(text: Column) -> Column:
@@ -57,7 +66,9 @@ def _loss(turns: Column) -> Column:
     return F.aggregate(turns, begin, step, lambda acc: acc["out"])
 
 
-def training_windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
+def training_windows(
+    conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY, chunks: int | None = None, block: int = BLOCK
+) -> DataFrame:
     """``(conv_id, first_turn, n_tokens, formatted, n_repeated, loss)`` of
     ``conversations(conv_id, turn, role, text)``.
 
@@ -66,26 +77,44 @@ def training_windows(conversations: DataFrame, stride: int = STRIDE, history: in
     The system turn is the first turn of role ``system``; windows that begin
     after it repeat it.  ``n_repeated`` turns at the start of a window were new
     in earlier ones.  Rows of null ``conv_id`` are one conversation; repeated
-    rows are turns of their own.  Other columns are not read.
+    rows are turns of their own.  Other columns are not read.  Conversations may
+    have any length: turns are numbered in chunks and looked up in blocks of
+    ``block`` turns.  Runs jobs and writes tables while it is built.
     """
+    # A block's history must lie in the block before it.
+    block = max(block, math.ceil(history / MARKS))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = conversations.select("conv_id", "turn", blank("role"), blank("text"))
+    # Equal turns are interchangeable; numbering their copies lets them be dealt to several tasks.
+    rows = rows.withColumn("copy", F.monotonically_increasing_id())
     rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(WORD)) + MARKS)
-    inside = Window.partitionBy("conv_id")
-    in_order = inside.orderBy("turn", "role", "text")
-    up_to = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("i", F.row_number().over(in_order)).withColumn("end", F.sum("tokens").over(up_to))
+    rows = running_sums(
+        rows, ["conv_id"], ["turn", "role", "text", "copy"], {"i": F.lit(1), "end": F.col("tokens")}, chunks
+    )
     rows = rows.withColumn("begin", F.col("end") - F.col("tokens"))
+    rows = freeze(rows.drop("turn", "copy").withColumn("block", F.floor((F.col("i") - 1) / block)))
     turn = F.struct("i", "role", "text", "tokens")
-    near = inside.orderBy("begin").rangeBetween(-history, -1)
-    system = F.first(F.when(F.col("role") == "system", turn), ignorenulls=True)
-    earlier = inside.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("near", F.collect_list(turn).over(near)).withColumn("system", system.over(earlier))
+    # A turn has MARKS tokens at least, so so many turns of a block are history of the next.
+    last = F.col("i") > (F.col("block") + 1) * block - math.ceil(history / MARKS)
+    own = F.struct(F.col("block").alias("at"), F.lit(True).alias("own"))
+    carried = F.struct((F.col("block") + 1).alias("at"), F.lit(False).alias("own"))
+    dealt = rows.withColumn("to", F.explode(F.when(last, F.array(own, carried)).otherwise(F.array(own))))
+    dealt = dealt.select("conv_id", "to.*", "i", "role", "text", "tokens", "begin", "end")
+    near = Window.partitionBy("conv_id", "at").orderBy("begin").rangeBetween(-history, -1)
+    dealt = dealt.withColumn("near", F.collect_list(turn).over(near)).filter("own")
     low, high = F.floor(F.col("begin") / stride), F.floor((F.col("end") - 1) / stride)
-    grouped = rows.groupBy("conv_id", low.alias("low"), high.alias("high")).agg(
-        F.min_by(F.struct("near", "system"), "i").alias("past"),
+    grouped = dealt.groupBy("conv_id", low.alias("low"), high.alias("high")).agg(
+        F.min_by(F.struct("near", "at"), "i").alias("past"),
         F.array_sort(F.collect_list(turn)).alias("fresh"),
     )
+    systems = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min_by(turn, "i").alias("system"))
+    blocks = rows.groupBy("conv_id").agg(F.max("block").alias("top"))
+    # One row for each block, so that the join has no large key.
+    systems = same_keys(systems, blocks, ["conv_id"], "inner")
+    systems = systems.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("at"), "system")
+    grouped = same_keys(grouped.withColumn("at", F.col("past.at")), systems, ["conv_id", "at"], "left")
+    system = F.when(F.col("system.i") < F.col("fresh")[0]["i"], F.col("system"))
+    grouped = grouped.withColumn("past", F.struct(F.col("past.near").alias("near"), system.alias("system")))
     past = F.array_sort(F.col("past.near"))
     with_system = F.when(
         F.col("past.system").isNull() | F.exists(past, lambda t: t["i"] == F.col("past.system.i")), past
@@ -123,7 +152,10 @@ def read_windows(windows: DataFrame) -> DataFrame:
 
 def window_digests(windows: DataFrame) -> DataFrame:
     """One row per conversation, read back from its windows: ``(conv_id,
-    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``."""
+    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``.
+
+    A digest is of one string, so a conversation's turns and scored texts must
+    fit the 2 GB of one row together."""
     read = read_windows(windows)
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     each = read.select(

@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tracewarden.llm.langid import UNKNOWN, Model, identified_languages, identify, train, vocabulary, words_of
-from tracewarden.llm.urls import PLAIN, RULES, Segmenter, judged_urls, rule_of, url_parts
+from tracewarden.llm.urls import PLAIN, RULES, SEEDS, Segmenter, _words, judged_urls, rule_of, segmented_hosts, url_parts, word_counts
 from tracewarden.llm.vectors import near_duplicate_vectors, quantised, upper_bounds
 from tracewarden.llm.warc import archived, read_warc, write_warc
 
@@ -248,6 +248,25 @@ def test_urls_are_judged(spark):
     assert {r["verdict"] for r in judged_urls(df.filter("page_id < 60")).collect()} == {"allow"}
 
 
+def test_rare_words_cut_hosts(spark):
+    """Words count however many are more frequent; hosts are cut as by the whole list."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    common = spark.range(55_000).select(F.udf(name, "string")("id").alias("w"))
+    common = common.select(F.concat_ws(" ", F.array_repeat("w", 2)).alias("html"))
+    common = common.unionByName(spark.createDataFrame([("zebrafish quokka",), (None,)], "html string"))
+    counts = {r["word"]: r["n"] for r in word_counts(common).collect()}
+    assert len(counts) == 55_002 and counts["zebrafish"] == 1
+    hosts = ["zebrafishquokka.example.net", "www.quokka-zebrafish.com", "cheapquokka.org", "1.2.3", "", "qx.example.net"]
+    df = spark.createDataFrame([(h,) for h in [*hosts, hosts[0]]], "host string")
+    got = {r["host"]: r["names"] for r in segmented_hosts(df, word_counts(common)).collect()}
+    assert got[hosts[0]][:2] == ["zebrafish", "quokka"] and got[hosts[1]] == ["quokka", "zebrafish"]
+    assert got[hosts[2]] == ["cheap", "quokka"] and "1.2.3" not in got and "" not in got
+    whole = Segmenter(counts | {s: 1 for s in SEEDS if s not in counts})
+    for host, names in got.items():
+        labels = [x for x in re.split("[^a-z]+", host) if x and x not in PLAIN]
+        assert names == [w for x in labels for w in _words(whole.split(x))]
+
+
 def test_pipeline_stages_keep_their_promises(spark, folder):
     import corpus_pipeline as pipeline
     from tracewarden.llm.decontaminate import contamination

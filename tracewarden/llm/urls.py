@@ -6,9 +6,9 @@ pages' own texts, splits each label of a host at its most probable cuts
 path.  It is trained on all pages: those whose segmented host holds a seed word
 are examples to block, the rest to allow.
 
-Both models have a fixed size whatever the corpus: the word list keeps the
-``max_words`` most frequent words, and naive Bayes hashes its tokens into
-``BUCKETS``.  The counts behind them cover all pages.
+All words count, however rare.  No task holds the list: each distinct label
+gets those words that occur in it by a join on its substrings.  Naive Bayes
+hashes its tokens into ``BUCKETS``; its counts cover all pages.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ SEEDS = (
 #: Labels and path words that tell nothing.
 PLAIN = ("www", "m", "com", "net", "org", "html", "htm", "php", "index")
 BUCKETS = 1 << 18
-MAX_WORDS = 50_000
+#: Letters of the words of texts.
+SHORTEST, LONGEST = 2, 24
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -63,12 +64,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def word_counts(pages: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """``(word, n)``: the most frequent words of the pages' visible texts."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """``(word, n)``: the words of the pages' visible texts."""
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&[a-z]+;", " ")
     words = F.split(F.lower(text), r"[^a-z]+")
-    counts = pages.select(F.explode(words).alias("word")).filter("length(word) between 2 and 24")
-    return counts.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(max_words)
+    counts = pages.select(F.explode(words).alias("word")).filter(F.length("word").between(SHORTEST, LONGEST))
+    return counts.groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
@@ -76,10 +77,11 @@ class Segmenter:
 
     A letter run that is no word costs as much as its letters, each rarer than
     the rarest word.  Of equal cuts, the one of the longer last word wins.
+    ``total`` is the sum of all counts, where ``counts`` has a part of them.
     """
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=1)
         self.letter = math.log(total) + math.log(26)
@@ -109,16 +111,9 @@ class Segmenter:
         return words[::-1]
 
 
-def _labels(host: str) -> list[str]:
-    """Runs of ASCII letters of a host's labels."""
-    out, run = [], []
-    for c in host:
-        if "a" <= c <= "z":
-            run.append(c)
-        elif run:
-            out.append("".join(run))
-            run = []
-    return [*out, "".join(run)] if run else out
+def _labels(host: Column) -> Column:
+    """Runs of ASCII letters of a host's labels that tell something."""
+    return F.filter(F.split(host, "[^a-z]+"), lambda w: (w != "") & ~w.isin(*PLAIN))
 
 
 def _words(pieces: list[str]) -> list[str]:
@@ -135,19 +130,53 @@ def _words(pieces: list[str]) -> list[str]:
     return [*out, loose] if loose else out
 
 
-def _segmented(model):
-    """Adds ``names``, the host's words, to ``(host)``."""
+def _parts(batches):
+    """Adds ``word``, the substrings of ``label`` that may be words."""
+    for batch in batches:
+        labels = batch.column(0).to_pylist()
+        parts = [
+            {x[at : at + n] for n in range(SHORTEST, LONGEST + 1) for at in range(len(x) - n + 1)} for x in labels
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(list, parts), pa.list_(pa.string()))], names=["label", "word"])
+
+
+def _pieces(total: int):
+    """Cuts ``label`` at its most probable words of ``known``."""
 
     def task(batches):
         for batch in batches:
-            split = model.value.split
-            hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
-            names = [[w for label in _labels(h) if label not in PLAIN for w in _words(split(label))] for h in hosts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names, "names"])
+            labels, known = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            cut = [_words(Segmenter({k["word"]: k["n"] for k in ks}, total).split(x)) for x, ks in zip(labels, known)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.string()))], names=["label", "pieces"])
 
     return task
 
 
+def segmented_hosts(hosts: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """``(host, names)`` of each distinct host: the words of its labels.
+
+    ``counts(word, n)`` are all words of the texts.  Seeds that texts lack
+    count as often as the rarest word.
+    """
+    spark = hosts.sparkSession
+    sums = counts.agg(F.sum("n").alias("total"), F.min("n").alias("least")).first()
+    least = max(1, sums["least"] or 1)
+    known = {r["word"] for r in counts.filter(F.col("word").isin(*seeds)).select("word").collect()}
+    lacking = [(seed, least) for seed in dict.fromkeys(seeds) if seed not in known]
+    total = (sums["total"] or 0) + least * len(lacking)
+    words = counts.select("word", "n").unionByName(spark.createDataFrame(lacking, "word string, n long"))
+    labels = hosts.select(F.explode(_labels(F.col("host"))).alias("label")).distinct()
+    parts = labels.mapInArrow(_parts, "label string, word array<string>")
+    found = parts.select("label", F.explode("word").alias("word")).join(words, "word")
+    found = found.groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    nothing = F.array().cast("array<struct<word:string,n:bigint>>")
+    each = labels.join(found, "label", "left").select("label", F.coalesce("known", nothing).alias("known"))
+    pieces = each.mapInArrow(_pieces(total), "label string, pieces array<string>")
+    placed = hosts.select("host").distinct().select("host", F.posexplode(_labels(F.col("host"))).alias("at", "label"))
+    cut = placed.join(pieces, "label").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "pieces"))).alias("cut"))
+    return cut.select("host", F.flatten("cut.pieces").alias("names"))
+
+
 def _tokens() -> Column:
     """Buckets of host words and path words; runs of digits are one word."""
     path = F.filter(
@@ -159,9 +188,7 @@ def _tokens() -> Column:
     return F.transform(said, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)))
 
 
-def judged_urls(
-    pages: DataFrame, rules=RULES, seeds: tuple[str, ...] = SEEDS, max_words: int = MAX_WORDS
-) -> DataFrame:
+def judged_urls(pages: DataFrame, rules=RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """``(page_id, host, path, rule, verdict, names, score)`` for each row of
     ``pages(page_id, url, html)``.
 
@@ -175,17 +202,14 @@ def judged_urls(
     Runs jobs and writes tables to the shared folder while it is built.
     """
     spark = tidy(pages.sparkSession)
-    counts = word_counts(pages.select("html"), max_words).collect()
-    words = {r["word"]: r["n"] for r in counts}
-    least = max(1, min(words.values(), default=1))
-    for seed in seeds:  # words that must be found although texts may lack them
-        words.setdefault(seed, least)
-    model = spark.sparkContext.broadcast(Segmenter(words))
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    schema = T.StructType([*rows.schema.fields, T.StructField("names", T.ArrayType(T.StringType()))])
-    rows = freeze(rows.mapInArrow(_segmented(model), schema).withColumn("tokens", _tokens()))
+    hosts = freeze(rows.select("host").distinct())
+    named = freeze(segmented_hosts(hosts, freeze(word_counts(pages.select("html"))), seeds))
+    names = F.coalesce("names", F.array().cast("array<string>")).alias("names")
+    rows = rows.join(named, "host", "left").select("page_id", "host", "path", "rule", names)
+    rows = freeze(rows.withColumn("tokens", _tokens()))
     bad = F.exists("names", lambda w: w.isin(*seeds))
     sizes = rows.groupBy(bad.alias("bad")).agg(F.count("*").alias("n")).collect()
     pages_of = {r["bad"]: r["n"] for r in sizes}

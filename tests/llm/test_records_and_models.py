@@ -8,6 +8,8 @@ import random
 import re
 
 import numpy as np
+from collections import Counter
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -267,6 +269,26 @@ def test_rare_words_cut_hosts(spark):
         assert names == [w for x in labels for w in _words(whole.split(x))]
 
 
+def test_scores_are_those_of_the_tokens_themselves(spark):
+    """No two tokens share a count, also where there are more than 2^18."""
+    n = 300_000
+    slug = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    base = spark.range(n).select(F.lit(None).cast("long").alias("page_id"), F.concat(F.lit("http://garden.net/"), slug).alias("url"))
+    few = [(1, "http://cheap.net/buy/deal"), (2, "http://cheap.net/buy"), (3, "http://garden.net/buy"), (4, "http://x"), (1, "http://cheap.net/buy/deal"), (5, None)]
+    df = base.unionByName(spark.createDataFrame(few, "page_id long, url string")).withColumn("html", F.lit("garden"))
+    got = judged_urls(df)
+    assert got.count() == n + len(few)
+    blocked, allowed = Counter(), Counter({f"slug{i}": 1 for i in range(n)})
+    allowed.update({"h:garden": n + 1, "p:buy": 1, "h:x": 1})
+    blocked.update({"h:cheap": 3, "p:buy": 3, "p:deal": 2})
+    seen = len(set(blocked) | set(allowed))
+    rate = lambda c, t: math.log((c[t] + 1) / (sum(c.values()) + seen))
+    tokens = {1: ["h:cheap", "p:buy", "p:deal"], 2: ["h:cheap", "p:buy"], 3: ["h:garden", "p:buy"], 4: ["h:x"], 5: []}
+    for r in got.filter("page_id is not null").collect():
+        logit = math.log(4) - math.log(n + 3 + 1) + sum(rate(blocked, t) - rate(allowed, t) for t in tokens[r["page_id"]])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-9)
+
+
 def test_pipeline_stages_keep_their_promises(spark, folder):
     import corpus_pipeline as pipeline
     from tracewarden.llm.decontaminate import contamination

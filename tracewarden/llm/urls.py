@@ -8,18 +8,16 @@ are examples to block, the rest to allow.
 
 All words count, however rare.  No task holds the list: each distinct label
 gets those words that occur in it by a join on its substrings.  Naive Bayes
-hashes its tokens into ``BUCKETS``; its counts cover all pages.
+keeps its counts as a table of tokens, joined with the tokens of the pages.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewarden.llm.steps import tidy
 from tracewarden.session import freeze
@@ -40,7 +38,6 @@ SEEDS = (
 )
 #: Labels and path words that tell nothing.
 PLAIN = ("www", "m", "com", "net", "org", "html", "htm", "php", "index")
-BUCKETS = 1 << 18
 #: Letters of the words of texts.
 SHORTEST, LONGEST = 2, 24
 
@@ -178,14 +175,26 @@ def segmented_hosts(hosts: DataFrame, counts: DataFrame, seeds: tuple[str, ...]
 
 
 def _tokens() -> Column:
-    """Buckets of host words and path words; runs of digits are one word."""
+    """Host words and path words; runs of digits are one word."""
     path = F.filter(
         F.split(F.regexp_replace(F.lower("path"), "[0-9]+", "0"), r"[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*PLAIN)
     )
-    said = F.concat(
+    return F.concat(
         F.transform("names", lambda w: F.concat(F.lit("h:"), w)), F.transform(path, lambda w: F.concat(F.lit("p:"), w))
     )
-    return F.transform(said, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)))
+
+
+def token_gains(rows: DataFrame) -> DataFrame:
+    """``(token, gain)`` of ``rows(bad, token)``, one row per use of a token:
+    by how much it speaks for blocking, a logarithm of rates smoothed by one."""
+    counts = freeze(
+        rows.groupBy("token").agg(F.count_if("bad").alias("blocked"), F.count_if(~F.col("bad")).alias("allowed"))
+    )
+    sums = counts.agg(F.count("*").alias("seen"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")).first()
+    seen = max(1, sums["seen"])
+    rate = lambda c: F.log(F.col(c) + 1.0) - math.log((sums[c] or 0) + seen)
+    # Decimals add up to the same in any order.
+    return counts.select("token", (rate("blocked") - rate("allowed")).cast("decimal(20,15)").alias("gain"))
 
 
 def judged_urls(pages: DataFrame, rules=RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -209,29 +218,18 @@ def judged_urls(pages: DataFrame, rules=RULES, seeds: tuple[str, ...] = SEEDS) -
     named = freeze(segmented_hosts(hosts, freeze(word_counts(pages.select("html"))), seeds))
     names = F.coalesce("names", F.array().cast("array<string>")).alias("names")
     rows = rows.join(named, "host", "left").select("page_id", "host", "path", "rule", names)
-    rows = freeze(rows.withColumn("tokens", _tokens()))
+    rows = freeze(rows.withColumn("row", F.monotonically_increasing_id()))
     bad = F.exists("names", lambda w: w.isin(*seeds))
     sizes = rows.groupBy(bad.alias("bad")).agg(F.count("*").alias("n")).collect()
     pages_of = {r["bad"]: r["n"] for r in sizes}
-    tally = np.zeros((2, BUCKETS))
-    for r in rows.select(bad.alias("bad"), F.explode("tokens").alias("t")).groupBy("bad", "t").count().collect():
-        tally[int(r["bad"]), r["t"]] = r["count"]  # at most two rows for each bucket
-    seen = max(1, (tally.sum(axis=0) > 0).sum())
-    rates = np.log(tally + 1) - np.log(tally.sum(axis=1, keepdims=True) + seen)
     prior = math.log(pages_of.get(True, 0) + 1) - math.log(pages_of.get(False, 0) + 1)
-    gains = spark.sparkContext.broadcast(rates[1] - rates[0])
-    learned = bool(pages_of.get(True)) and bool(pages_of.get(False))
-
-    def scored(batches):
-        for batch in batches:
-            gain = gains.value
-            tokens = batch.column(batch.schema.get_field_index("tokens")).to_pylist()
-            logits = np.array([prior + gain[t].sum() for t in tokens]) if learned else np.full(len(tokens), -np.inf)
-            scores = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    rows = rows.mapInArrow(scored, schema)
+    logit = F.lit(-700.0)
+    if pages_of.get(True) and pages_of.get(False):
+        used = rows.select("row", bad.alias("bad"), F.explode(_tokens()).alias("token"))
+        gained = used.select("row", "token").join(token_gains(used), "token").groupBy("row").agg(F.sum("gain").alias("gain"))
+        rows = rows.join(gained, "row", "left")
+        logit = F.greatest(F.least(F.coalesce(F.col("gain").cast("double"), F.lit(0.0)) + prior, F.lit(700.0)), F.lit(-700.0))
+    rows = rows.withColumn("score", 1 / (1 + F.exp(-logit)))
     named = {name + begin: verdict for verdict, name, begin in rules}
     by_rule = F.coalesce(*[F.when(F.col("rule") == rule, verdict) for rule, verdict in named.items()], F.lit(None).cast("string"))
     verdict = F.coalesce(by_rule, F.when(F.col("score") > 0.5, "block").otherwise("allow"))

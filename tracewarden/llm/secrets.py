@@ -10,6 +10,8 @@ that leaves and that of the one that comes; the entropy is
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -47,11 +49,19 @@ class Scan(NamedTuple):
 
 
 #: By character class: hexadecimal strings, and mixed letters and digits.
-#: Candidates of letters or digits alone are words and numbers.
+#: Candidates of digits alone are numbers.
 SCANS = (
     Scan(r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 20, 3.0),
     Scan(r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 20, 3.7),
 )
+#: What is replaced in texts: also keys of one case, with digits or without.
+#: The spans of :func:`find_secrets` are those of ``SCANS``, as in its SQL.
+REPLACED = (
+    *SCANS,
+    Scan(r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9+/_=-]+$", 20, 3.7),
+    Scan(r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9+/_=-]+$", 20, 3.7),
+    Scan(r"^(?=.*[A-Za-z])[A-Za-z+/_=-]+$", 20, 4.0),
+)
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -142,7 +152,8 @@ def _random(text: Column, scans: tuple[Scan, ...], allow: tuple[str, ...]) -> Co
             out = F.when(found.rlike(scan.like), _cut_out(s, scan)).otherwise(out)
         return F.when(~allowed, out)
 
-    some = F.filter(_places(text, CANDIDATE), lambda s: s["found"].rlike("[0-9]"))
+    in_class = lambda s: reduce(operator.or_, [s["found"].rlike(scan.like) for scan in scans])
+    some = F.filter(_places(text, CANDIDATE), in_class)
     return F.filter(F.transform(some, judged), lambda s: s.isNotNull())
 
 
@@ -195,7 +206,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with all its columns, each found stretch of ``text`` replaced by
-    ``mark`` (overlapping ones by one) and ``n_chars``, where there is such a
+    ``mark`` (overlapping ones by one; entropy by ``REPLACED``) and ``n_chars``, where there is such a
     column, counted anew.  A null text stays null."""
     text = F.col("text")
 
@@ -210,7 +221,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
     name = "spans_" + "_".join(docs.columns)  # a name that no column has
-    held = _with_spans(docs, name, SCANS, ALLOW)
+    held = _with_spans(docs, name, REPLACED, ALLOW)
     out = F.when(F.size(name) > 0, F.aggregate(name, begin, step, tail)).otherwise(text)
     held = held.withColumn("text", out).drop(name)
     if "n_chars" in docs.columns:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm import sql
 from tracewarden.llm.chat import training_windows, window_digests
+from tracewarden.llm.codes import vector_codes
 from tracewarden.llm.decontaminate import contamination
 from tracewarden.llm.langid import identified_languages
 from tracewarden.llm.mixing import mix
 from tracewarden.llm.neardup import near_duplicates
 from tracewarden.llm.secrets import secret_report
 from tracewarden.llm.substrings import remove_repeats
+from tracewarden.llm.tokens import LIMIT, prefix_counts
+from tracewarden.llm.tries import prefix_trie, rebuilt
 from tracewarden.llm.urls import judged_urls
 from tracewarden.llm.vectors import near_duplicate_vectors
 from tracewarden.llm.warc import archived
@@ -87,6 +90,19 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged_urls(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes(_table(spark, folder, "embeddings")).drop("label")
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = prefix_counts(_table(spark, folder, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(*rebuilt(_table(spark, folder, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +116,9 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_secret_scans,
         op10_url_filters,
+        op11_vector_codes,
+        op12_token_counts,
+        op13_prefix_trie,
     )
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewarden.llm.chat import CLOSE, HISTORY, MARKS, OPEN, STRIDE
+from tracewarden.llm.codes import ENTRIES, PARTS, ROUNDS, SCALE
 from tracewarden.llm.secrets import ACCESS, ALLOW, CANDIDATE, HEX, SCANS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -163,6 +164,54 @@ select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, vec_id)
 from embeddings left join counts on vec_id = counts.a left join reach on vec_id = reach.a
 """
 
+#: The codebooks of one more round: floor(sum / count), also below zero.
+_ROUND = """,
+near{k} as (select v.vec_id, v.p, v.i, arg_min(b.e, [{distance}, b.e]) as e, min({distance}) as d
+  from pieces v join books{j} b on v.p = b.p group by v.vec_id, v.p, v.i),
+sums{k} as (select v.p, n.e, x, sum(v.v[x]) as s, count(*) as n
+  from pieces v join near{k} n on v.i = n.i and v.p = n.p, unnest(range(1, len(v.v) + 1)) as u(x) group by all),
+means{k} as (select p, e, list(((s - ((s % n) + n) % n) // n)::bigint order by x) as v from sums{k} group by p, e),
+books{k} as (select b.p, b.e, coalesce(m.v, b.v) as v from books{j} b left join means{k} m on b.p = m.p and b.e = m.e)"""
+_DISTANCE = "list_sum(list_transform(list_zip(v.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+CODES = f"""
+with usable as (select row_number() over (order by vec_id nulls last, embedding) - 1 as i, vec_id, label,
+    list_transform(embedding::double[], lambda x: floor({SCALE} * x)::bigint) as v from embeddings
+  where embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+pieces as (select i, vec_id, p, v[p * (len(v) // {PARTS}) + 1:(p + 1) * (len(v) // {PARTS})] as v from usable, unnest(range({PARTS})) as t(p)),
+books0 as (select p, i as e, v from pieces where i < {ENTRIES}){
+    "".join(_ROUND.format(k=k + 1, j=k, distance=_DISTANCE) for k in range(ROUNDS + 1))},
+coded as (select u.i, any_value(u.vec_id) as vec_id, any_value(label) as label,
+    string_agg(printf('%02x', e::int), '' order by p) as code, sum(d)::bigint as error from usable u join near{ROUNDS + 1} n on u.i = n.i group by u.i)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from books{ROUNDS}) as codebooks_sha256 from coded
+"""
+
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split(c::varchar, ''), lambda x: ord(x)::bigint), lambda crc, byte:
+  list_reduce([xor(crc, byte)] || range(8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+TRIE = rf"""
+with given as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first,
+      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id,
+    len(regexp_extract_all(coalesce(text, ''), {_WORD})) as words from conversations where conv_id is not null),
+ids as (select c, {_CRC} % 4 as h, c - c % 20 as base from (select distinct c from given)),
+turns as (select ids.c, g.i, id, words from ids join given g on g.c = base and g.i <= h
+  union all select ids.c, 3 + g.i, id, words from ids join given g on g.c = ids.c and g.i > h),
+paths as (select c, row_number() over w as d, sha256(string_agg(id, '' ) over w) as key, words from turns window w as (partition by c order by i)),
+kept as (select *, coalesce(lag(key) over (partition by c order by d), '') as parent from paths),
+ends as (select ids.c, coalesce(max_by(key, d), '') as key from ids left join kept using (c) group by ids.c),
+ended as (select key, sha256(string_agg(c::varchar, ',' order by c)) as ends_sha256 from ends group by key),
+nodes as (select key, d as depth, any_value(parent) as parent, min(c) as conv_id, count(*) as n, any_value(words) as words from kept group by key, d
+  union all select '', 0, null, min(c), count(*), 0 from ids having count(*) > 0),
+children as (select parent as key, count(*) as n_children from nodes where parent is not null group by parent),
+below as (select key as top, key from nodes where key = '' union all select '', key from nodes where key <> ''
+  union all select distinct a.key, b.key from kept a join kept b on a.c = b.c and a.d <= b.d),
+sums as (select top, count(*) filter (n_children is null) as n_leaves, sum((n - 1) * words) as saved
+  from below join nodes using (key) left join children using (key) group by top)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n as n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+  saved::bigint as saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+from nodes n join sums on sums.top = n.key left join children c on c.key = n.key left join ended e on e.key = n.key left join nodes p on p.key = n.parent
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": WARC,
     "op3_source_mixing": MIXING,
@@ -171,4 +220,6 @@ ORACLES: dict[str, str] = {
     "op6_chat_formatting": CHAT,
     "op8_benchmark_decontamination": BENCHMARK,
     "op9_secret_scans": SECRETS,
+    "op11_vector_codes": CODES,
+    "op13_prefix_trie": TRIE,
 }

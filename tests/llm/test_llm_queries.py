@@ -6,8 +6,8 @@ from check_queries import compare, connect
 from tracewarden.llm.queries import ORACLES, QUERIES
 
 #: Tested against brute force or held-out accuracy in this folder.
-NO_SQL = {"op2_language_id", "op7_minhash_near_dedup", "op10_url_filters"}
-TABLES = {"op2_language_id": "documents", "op7_minhash_near_dedup": "documents", "op10_url_filters": "pages"}
+NO_SQL = {"op2_language_id", "op7_minhash_near_dedup", "op10_url_filters", "op12_token_counts"}
+TABLES = {"op2_language_id": "documents", "op7_minhash_near_dedup": "documents", "op10_url_filters": "pages", "op12_token_counts": "documents"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -26,4 +26,4 @@ def test_entry_knows_all():
     from __spark_entry__ import oracle_sql, queries
 
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLES) <= set(oracle_sql())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}

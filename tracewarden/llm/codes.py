@@ -119,6 +119,16 @@ def usable(vectors: Column) -> Column:
     return F.coalesce(~F.exists(vectors, lambda x: bad(x.cast("double"))), F.lit(False))
 
 
+def limbs(x: int) -> list[int]:
+    """A whole number of any size in 32-bit steps that can be summed apart; the
+    last one has the sign."""
+    out = []
+    while not -(2**32) < x < 2**32:
+        out.append(x & 0xFFFFFFFF)
+        x >>= 32
+    return [*out, x]
+
+
 def _sums(books: np.ndarray):
     def task(batches):
         m, k, width = books.shape
@@ -132,27 +142,33 @@ def _sums(books: np.ndarray):
                     used, starts = np.unique(codes[order, p], return_index=True)
                     total[p, used] += np.add.reduceat(parts[order, p], starts, axis=0)
                     count[p, used] += np.diff([*starts, len(order)])
-        p, e = np.nonzero(count)
-        sums = [[str(x) for x in total[i, j]] for i, j in zip(p, e)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(p, pa.int32()), pa.array(e, pa.int32()), pa.array(count[p, e], pa.int64()), pa.array(sums, pa.list_(pa.string()))],
-            names=["part", "entry", "n", "sums"],
-        )
+        rows = [
+            (p, e, place, limb, int(count[p, e]), value)
+            for p, e in zip(*np.nonzero(count))
+            for place, x in enumerate(total[p, e].tolist())
+            for limb, value in enumerate(limbs(int(x)))
+        ]
+        kinds = [pa.int32()] * 4 + [pa.int64()] * 2
+        names = ["part", "entry", "place", "limb", "n", "value"]
+        columns = list(zip(*rows)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return task
 
 
 def _moved(rows: DataFrame, books: np.ndarray) -> np.ndarray:
     """Each entry as the mean of its parts, rounded down; unused ones stay."""
-    found = rows.mapInArrow(_sums(books), "part int, entry int, n long, sums array<string>")
-    places = found.select("part", "entry", "n", F.posexplode("sums").alias("place", "total"))
-    # One row for each place of an entry: as many as the codebooks have numbers.
-    added = places.groupBy("part", "entry", "place").agg(
-        F.sum(F.col("n")).alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")
-    )
+    kinds = "part int, entry int, place int, limb int, n long, value long"
+    found = rows.mapInArrow(_sums(books), kinds).groupBy("part", "entry", "place", "limb")
+    # As many rows as the codebooks have numbers, times the limbs of these.
+    sums, sizes = {}, {}
+    for r in found.agg(F.sum("n").alias("n"), F.sum("value").alias("value")).collect():
+        at = r["part"], r["entry"], r["place"]
+        sums[at] = sums.get(at, 0) + (r["value"] << (32 * r["limb"]))
+        sizes[at] = max(sizes.get(at, 0), r["n"])
     out = books.astype(object)
-    for r in added.collect():
-        out[r["part"], r["entry"], r["place"]] = int(r["total"]) // r["n"]
+    for at, total in sums.items():
+        out[at] = total // sizes[at]
     return _smaller(out)
 
 

@@ -75,12 +75,12 @@ class PrefixCounter:
         self.path = path
 
     def _read_pattern(self, spec: dict) -> None:
-        steps = spec["normalizer"]["normalizers"]
-        cutter, letters = spec["pre_tokenizer"]["pretokenizers"]
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        cutter, letters = ((spec["pre_tokenizer"] or {}).get("pretokenizers", []) + [{}, {}])[:2]
         plain = (
             [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
-            and cutter["type"] == "Split" and cutter["behavior"] == "Removed" and cutter["invert"]
-            and letters["type"] == "ByteLevel" and not letters["use_regex"] and not letters["add_prefix_space"]
+            and cutter.get("type") == "Split" and cutter["behavior"] == "Removed" and cutter["invert"]
+            and letters.get("type") == "ByteLevel" and not letters["use_regex"] and not letters["add_prefix_space"]
             and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
             and not spec["model"].get("ignore_merges") and not spec["model"]["continuing_subword_prefix"]
         )

@@ -32,7 +32,7 @@ from tracewarden.operators.ordered import numbered, running_sums
 from tracewarden.session import freeze
 
 WORD = r"[^\x20\x09-\x0D]+"
-STOREY, CELLS, SHARED, STRIDE = 256, 1 << 16, 3, 4
+STOREY, CELLS, SHARED, STRIDE = 256, 1 << 12, 3, 4
 _HASHES = [f"h{i}" for i in range(4)]
 #: Key of the root.
 ROOT = bytes(32)

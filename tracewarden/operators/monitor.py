@@ -107,6 +107,12 @@ class Monitor:
         return entered.select(*keys, CHUNK, self.enter(F.col("_start"), F.col("before")).alias("_carried"))
 
 
+def constants(values, kind: str) -> Column:
+    """An array of literals, folded to one constant by the optimizer."""
+    text = ",".join("" if v is None else str(v).lower() for v in values)
+    return F.transform(F.split(F.lit(text), ","), lambda x: x.try_cast(kind))
+
+
 @dataclass(frozen=True)
 class SumMonitor(Monitor):
     """State is the total of ``amount`` over the events so far."""
@@ -144,28 +150,35 @@ class StateMonitor(Monitor):
         number = {s: i for i, s in enumerate(states)}
         # Letter 0 changes nothing; letter i is rule i.
         rows = [{}] + [r.moves for r in rules]
-        table = tuple(number[row.get(s, s)] for row in rows for s in states)
+        moves = [tuple(number[row.get(s, s)] for s in states) for row in rows]
         moving = [i for i, r in enumerate(rules, 1) if any(a != b for a, b in r.moves.items())]
         letter = F.lit(0)
         for i, rule in reversed(list(enumerate(rules, 1))):
             letter = F.when(rule.when, i if i in moving else 0).otherwise(letter)
+        return StateMonitor.of_table(
+            name, states, number[start], moves, letter, [verdicts.get(s) for s in states],
+            rules={r.name: r.when for r in rules}, **settings,
+        )
+
+    @staticmethod
+    def of_table(name, states, start: int, moves: list[tuple], letter: Column, verdicts: list, **settings):
+        """From where each state goes by each letter; letter 0 moves nothing."""
         size = len(states)
-        moves = F.array(*[F.lit(t) for t in table])
+        table = tuple(t for row in moves for t in row)
+        numbers, every = constants(table, "int"), constants(range(size), "int")
         # A stretch is the list of the states that it leads to from each state.
-        moved = lambda e: F.transform(F.array(*map(F.lit, range(size))), lambda s: F.get(moves, e["letter"] * size + s))
-        verdict = [verdicts.get(s) for s in states]
-        judged = F.array(*[F.lit(v).cast("boolean") for v in verdict])
+        moved = lambda e: F.slice(numbers, e["letter"] * size + 1, size)
+        judged = constants(verdicts, "boolean")
         return StateMonitor(
             name=name,
-            init=F.lit(number[start]),
-            step=lambda s, e: F.get(moves, e["letter"] * size + s),
+            init=F.lit(start),
+            step=lambda s, e: F.get(numbers, e["letter"] * size + s),
             verdict=lambda s: F.get(judged, s),
-            neutral=F.array(*map(F.lit, range(size))),
+            neutral=every,
             lift=moved,
             merge=lambda m, n: F.transform(m, lambda s: F.get(n, s)),
             enter=lambda s, m: F.get(m, s),
             features={"letter": letter},
-            rules={r.name: r.when for r in rules},
             states=tuple(states),
             table=table,
             **settings,

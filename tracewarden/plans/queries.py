@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.functions import payloads, spans as fs, terms
+from tracewarden.operators import formulas as fm
 from tracewarden.operators import metrics, monitor, properties, routing, temporal, trace_query, tree
 from tracewarden.operators import sessions as ss
 from tracewarden.plans import sql
@@ -1164,6 +1165,69 @@ def f7_formula_on_letters(spark, d):
         letters, ["key"], ["letter"], "letter", F.col("p"), F.col("q"), 8, None))
 
 
+_FIRST_LETTERS = _letters_sql(_FIRST, _FIRST_KEYED, "name = 'error'", "name = 'purchase'")
+_AHEAD = "PARTITION BY key ORDER BY letter ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+WITHIN = 8
+
+
+_JUDGED = [
+    "response_closed", "until_closed", "until_open", "nested_closed", "nested_open", "settled_closed", "soon_closed", "soon_open"
+]
+
+
+@query("f7_formulas", f"""WITH {_FIRST_LETTERS},
+ahead AS (
+  SELECT *, min(CASE WHEN q THEN letter END) OVER ({_AHEAD}) AS next_q,
+    min(CASE WHEN n_events = 0 THEN letter END) OVER ({_AHEAD}) AS next_r,
+    max(letter) OVER (PARTITION BY key) AS final FROM letters),
+checked AS (
+  SELECT key,
+    NOT bool_or(p AND next_q IS NULL) AS response_closed,
+    coalesce(bool_and(next_q IS NOT NULL) FILTER (letter = 0), false)
+      AND NOT coalesce(bool_or(p AND next_q = first_q AND letter < first_q), false) AS until_closed,
+    CASE WHEN bool_or(p AND letter < coalesce(first_q, final + 1)) THEN false WHEN any_value(first_q) IS NOT NULL THEN true END AS until_open,
+    NOT bool_or(p AND NOT (next_q IS NOT NULL AND (next_r IS NULL OR next_r >= next_q))) AS nested_closed,
+    CASE WHEN bool_or(p AND next_r IS NOT NULL AND (next_q IS NULL OR next_r < next_q)) THEN false END AS nested_open,
+    NOT bool_or(p AND letter = final) AND bool_or(q) AS settled_closed,
+    NOT bool_or(p AND (next_q IS NULL OR next_q - letter > {WITHIN})) AS soon_closed,
+    CASE WHEN bool_or(p AND CASE WHEN next_q IS NULL THEN letter + {WITHIN} <= final ELSE next_q - letter > {WITHIN} END) THEN false END AS soon_open
+  FROM (SELECT *, min(CASE WHEN q THEN letter END) OVER (PARTITION BY key) AS first_q FROM ahead) GROUP BY key)
+SELECT key, 'Undecided' AS response_open, 'Undecided' AS settled_open,
+  {", ".join(f"{sql.truth(c)} AS {c}" for c in _JUDGED)} FROM checked""")
+def f7_formulas(spark, d):
+    """Five formulas on letters: whether errors are answered, whether a purchase
+    comes before any error, whether no quiet tick lies between an error and the
+    next purchase, whether errors end and something is bought, and whether
+    answers come soon."""
+    p, q, quiet = fm.atom("p"), fm.atom("q"), ~fm.atom("busy")
+    asked = {
+        "response": fm.response(p, q),
+        "until": fm.until(~p, q),
+        "nested": fm.always(p >> fm.until(~quiet, q)),
+        "settled": fm.eventually(fm.always(~p)) & fm.eventually(q),
+        "soon": fm.response(p, q, within=WITHIN),
+    }
+    spans = by_trace(spark, d).drop("attributes", "resource", "scope", "events", "links", "status")
+    found = fm.formulas_on_letters(spans, 3 * 24 * HOUR, TICK, tests() | {"busy": F.lit(True)}, asked)
+    return found.select("key", *[monitor.truth(F.col(c)).alias(c) for c in found.columns if c != "key"])
+
+
+@query("f7_formula_monitor", f"""WITH {EV_SESSIONS}, checked AS (
+SELECT key, session_start, session_end,
+  min({_PLACE}) FILTER (name = 'error') AS e, min({_PLACE}) FILTER (name = 'purchase') AS b FROM evs GROUP BY ALL)
+SELECT key, session_start, session_end, 'bought-first' AS propertyName,
+  CASE WHEN b IS NOT NULL AND (e IS NULL OR b < e) THEN 'True' WHEN e IS NOT NULL THEN 'False' ELSE 'Undecided' END AS truthValue
+FROM checked""")
+def f7_formula_monitor(spark, d):
+    """Is nothing an error before the first purchase of a session?  As a monitor of events."""
+    bought_first = fm.until(~fm.atom("error"), fm.atom("buy"))
+    m = fm.formula_monitor(
+        "bought-first", bought_first, {"error": is_error(), "buy": is_buy()},
+        key_attribute="bucket", gap_ms=GAP, across_sessions=False,
+    )
+    return monitor.run_monitor(events(spark, d), m)
+
+
 @query("f8_task_has_result", f"""WITH {sql.ORDERS},
 ends AS (
   SELECT trace_id, max(CASE WHEN name = 'order' THEN row(start_ns, 0, span_id) END) AS p,

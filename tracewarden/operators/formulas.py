@@ -310,7 +310,7 @@ def formula_monitor(name: str, f: Formula, tests: dict[str, Column], **settings)
 
 
 def formula_states(rows: DataFrame, keys: list[str], order: list[str], machine: StateMonitor, chunks: int | None = None) -> DataFrame:
-    """``(keys, state)`` after the last row of each key.
+    """``(keys, _state)`` after the last row of each key.
 
     Rows that move no state are dropped before the shuffle; stretches of rows
     become maps from state to state, so a key of any length is cut into chunks.
@@ -322,7 +322,7 @@ def formula_states(rows: DataFrame, keys: list[str], order: list[str], machine:
     marks = ends.select(*own_keys, "place.*", F.lit(0).alias("letter"), F.lit(True).alias("mark"))
     marked = needed.filter("letter > 0").unionByName(marks)
     found = fold(marked, own_keys, [*own_order, "mark"], ["letter"], machine, None, chunks, "mark")
-    return found.select(*[F.col(n).alias(c) for c, n in zip(keys, own_keys)], "state")
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keys, own_keys)], F.col("state").alias("_state"))
 
 
 def check_formulas(
@@ -339,7 +339,7 @@ def check_formulas(
     parts = [automaton(f, list(tests), limit) for f in formulas.values()]
     whole = together(parts, limit)
     states = formula_states(rows, keys, order, _machine("formulas", whole, [None] * whole.size, tests), chunks)
-    verdict = lambda column, i: F.get(constants([v[i] for v in column], "boolean"), F.col("state"))
+    verdict = lambda column, i: F.get(constants([v[i] for v in column], "boolean"), F.col("_state"))
     judged = []
     for i, name in enumerate(formulas):
         judged += [verdict(whole.closed, i).alias(f"{name}_closed"), verdict(whole.open, i).alias(f"{name}_open")]

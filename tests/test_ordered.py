@@ -75,6 +75,34 @@ def test_chunks_are_bounded_in_one_partition(rows, monkeypatch):
     assert {r.key: tuple(r.s) for r in last.collect()} == want
 
 
+@pytest.mark.parametrize("bits, slice_bits", [(3, 16), (6, 4), (18, 16)])
+def test_chunks_from_counts(spark, monkeypatch, bits, slice_bits):
+    """A key with half of all rows, bursts, nulls, negative and far times, and flags before them."""
+    monkeypatch.setattr(ordered, "CHUNK_BITS", bits)
+    monkeypatch.setattr(ordered, "SLICE_BITS", slice_bits)
+    rng = random.Random(11)
+    times = [None, -(2**62), 2**62, *[rng.randrange(-(10**12), 10**12) for _ in range(300)], *range(500, 900)]
+    data = [("hot", rng.random() < 0.5, t, i) for i, t in enumerate(times)]
+    data += [(rng.choice([None, "a", "b"]), None if rng.random() < 0.2 else True, rng.randrange(50), 10**6 + i) for i in range(300)]
+    data += [("burst", False, 7, 2 * 10**6 + i) for i in range(60)]
+    df = spark.createDataFrame(data, "key string, flag boolean, at long, id long").repartition(6)
+    rows, split = ordered.placed(df, ["key"], ["flag", "at", "id"])
+    counts = [r["count"] for r in rows.groupBy("key", CHUNK).count().collect()]
+    assert max(counts) <= 2**bits or not split
+    got = {r["id"]: r["seq"] for r in numbered(df, ["key"], ["flag", "at", "id"]).collect()}
+    low = lambda v: (v is not None, v or 0)
+    seen = {}
+    for key, _, _, i in sorted(data, key=lambda r: (low(r[1]), low(r[2]), r[3])):
+        seen[key] = seen.get(key, 0) + 1
+        assert got[i] == seen[key]
+
+
+def test_small_keys_take_one_exchange(spark, rows):
+    _, df = rows
+    plan = numbered(df, ["key"], ["at"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
+
+
 def test_a_large_key_covers_many_chunks_and_carries_stay_few(rows):
     _, df = rows
     placed = into_chunks(df, ["key"], ["at"], 40)

@@ -243,13 +243,14 @@ def fold(
     chunk border need a carried state, at most one per chunk.  Runs jobs while
     it is built and writes tables to the shared folder.
     """
-    placed = ordered.into_chunks(rows, keys, order, chunks)
+    placed, split = ordered.placed(rows, keys, order, chunks)
     arrays = ordered.arrays_per_chunk(placed, keys, order, payload)
-    several = ordered.same_keys(placed, ordered.multiple(placed, keys), keys, "left_semi")
-    parts = ordered.arrays_per_chunk(several, keys, order, payload)
     carry = None
-    if not several.isEmpty():
-        carry = monitor.carries(parts, keys, starts)
+    if split:
+        several = ordered.same_keys(placed, ordered.multiple(placed, keys), keys, "left_semi")
+        parts = ordered.arrays_per_chunk(several, keys, order, payload)
+        if not several.isEmpty():
+            carry = monitor.carries(parts, keys, starts)
     started = _with_starts(arrays, keys, starts, monitor.init)
     if carry is not None:
         started = ordered.same_keys(started, carry, [*keys, CHUNK], "left")

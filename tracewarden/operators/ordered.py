@@ -1,9 +1,9 @@
 """Ordered work inside groups of any size.
 
 A window partitioned by key puts every row of a key into one task, which a key
-with a large share of all rows cannot afford.  Here rows are range-partitioned
-and sorted by (key, order) and cut into "chunks" of at most ``2 ** CHUNK_BITS``
-rows, so that a large key covers many chunks.  Each chunk is worked on by
+with a large share of all rows cannot afford.  Here the rows of each key are cut
+along the order into "chunks" of at most ``2 ** CHUNK_BITS`` rows, by counts of
+narrow slices, so that a large key covers many chunks.  Each chunk is worked on by
 itself, and what crosses a chunk border goes into a *carry* table of at most
 one row per key and chunk.  What the chunks before a chunk add up to is worked
 out as a tree over the chunks (:func:`prefixes`), so no task sees all chunks of
@@ -23,6 +23,7 @@ from tracewarden.session import freeze
 CHUNK = "_chunk"
 CHUNK_BITS = 18
 FAN_BITS = 8
+SLICE_BITS = 16
 
 
 def into_chunks(
@@ -30,9 +31,71 @@ def into_chunks(
 ) -> DataFrame:
     """Rows with the number of their chunk, written out once.
 
-    Range borders come from a sample and differ between runs of a plan, so the
-    numbered rows are frozen before they are used twice.
+    Chunks of a key are numbered in ``order`` and hold at most
+    ``2 ** CHUNK_BITS`` rows.  With ``chunks`` rows are dealt to so many ranges.
     """
+    return placed(df, keys, order, chunks)[0]
+
+
+def placed(
+    df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None
+) -> tuple[DataFrame, bool]:
+    """``into_chunks``, and whether some key may have several chunks.
+
+    Where the order begins with a number, chunks come from counts: rows are
+    counted per key, and those of the larger keys per slice of the number, so
+    that no row is sampled or moved to find its chunk.  Slices are narrowed
+    until each holds at most half a chunk; where one number has more rows than
+    that, or the order begins with something else, rows are ranged.
+    """
+    if chunks is not None:
+        return _ranged(df, keys, order, chunks), True
+    lead = _leading(df, order)
+    if lead is None:
+        return _ranged(df, keys, order, None), True
+    rows, half = freeze(df), 2**CHUNK_BITS // 2
+    flags, number = lead
+    large = freeze(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * half).drop("_n"))
+    if large.isEmpty():
+        return rows.withColumn(CHUNK, F.lit(0).cast("bigint")), False
+    at = F.coalesce(F.col(number).cast("bigint"), F.lit(-(2**63)))
+    many = same_keys(rows.select(*keys, *flags, at.alias("_at")), large, keys, "left_semi")
+    low, high = many.agg(F.min("_at"), F.max("_at")).first()
+    bits = max(0, (high - low).bit_length() - SLICE_BITS)
+    while True:
+        by = [*keys, *flags]
+        slices = many.groupBy(*by, F.shiftright("_at", bits).alias("_slice")).agg(F.count(F.lit(1)).alias("_own"))
+        slices = freeze(slices)
+        if slices.agg(F.max("_own")).first()[0] <= half:
+            break
+        if bits == 0:
+            return _ranged(rows, keys, order, None), True
+        bits = max(0, bits - SLICE_BITS // 2)
+    summed = running_sum_in_blocks(
+        slices.withColumn("_sum", F.col("_own")), by, "_slice", F.shiftright("_slice", SLICE_BITS // 2), "_sum"
+    )
+    # Flags come before the number in the order, and so in the chunk's number.
+    flagged = sum((F.coalesce(F.col(f).cast("bigint") + 1, F.lit(0)) * 3**i for i, f in enumerate(flags[::-1])), F.lit(0))
+    chunk = F.shiftleft(flagged.cast("bigint"), 40) + F.floor((F.col("_sum") - F.col("_own")) / half)
+    index = summed.select(*by, "_slice", chunk.alias("_chunk_of"))
+    found = same_keys(rows.withColumn("_slice", F.shiftright(at, bits)), index, [*by, "_slice"], "left")
+    return freeze(found.withColumn(CHUNK, F.coalesce("_chunk_of", F.lit(0))).drop("_slice", "_chunk_of")), True
+
+
+def _leading(df: DataFrame, order: list[str]) -> tuple[list[str], str] | None:
+    """The flags that an order begins with, and the whole number after them."""
+    kinds, flags = dict(df.dtypes), []
+    for name in order:
+        if kinds[name] == "boolean":
+            flags.append(name)
+        else:
+            return (flags, name) if kinds[name] in ("bigint", "int", "smallint", "tinyint") else None
+    return None
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[str], chunks: int | None) -> DataFrame:
+    """Range borders come from a sample and differ between runs of a plan, so
+    the numbered rows are frozen before they are used twice."""
     by = [*keys, *order]
     ranged = df.repartitionByRange(chunks, *by) if chunks else df.repartitionByRange(*by)
     # The id counts the sorted rows of a partition up from the partition's own
@@ -127,17 +190,19 @@ def running_sums(
     ``order`` must tell rows of one key apart.  All sums are 64-bit integers.
     """
     staged = {f"_v{i}": F.coalesce(v.cast("bigint"), F.lit(0)) for i, v in enumerate(sums.values())}
-    rows = into_chunks(df.withColumns(staged), keys, order, chunks)
-    return _running_sums(rows, keys, order, dict(zip(sums, staged)))
+    rows, several = placed(df.withColumns(staged), keys, order, chunks)
+    return _running_sums(rows, keys, order, dict(zip(sums, staged)), several)
 
 
-def _running_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]):
+def _running_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], split: bool):
     inside = (
         Window.partitionBy(CHUNK, *keys)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = rows.withColumns({out: F.sum(v).over(inside) for out, v in sums.items()})
+    if not split:
+        return local.drop(CHUNK, *sums.values())
     total = F.struct(*[F.sum(v).alias(v) for v in sums.values()])
     per_chunk = rows.groupBy(*keys, CHUNK).agg(total.alias("part"))
     several = multiple(rows, keys)
@@ -197,7 +262,7 @@ def next_values(
     With ``strict`` the row itself is not looked at.
     """
     names = list(values)
-    rows = into_chunks(df.withColumns(values), keys, order, chunks)
+    rows, split = placed(df.withColumns(values), keys, order, chunks)
     # Looking back in reverse order: one pass, where a frame that reaches to the
     # end of the group would be worked out anew for each row.
     backwards = (
@@ -206,6 +271,8 @@ def next_values(
         .rowsBetween(Window.unboundedPreceding, -int(strict))
     )
     local = rows.withColumns({n: F.last(n, ignorenulls=True).over(backwards) for n in names})
+    if not split:
+        return local.drop(CHUNK)
     position = F.struct(*order)
     first = [F.min_by(n, F.when(F.col(n).isNotNull(), position)).alias(n) for n in names]
     per_chunk = rows.groupBy(*keys, CHUNK).agg(F.struct(*first).alias("part"))

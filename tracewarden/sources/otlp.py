@@ -192,9 +192,12 @@ def _id(column: Column) -> Column:
 
 def flatten_spans(requests: DataFrame) -> DataFrame:
     """One row per span, carrying its resource, its scope and both schema urls."""
+    # From a plain explode the optimizer infers filters that would parse the
+    # requests again; empty lists are dropped after the last one instead.
+    each = lambda column, name: F.posexplode_outer(column).alias("at", name)
     # Resource and scope are built once each, before their spans are listed.
     resource, scope = F.col("rs.resource"), F.col("ss.scope")
-    per_resource = requests.select(F.explode("resourceSpans").alias("rs")).select(
+    per_resource = requests.select(each("resourceSpans", "rs")).select(
         F.struct(
             _attributes(resource["attributes"]).alias("attributes"),
             _zero(resource["droppedAttributesCount"]).alias("dropped_attributes_count"),
@@ -202,7 +205,7 @@ def flatten_spans(requests: DataFrame) -> DataFrame:
         _text(F.col("rs.schemaUrl")).alias("resource_url"),
         F.col("rs.scopeSpans").alias("scopes"),
     )
-    per_scope = per_resource.select("resource", "resource_url", F.explode("scopes").alias("ss")).select(
+    per_scope = per_resource.select("resource", "resource_url", each("scopes", "ss")).select(
         "resource",
         "resource_url",
         F.struct(
@@ -214,7 +217,8 @@ def flatten_spans(requests: DataFrame) -> DataFrame:
         _text(F.col("ss.schemaUrl")).alias("scope_url"),
         F.col("ss.spans").alias("spans"),
     )
-    per_span = per_scope.select("resource", "resource_url", "scope", "scope_url", F.explode("spans").alias("s"))
+    per_span = per_scope.select("resource", "resource_url", "scope", "scope_url", each("spans", "s"))
+    per_span = per_span.filter("at is not null")
     s = F.col("s")
     events = F.transform(
         F.coalesce(s["events"], F.array()),

@@ -1,5 +1,6 @@
 """Span trees, simulation files, routing, requests, generated traces and sinks."""
 
+import random
 import json
 
 import pytest
@@ -279,3 +280,51 @@ def test_verdict_tables(spark, tmp_path):
     assert verdicts.verdicts_in_range(stored, "p", F.timestamp_seconds(F.lit(2)), high).count() == 2
     plan = verdicts.verdicts_in_range(stored, "p", low, high)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(propertyName" in plan
+
+
+def walked(spans):
+    """Pre-order of each trace by plain recursion with a stack: (depth, position, size)."""
+    children, ids = {}, {(t, s) for t, s, _ in spans}
+    for t, s, parent in spans:
+        children.setdefault((t, parent or ""), []).append(s)
+    found = {}
+    for t in {t for t, _ in ids}:
+        roots = children.get((t, ""), [])
+        todo, order = [(min(roots), 0)] if roots else [], []
+        while todo:
+            s, depth = todo.pop()
+            order.append((s, depth))
+            todo += [(c, depth + 1) for c in sorted(children.get((t, s), []), reverse=True)]
+        for i, (s, depth) in enumerate(order):
+            size = next((k for k in range(i + 1, len(order)) if order[k][1] <= depth), len(order)) - i
+            found[(t, s)] = (depth, i, size)
+    return found
+
+
+@pytest.mark.parametrize("chunk_bits", [18, 3])
+def test_preorder_is_that_of_a_walk(spark, monkeypatch, chunk_bits):
+    from tracewarden.operators import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK_BITS", chunk_bits)
+    rng = random.Random(12)
+    spans = [("a", "root", None), ("a", "line1", "root"), ("a", "line1-2", "root"), ("a", "line2", "line1"), ("a", "z", "line1-2")]
+    spans += [("wide", "r", "")] + [("wide", f"c{i}", "r") for i in range(300)]  # half of all spans under one parent
+    spans += [("random", "n0", None)] + [("random", f"n{i}", f"n{rng.randrange(i)}") for i in range(1, 120)]
+    spans += [("two", "b", None), ("two", "a", None), ("two", "x", "b"), ("two", "y", "a")]
+    spans += [("cycle", "r", None), ("cycle", "p", "q"), ("cycle", "q", "p"), ("cycle", "s", "p"), ("orphan", "o", "gone"), ("lone", "l", None)]
+    table = spark.createDataFrame(spans, "trace_id string, span_id string, parent_id string").repartition(7)
+    got = {(r.trace_id, r.span_id): (r.depth, r.position, r["size"]) for r in tree.preorder(table).collect()}
+    assert got == walked(spans)
+    assert [r.span_id for r in tree.descendants(table).filter("trace_id = 'a'").collect()] == ["root", "line1", "line2", "line1-2", "z"]
+    assert tree.preorder(table.limit(0)).isEmpty()
+
+
+def test_preorder_of_a_deep_chain(spark):
+    deep = 10_000
+    chain = spark.range(deep).select(
+        F.lit("t").alias("trace_id"), F.col("id").cast("string").alias("span_id"),
+        F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"),
+    )
+    found = tree.preorder(chain)
+    right = (F.col("depth") == F.col("span_id").cast("int")) & (F.col("position") == F.col("depth")) & (F.col("size") == deep - F.col("depth"))
+    assert found.filter(right).count() == deep

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.operators.ordered import next_values
 from tracewarden.schema import KEY_VALUES, span_row, text_value
 from tracewarden.session import freeze
 
@@ -120,9 +121,77 @@ def tree_errors(spans: DataFrame) -> DataFrame:
     return joined.select("trace_id", "spans", error.alias("error")).filter("error is not null")
 
 
+def preorder(spans: DataFrame) -> DataFrame:
+    """``(trace_id, span_id, depth, position, size)`` of the spans that can be
+    reached from the root of their trace.
+
+    ``position`` counts from 0, a parent before its children and these by id;
+    ``size`` counts the spans below and including one, so what lies below a
+    span are the ``size`` positions from its own on.  Ids are unique per trace;
+    of several roots the smallest counts; spans on a cycle or below a missing
+    parent are left out, as are those without a trace or an id.
+
+    A walk around the tree enters and leaves each span once.  Each of these
+    steps knows the next one: into the first child, else out; then into the
+    next sibling, else out of the parent.  Steps are ranked by pointer doubling
+    along this list, each adding up what lies up to the step it points to, so a
+    tree of ``n`` spans takes ``log2(2 n)`` joins, however deep or wide it is.
+    """
+    parent = F.when(F.col("parent_id") != "", F.col("parent_id"))
+    nodes = spans.filter("trace_id is not null and span_id is not null").select("trace_id", "span_id", parent.alias("parent"))
+    nodes = freeze(nodes)
+    below = nodes.filter("parent is not null")
+    siblings = next_values(below, ["trace_id", "parent"], ["span_id"], {"sibling": F.col("span_id")}, strict=True)
+    firsts = below.groupBy("trace_id", F.col("parent").alias("span_id")).agg(F.min("span_id").alias("child"))
+    linked = nodes.filter("parent is null").withColumn("sibling", F.lit(None).cast("string")).unionByName(siblings)
+    linked = linked.join(firsts, ["trace_id", "span_id"], "left")
+    child, sibling = F.col("child"), F.col("sibling")
+    enter = F.struct(
+        F.lit(False).alias("out"), F.coalesce(child, "span_id").alias("next"), child.isNull().alias("next_out"),
+        F.lit(1).cast("bigint").alias("entered"), F.lit(1).cast("bigint").alias("level"),
+    )
+    leave = F.struct(
+        F.lit(True).alias("out"), F.coalesce(sibling, "parent").alias("next"), sibling.isNull().alias("next_out"),
+        F.lit(0).cast("bigint").alias("entered"), F.lit(-1).cast("bigint").alias("level"),
+    )
+    steps = linked.select("trace_id", "span_id", F.explode(F.array(enter, leave)).alias("s")).select("trace_id", "span_id", "s.*")
+    level = freeze(steps.withColumn("top", F.when(F.col("next").isNull(), F.col("span_id"))))
+    done, pending, waiting = level.filter("next is null"), level.filter("next is not null"), None
+    while True:
+        left = pending.count()
+        if left == 0 or left == waiting:
+            break
+        waiting = left
+        ahead = done.unionByName(pending).select(
+            "trace_id", F.col("span_id").alias("next"), F.col("out").alias("next_out"), F.col("next").alias("after"),
+            F.col("next_out").alias("after_out"), F.col("entered").alias("more_entered"),
+            F.col("level").alias("more_level"), F.col("top").alias("end_top"),
+        )
+        moved = pending.join(ahead, ["trace_id", "next", "next_out"]).select(
+            "trace_id", "span_id", "out", F.col("after").alias("next"), F.col("after_out").alias("next_out"),
+            (F.col("entered") + F.col("more_entered")).alias("entered"),
+            (F.col("level") + F.col("more_level")).alias("level"), F.col("end_top").alias("top"),
+        )
+        level = freeze(moved)
+        done, pending = done.unionByName(level.filter("next is null")), level.filter("next is not null")
+    walked = done.join(_first_roots(spans), ["trace_id", "top"], "left_semi")
+    # What remains from a step on: spans still to enter, and the way back up.
+    per_span = walked.groupBy("trace_id", "span_id", "top").agg(
+        F.max(F.when(~F.col("out"), F.col("entered"))).alias("from_in"),
+        F.max(F.when(F.col("out"), F.col("entered"))).alias("from_out"),
+        F.max(F.when(~F.col("out"), -F.col("level"))).alias("depth"),
+    )
+    totals = walked.filter("span_id = top and not out").select("trace_id", F.col("entered").alias("total"))
+    return per_span.join(totals, "trace_id").select(
+        "trace_id", "span_id", F.col("depth").cast("int").alias("depth"),
+        (F.col("total") - F.col("from_in")).alias("position"), (F.col("from_in") - F.col("from_out")).alias("size"),
+    )
+
+
 def descendants(spans: DataFrame) -> DataFrame:
-    """Every trace's spans in path order: a parent comes before its children."""
-    return span_tree(spans).orderBy("trace_id", "path")
+    """Every trace's spans in pre-order: a parent, then its children by id, each
+    followed by what is below it."""
+    return preorder(spans).orderBy("trace_id", "position")
 
 
 def effective_timeline(sim_spans: DataFrame, pad_ms: int = PAD_MS) -> DataFrame:

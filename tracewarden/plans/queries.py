@@ -1328,9 +1328,13 @@ def h3_tree_errors(spark, d):
     return tree.tree_errors(spans)
 
 
-@query("h4_descendants", f"{_TREE} SELECT trace_id, span_id, path FROM tree ORDER BY trace_id, path")
+@query("h4_descendants", f"""{_TREE}, listed AS (SELECT *, string_split(path, '/') AS ids FROM tree)
+SELECT a.trace_id, a.span_id, any_value(a.depth) AS depth, any_value(a.position) AS position, count(*) AS size
+FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ids) - 1 AS position FROM listed) a
+JOIN listed b ON a.trace_id = b.trace_id AND b.ids[:len(a.ids)] = a.ids
+GROUP BY a.trace_id, a.span_id""")
 def h4_descendants(spark, d):
-    return tree.descendants(tables.sim_spans_from_orders(spark, d)).select("trace_id", "span_id", "path")
+    return tree.preorder(tables.sim_spans_from_orders(spark, d))
 
 
 _TIMELINE = f"""{_TREE},

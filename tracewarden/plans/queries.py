@@ -19,6 +19,7 @@ from tracewarden.schema import (
 )
 from tracewarden.session import freeze, shared_dir
 from tracewarden.sinks import text as text_sink, verdicts as verdict_sink
+from tracewarden.sinks.spans import SpanStore
 from tracewarden.sources import otlp, simspans, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1272,6 +1273,25 @@ def g2_find_traces(spark, d):
     return trace_query.find_traces(events(spark, d), **CONDITIONS).select(*IDS, "name")
 
 
+def stored(spark, d) -> SpanStore:
+    store = SpanStore(scratch(spark))
+    store.append(events(spark, d))
+    return store
+
+
+@query("g1_stored_trace", f"""WITH {sql.EVENTS} SELECT trace_id, span_id, name, start_ns, end_ns FROM spans
+WHERE trace_id = '{_USER_7}' AND start_ns >= 1704500000000000000 AND start_ns < 1706000000000000000""")
+def g1_stored_trace(spark, d):
+    found = stored(spark, d).get_trace(spark, _USER_7, 1704500000000000000, 1706000000000000000)
+    return found.select(*IDS, "name", *times())
+
+
+@query("g2_stored_traces", f"""WITH {sql.EVENTS} SELECT trace_id, span_id, name FROM spans
+WHERE trace_id IN (SELECT trace_id FROM spans WHERE {_MATCH})""")
+def g2_stored_traces(spark, d):
+    return stored(spark, d).find_traces(spark, **CONDITIONS).select(*IDS, "name")
+
+
 @query("g3_search_depth", f"""WITH {sql.EVENTS} SELECT trace_id, span_id, name FROM spans
 WHERE trace_id IN (SELECT DISTINCT trace_id FROM spans WHERE {_MATCH} ORDER BY trace_id LIMIT 3)""")
 def g3_search_depth(spark, d):

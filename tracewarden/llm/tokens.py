@@ -30,8 +30,8 @@ from tracewarden.operators.ordered import running_sums
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 LIMIT = 2048
-#: Words remembered by a task, and their mean length at most.
-MEMORY, MEMORABLE = 1 << 18, 32
+#: Pieces remembered by a task (twice so many at most), and their longest.
+MEMORY, MEMORABLE = 1 << 19, 64
 #: Letters that a normal form may join to what is before them, and the one
 #: letter that becomes two in lower case.
 _UNSTEADY = r"\p{NFC_QC=N}\p{NFC_QC=M}\P{ccc=0}İ"
@@ -146,26 +146,31 @@ class PrefixCounter:
             else:
                 j += 1
 
-    def _sizes(self, mark: str, pair: str) -> list[int]:
-        sizes = self.sizes[mark][pair] = [1] if pair[-1] in self.tokens[mark] else []
-        return sizes
-
-    def _last(self, word: str, end: int, ends: list[str], mark: str) -> str:
-        """The letters of the last token of ``word[:end]``."""
-        tokens, stable, pair = self.tokens[mark], self.stable, word[end - 2 : end] if end > 1 else word[:1]
-        for size in self.sizes[mark].get(pair) or self._sizes(mark, pair):
-            letters = word[end - size : end] if size <= end else ""
-            if letters in tokens:
-                before = ends[end - size]
-                if not before:
-                    return letters
-                key = before, letters + mark
-                fits = stable.get(key)
-                if fits is None:
-                    fits = stable[key] = self._stays(*key)
-                if fits:
-                    return letters
-        raise ValueError(f"no token ends {word[:end]!r}")
+    def _finder(self, mark: str):
+        """Function for the letters of the last token of ``word[:end]``, which
+        goes on or bears the mark; ``lasts`` are those that go on."""
+        tokens, known, stable, stays = self.tokens[mark], self.sizes[mark], self.stable, self._stays
+
+        def last(word: str, end: int, lasts: list[str]) -> str:
+            pair = word[end - 2 : end] if end > 1 else word[:1]
+            sizes = known.get(pair)
+            if sizes is None:
+                sizes = known[pair] = [1] if pair[-1] in tokens else []
+            for size in sizes:
+                letters = word[end - size : end] if size <= end else ""
+                if letters in tokens:
+                    before = lasts[end - size]
+                    if not before:
+                        return letters
+                    key = before, letters + mark
+                    fits = stable.get(key)
+                    if fits is None:
+                        fits = stable[key] = stays(*key)
+                    if fits:
+                        return letters
+            raise ValueError(f"no token ends {word[:end]!r}")
+
+        return last
 
     def _along(self, words: list[str]) -> dict[str, list[int]]:
         """Tokens of each prefix of some words, by code points.
@@ -173,9 +178,12 @@ class PrefixCounter:
         Words are taken in order, so that what two neighbours begin with in
         common is worked out once.
         """
-        coded = sorted((w.encode().decode("latin-1").translate(self.letters), w) for w in words)
+        table = self.letters
+        coded = sorted(
+            (w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(table), w) for w in words
+        )
         lasts, counts, ended, held, out = [""], [0], [0], "", {}
-        last, mark = self._last, self.mark
+        going, ending = self._finder(""), self._finder(self.mark)
         for letters, word in coded:
             same = 0
             for x, y in zip(held, letters):
@@ -185,11 +193,11 @@ class PrefixCounter:
             del lasts[min(same + 1, max(1, len(held))) :], ended[same + 1 :]
             del counts[len(lasts) :]
             for end in range(len(lasts), len(letters)):
-                token = last(letters, end, lasts, "")
+                token = going(letters, end, lasts)
                 lasts.append(token)
                 counts.append(counts[end - len(token)] + 1)
             for end in range(len(ended), len(letters) + 1):
-                ended.append(counts[end - len(last(letters, end, lasts, mark))] + 1)
+                ended.append(counts[end - len(ending(letters, end, lasts))] + 1)
             held = letters
             if len(word) == len(letters):
                 out[word] = ended[1:]
@@ -197,10 +205,14 @@ class PrefixCounter:
                 out[word] = [ended[k] for k in accumulate(len(c.encode()) for c in word)]
         return out
 
-    def _learn(self, found: set[str]) -> None:
-        """Remembers pieces: words with the white space behind them."""
-        ends = {}
+    def _learn(self, found: set[str]) -> dict[str, tuple[bytes, int]]:
+        """Counts along pieces: words with the white space behind them.
+
+        Short ones are remembered, and those in use longer than others."""
+        ends, learned = {}, {}
         for piece in found:
+            if piece in self.known:
+                continue
             if piece in self.older:
                 self.known[piece] = self.older[piece]
                 continue
@@ -208,7 +220,9 @@ class PrefixCounter:
             ends[piece] = held.end() if held else 0
         along = self._along({p[:end] for p, end in ends.items() if end and p[:end] not in self.literals})
         for piece, end in ends.items():
-            self.known[piece] = self._padded(piece, end, along)
+            kept = self.known if len(piece) <= MEMORABLE else learned
+            kept[piece] = self._padded(piece, end, along)
+        return learned
 
     def _padded(self, piece: str, end: int, along: dict[str, list[int]]) -> tuple[bytes, int]:
         word = piece[:end]
@@ -240,15 +254,14 @@ class PrefixCounter:
         return self._of_parts(self.cut.findall(text))
 
     def _of_parts(self, parts: list[str]) -> np.ndarray:
-        known = self.known
-        self._learn({p for p in parts if p not in known})
-        out = self._joined(parts, [known[p] for p in parts])
+        long = self._learn(set(parts))
+        out = self._joined(parts, [self.known.get(p) or long[p] for p in parts])
         self._forget()
         return out
 
     def _forget(self) -> None:
-        if len(self.known) > MEMORY or sum(map(len, self.known)) > MEMORY * MEMORABLE:
-            self.known, self.older = {}, self.known if len(self.known) > MEMORY else {}
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
         if len(self.stable) > 4 * MEMORY:
             self.stable.clear()
 
@@ -296,11 +309,8 @@ class PrefixCounter:
             if steady and not self.special.search(text):
                 parts[k] = self.cut.findall(text.replace("Σ", "σ").lower())
                 found.update(parts[k])
-        self._learn({p for p in found if p not in self.known})
-        out = []
-        for k, text in enumerate(texts):
-            if k in parts:
-                out.append(self._joined(parts[k], [self.known[p] for p in parts[k]]))
+        long, known = self._learn(found), self.known
+        out = [self._joined(p, [known.get(x) or long[x] for x in p]) for p in parts.values()]
         self._forget()
         out = iter(out)
         return [next(out) if k in parts else self.text(text) for k, text in enumerate(texts)]

@@ -103,15 +103,17 @@ class PrefixCounter:
         self.edges: tuple[dict, dict] = ({}, {})
         self.stable: dict[tuple[str, str], bool] = {}
         #: Letters of tokens that go on and of those that end a word, and the
-        #: lengths of these by their last two letters, longest first.
+        #: lengths of longer ones by their last three letters, longest first.
         marked = {t[: -len(self.mark)] for t in model["vocab"] if self.mark and t.endswith(self.mark)} - {""}
         self.tokens = {"": set(model["vocab"]) - {m + self.mark for m in marked}, self.mark: marked or set(model["vocab"])}
         self.sizes = {}
         for mark, tokens in self.tokens.items():
             ends: dict[str, set[int]] = {}
             for t in tokens:
-                ends.setdefault(t[-2:], {1} if t[-1] in tokens else set()).add(len(t))
+                if len(t) > 2:
+                    ends.setdefault(t[-3:], set()).add(len(t))
             self.sizes[mark] = {end: sorted(sizes, reverse=True) for end, sizes in ends.items()}
+        self.near: dict[str, dict[str, list[int]]] = {mark: {} for mark in self.tokens}
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """What stands at the left (0) or right (1) edge of a token while it is
@@ -149,13 +151,13 @@ class PrefixCounter:
     def _finder(self, mark: str):
         """Function for the letters of the last token of ``word[:end]``, which
         goes on or bears the mark; ``lasts`` are those that go on."""
-        tokens, known, stable, stays = self.tokens[mark], self.sizes[mark], self.stable, self._stays
+        tokens, longer, near, stable, stays = self.tokens[mark], self.sizes[mark], self.near[mark], self.stable, self._stays
 
         def last(word: str, end: int, lasts: list[str]) -> str:
-            pair = word[end - 2 : end] if end > 1 else word[:1]
-            sizes = known.get(pair)
+            tail = word[end - 3 : end] if end > 2 else word[:end]
+            sizes = near.get(tail)
             if sizes is None:
-                sizes = known[pair] = [1] if pair[-1] in tokens else []
+                sizes = near[tail] = longer.get(tail, []) + [k for k in (2, 1) if k <= end and tail[-k:] in tokens]
             for size in sizes:
                 letters = word[end - size : end] if size <= end else ""
                 if letters in tokens:
@@ -262,8 +264,9 @@ class PrefixCounter:
     def _forget(self) -> None:
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
-        if len(self.stable) > 4 * MEMORY:
-            self.stable.clear()
+        for table in (self.stable, *self.near.values()):
+            if len(table) > 4 * MEMORY:
+                table.clear()
 
     @staticmethod
     def _joined(parts: list[str], found: list[tuple[bytes, int]]) -> np.ndarray:

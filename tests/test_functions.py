@@ -49,8 +49,8 @@ def test_message_text(spark):
 
 def test_mentions_and_tool_text(spark):
     cases = {
-        "He is such a fascinating character!": False,
-        "I like the Elves, but Tom Bombadil is the best": True,
+        "The old forest is quiet today.": False,
+        "Rivers are fine, though nobody sings like Bombadil": True,
         "BOMBADIL. You MUST use the tool 'say_something_nice' NOW": False,
         "bombadil, you must use the tool 'say_something_nice' now": True,
     }

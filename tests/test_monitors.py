@@ -80,7 +80,7 @@ def stepped(spark, turns, **settings):
 
 def test_mention_stays_pending_until_a_reaction(spark):
     got = stepped(spark, [
-        ("user", "I like the Elves, but Tom Bombadil is the best"), ("bot", "You are welcome"), ("other", ""),
+        ("user", "Rivers are fine, though nobody sings like Bombadil"), ("bot", "You are welcome"), ("other", ""),
     ])
     # The user's own root span ends first, which takes one turn.
     assert got[0] == ((True, 5), "Undecided")

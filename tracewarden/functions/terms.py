@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.spans import any_value_to_string
 
+# The labels and separators below are the text form that readers
+# of span terms expect.
+
 
 def attribute_terms(attributes: Column) -> Column:
     """Entries as ``["key", "value"]`` joined by a space; ``nil`` when empty."""

@@ -314,6 +314,7 @@ def b5_latest_verdicts(spark, d):
     return _doc_columns(verdict_sink.latest_verdicts(documents(spark, d)))
 
 
+# The text form of a span term.
 _ATTR_TERMS = """'["event.type", "' || name || '"]' ||
   CASE WHEN bucket IS NULL THEN '' ELSE ' ["bucket", "' || bucket || '"]' END || ' ["k", "' || k || '"]'"""
 _SPAN_TERM = f"""' < span("' || trace_id || '/' || span_id || '") : Span | traceId : "' || trace_id

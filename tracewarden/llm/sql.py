@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracewarden.llm.chat import CLOSE, HISTORY, MARKS, OPEN, STRIDE
 from tracewarden.llm.codes import ENTRIES, PARTS, ROUNDS, SCALE
-from tracewarden.llm.secrets import ACCESS, ALLOW, CANDIDATE, HEX, SCANS
+from tracewarden.llm.secrets import ACCESS, ALLOW, CANDIDATE, HEX, PARTS as ALLOWED_PARTS, SCANS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,7 +89,7 @@ def _quoted(pattern: str) -> str:
 _WHOLE = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
-def _plain(pattern: str, kind: str, place: int) -> str:
+def _plain(pattern: str, kind: str, place: int, docs: str = "docs") -> str:
     # Matches with their places: a match ends where the gaps and matches so far end.
     whole = _quoted(pattern)
     return f"""
@@ -97,25 +97,37 @@ def _plain(pattern: str, kind: str, place: int) -> str:
       select r, m, sum(len(gap) + len(m)) over (partition by r order by i) as pos from (
         select r, unnest(ms) as m, unnest(gs) as gap, unnest(range(len(ms))) as i from (
           select r, regexp_extract_all(text, {whole}) as ms,
-            string_split_regex(text, {whole})[:len(regexp_extract_all(text, {whole}))] as gs from docs)))
+            string_split_regex(text, {whole})[:len(regexp_extract_all(text, {whole}))] as gs from {docs})))
     """
 
 
-def _class(scan_index: int) -> str:
-    """The class patterns without look-aheads, which RE2 lacks."""
-    if scan_index == 0:
-        return "regexp_full_match(m, '[0-9A-Fa-f]+') and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Fa-f]')"
-    return "regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')"
+def _blank(pattern: str, docs: str, counts: str = "true") -> str:
+    # Spaces in place of the matches.
+    return f"""select r, array_to_string(list_transform(range(1, len(gs) + 1), lambda i: gs[i] || case when i > len(ms) then ''
+      when {counts} then repeat(' ', len(ms[i])) else ms[i] end), '') as text
+      from (select r, regexp_extract_all(text, {_quoted(pattern)}) as ms, string_split_regex(text, {_quoted(pattern)}) as gs from {docs})"""
 
 
-_SCAN = "case " + " ".join(f"when {_class(k)} then {k}" for k in range(len(SCANS))) + " end"
+#: The classes without look-aheads, which RE2 lacks; each after those before it.
+_CLASSES = (
+    "regexp_full_match(m, '[0-9A-Fa-f]+') and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Fa-f]')",
+    "regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')",
+    "regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]')",
+    "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]')",
+    "regexp_matches(m, '[A-Za-z]')",
+)
+_SCAN = "case " + " ".join(f"when {like} then {k}" for k, like in enumerate(_CLASSES)) + " end"
 SECRETS = f"""
 with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 assign as (select *, regexp_extract(m, {_quoted(_WHOLE)}, 1) as value from ({_plain(_WHOLE, "assign", 0)})),
 base as (select r, place, kind, start, stop from assign where len(value) >= 8
   union all select r, place, kind, start, stop from ({_plain(ACCESS, "access", 1)})
   union all select r, place, kind, start, stop from ({_plain(HEX, "hex", 2)})),
-strings as (select *, {_SCAN} as scan from ({_plain(CANDIDATE, "entropy", 3)})
+no_assign as ({_blank(_WHOLE, "docs", f"len(regexp_extract(ms[i], {_quoted(_WHOLE)}, 1)) >= 8")}),
+no_access as ({_blank(ACCESS, "no_assign")}),
+no_hex as ({_blank(HEX, "no_access")}),
+clear as ({_blank(ALLOWED_PARTS, "no_hex")}),
+strings as (select *, {_SCAN} as scan from ({_plain(CANDIDATE, "entropy", 3, "clear")})
   where not ({" or ".join(f"regexp_matches(m, {_quoted(a)})" for a in ALLOW)})),
 windows as (select r, start, stop, m, i, scan, {SCANS[0].window} as w,
     list_histogram(string_split(substr(m, i, {SCANS[0].window}), '')) as counts
@@ -124,8 +136,7 @@ hot as (select r, start, stop, i, w from windows
   where log2(w) - list_sum(list_transform(map_values(counts), lambda c: c * log2(c))) / w
     >= case scan {" ".join(f"when {k} then {s.bits}" for k, s in enumerate(SCANS))} end - 1e-9),
 spans as (select r, start + min(i) - 1 as start, start + max(i) - 1 + {SCANS[0].window} as stop from hot group by r, hot.start, stop),
-added as (select r, 3 as place, 'entropy' as kind, start, stop from spans s
-  where not exists (select 1 from base b where b.r = s.r and b.start < s.stop and s.start < b.stop)),
+added as (select r, 3 as place, 'entropy' as kind, start, stop from spans),
 found as (select * from base union all select * from added),
 lines as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
     count(*) filter (kind = 'hex') as n_hex,

@@ -310,5 +310,27 @@ def test_pipeline_stages_keep_their_promises(spark, folder):
             assert contamination(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).filter("contaminated").isEmpty()
         if name == "secret_scan":
             assert docs.count() == before.count() and find_secrets(docs).filter("size(spans) > 0").isEmpty()
+        if name == "source_mix":
+            assert docs.columns[: len(columns)] == columns and docs.filter("text is null or taken = 0").isEmpty()
+            assert docs.select(columns).exceptAll(before).isEmpty()
     assert kept["language_id"] > 0.9 * spark.read.parquet(f"{folder}/documents.parquet").count() and 0 < kept["source_mix"] <= kept["secret_scan"]
     assert sorted(map(tuple, pipeline.run(spark, folder).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
+def test_near_dedup_of_repeated_rows_and_clashing_names(spark, folder):
+    import corpus_pipeline as pipeline
+
+    words = lambda a, b: " ".join(f"word{i}" for i in range(a, b))
+    rows = [
+        (1, words(0, 60), "a"), (1, words(0, 60), "a"), (1, words(0, 60), "b"), (2, words(0, 61), "c"),
+        (3, words(100, 160), "d"), (3, words(200, 260), "e"), (4, "", "f"), (4, "", "f"), (5, None, None),
+        (None, words(0, 60), "g"), (None, words(0, 60), "g"), (6, words(300, 330), "h"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumn("kept", F.lit(1))
+    got = pipeline.near_dedup(spark, docs, folder)
+    assert got.columns == docs.columns
+    left = sorted(((r["doc_id"] or 0), r["text"] or "", r["gone"] or "") for r in got.collect())
+    assert left == sorted(
+        [(1, words(0, 60), "a"), (3, words(100, 160), "d"), (4, "", "f"), (5, "", "")] + [(0, words(0, 60), "g")] * 2 + [(6, words(300, 330), "h")]
+    )
+    assert pipeline.near_dedup(spark, docs.limit(0), folder).collect() == []

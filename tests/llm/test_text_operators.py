@@ -224,3 +224,61 @@ def test_many_matches_in_one_text(spark):
     assert (spans["n"], spans["last"]) == (n, 17 * (n - 1))
     assert redacted(docs).first()["text"] == "[secret] " * n
     assert time.time() - began < 60
+
+
+def mixed_by_hand(docs, labels, weights=(5, 2, 1), epochs=3):
+    """One source after another in plain Python: sizes, water level, keys, epochs."""
+    rows = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), t) for i, s, t in docs]
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(r[2] for r in rows if r[1] == s) for s in names}
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target, free, left = {}, list(names), sum(total.values())
+    while free:
+        level = left / sum(w[s] for s in free)
+        full = [s for s in free if total[s] * epochs < level * w[s] - 1e-9]
+        if not full:
+            target |= {s: level * w[s] for s in free}
+            break
+        for s in full:
+            target[s] = float(total[s] * epochs)
+            left -= target[s]
+            free.remove(s)
+    best = {}
+    for i, q in labels:
+        if i is not None:
+            best[i] = max(best.get(i, q), q)
+    out = []
+    for s in names:
+        mine = []
+        for i, _, n, t in (r for r in rows if r[1] == s):
+            drawn = str(i) if i is not None else "text:" + hashlib.md5((t or "").encode()).hexdigest()
+            u = (int(hashlib.md5(drawn.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            mine.append((-math.log(u) / {None: 1.0, 1: 2.0, 0: 0.5}[best.get(i)], -1 if i is None else i, n))
+        full = target[s] // total[s] if total[s] else 0
+        before = 0
+        for _, i, n in sorted(mine):
+            more = before + n / 2 <= target[s] - full * total[s]
+            out.append((i, n, total[s], round(target[s], 6), int(n * (full + more))))
+            before += n
+    return sorted(out)
+
+
+@pytest.mark.parametrize("range_size", [7, 8192])
+def test_mix_by_hand(spark, range_size):
+    draw = random.Random(3)
+    docs = [(i, draw.choice("aaaab") if i % 3 else None, "w " * draw.randrange(0, 30)) for i in range(400)]
+    docs += [(None, "a", f"no id {i} " + "w " * (i % 9)) for i in range(200)] + [(None, "a", "no id, often")] * 200
+    docs += [(5, "b", "again"), (5, "b", "again"), (900, "b", None), (901, "b", "")]
+    labels = [(i, i % 2) for i in range(0, 300, 2)] + [(i, 0) for i in range(1, 300, 4)] + [(8, 1), (None, 1)]
+    df = spark.createDataFrame([(*d, 1, "x", "y") for d in docs], "doc_id long, source string, text string, size int, key string, doc string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = lambda found: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in found)
+    want = mixed_by_hand(docs, labels)
+    assert rows(mix(df, marks, range_size=range_size).collect()) == want
+    whole = mix(df, marks, range_size=range_size, whole=True)
+    assert whole.columns == ["doc_id", "source", "text", "key", "doc", "size", "source_size", "target", "taken"]
+    got = whole.collect()
+    assert rows(got) == want and all(r["key"] == "x" and len((r["text"] or "").split()) == r["size"] for r in got)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(d[0]), str(d[2])) for d in docs)
+    assert mix(df.limit(0), marks, whole=True).collect() == []
+

@@ -2,12 +2,13 @@
 
 A document's key is exponential with its quality weight as rate
 (Efraimidis-Spirakis): ``-ln(u) / weight`` with ``u`` drawn from a hash of its
-id, so that reruns agree.  Within a source, documents are taken in the order
+id (of its text where it has none), so that reruns agree.  Within a source, documents are taken in the order
 of their keys until the prefix sum of sizes reaches the budget.  Budgets above
 a source's size are complete epochs first; only the rest is sampled.
 
-A source of any size is cut into key ranges of about ``RANGE`` documents by a
-formula on the key; ranges are summed, prefix sums run over the sums, and only
+A source of any size is cut into key ranges of about ``RANGE`` documents by the
+distribution of its keys, which follows from how many documents have which
+weight; ranges are summed, prefix sums run over the sums, and only
 within a range over documents.
 """
 
@@ -26,6 +27,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 RANGE = 8192
+#: Weights of good, unlabelled and poor documents.
+GOOD, PLAIN, POOR = 2.0, 1.0, 0.5
+
+
+#: Results beside the document's own columns.
+RESULTS = ("size", "source_size", "target", "taken")
 
 
 def uniform(key: Column) -> Column:
@@ -39,7 +46,7 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     labels the best holds."""
     good = F.max("quality")
     return labels.filter("doc_id is not null").groupBy("doc_id").agg(
-        F.when(good > 0, 2.0).when(good <= 0, 0.5).otherwise(1.0).alias("weight")
+        F.when(good > 0, GOOD).when(good <= 0, POOR).otherwise(PLAIN).alias("weight")
     )
 
 
@@ -82,6 +89,7 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     epochs: int = MOST_EPOCHS,
     range_size: int = RANGE,
+    whole: bool = False,
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for each row of
     ``docs(doc_id, source, text)``.
@@ -91,25 +99,38 @@ def mix(
     source's target holds, and one more where the document comes within the
     rest in key order; the document at the edge is taken if at least half of
     it fits, so a source ends within half a document of its target.  Empty
-    documents take nothing.  Equal keys are ordered by id and size.
+    documents take nothing.  Equal keys are ordered by id and size.  Rows
+    without an id are drawn by their text; repeated ones of these have one key.
     ``labels(doc_id, quality)`` weigh the sampling; without them all weigh 1.
-    Other columns are not read.  Runs jobs and writes tables to the shared folder
-    while it is built.
+    With ``whole`` all columns of ``docs`` come along, those named like one of
+    the other four results left out; without, no further columns are read.
+    Runs jobs and writes tables to the shared folder while it is built.
     """
     tidy(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = freeze(docs.select("doc_id", "source", size.alias("size")))
-    count = rows.count()
+    by_text = F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))
+    drawn = uniform(F.coalesce(F.col("doc_id").cast("string"), by_text))
+    carried = [c for c in docs.columns if c not in RESULTS] if whole else []
+    # Inside a struct the names of documents' columns clash with none.
+    along = [F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc")] if carried else []
+    rows = freeze(docs.select("doc_id", "source", size.alias("size"), drawn.alias("u"), *along))
     targets = freeze(source_targets(rows, weights, epochs))
     if labels is not None:
         rows = rows.join(quality_weights(labels), "doc_id", "left")
-        weight = F.coalesce("weight", F.lit(1.0))
     else:
-        weight = F.lit(1.0)
-    rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / weight)
-    # Keys of rate 1 fall evenly on 1 - exp(-key), others nearly so.
-    ranges = math.ceil(count / range_size)
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+        rows = rows.withColumn("weight", F.lit(PLAIN))
+    weight = F.coalesce("weight", F.lit(PLAIN))
+    share = lambda w: F.avg((weight == w).cast("double"))
+    counts = rows.groupBy(F.col("source").alias("s")).agg(
+        F.ceil(F.count(F.lit(1)) / range_size).alias("ranges"), *[share(w).alias(f"share_{i}") for i, w in enumerate((GOOD, PLAIN, POOR))]
+    )
+    counts = freeze(counts)
+    rows = rows.withColumn("key", -F.log("u") / weight)
+    rows = rows.join(counts, F.col("source").eqNullSafe(F.col("s")))
+    # The part of the source's keys that is expected below this one.
+    below = sum(F.col(f"share_{i}") * (1 - F.exp(-w * F.col("key"))) for i, w in enumerate((GOOD, PLAIN, POOR)))
+    rows = rows.withColumn("range", F.floor(below * F.col("ranges")))
+    rows = rows.select("doc_id", "source", "size", "key", "range", *(["doc"] if carried else []))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     over = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("range_size").over(over), F.lit(0)))
@@ -121,6 +142,6 @@ def mix(
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - full * F.col("source_size")
     more = (F.col("base") + F.col("before") + F.col("size") / 2 <= rest).cast("long")
-    return rows.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (full + more)).cast("long").alias("taken")
-    )
+    taken = (F.col("size") * (full + more)).cast("long").alias("taken")
+    first = [F.col(f"doc.`{c}`").alias(c) for c in carried] if carried else ["doc_id"]
+    return rows.select(*first, "size", "source_size", "target", taken)

@@ -10,7 +10,8 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 MIXING = rf"""
-with docs as (select doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::bigint as size from documents),
+with docs as (select doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::bigint as size,
+  coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))) as drawn from documents),
 good as (select doc_id, case when max(quality) > 0 then 2.0 when max(quality) <= 0 then 0.5 else 1.0 end as weight
   from labels where doc_id is not null group by doc_id),
 totals as (select source, sum(size)::double as source_size,
@@ -20,7 +21,7 @@ levels as (select *, (all_size - coalesce(sum(cap) over before, 0)) / (all_w - c
   from caps window before as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
 chosen as (select level from levels where cap >= level * w order by place limit 1),
 targets as (select source, source_size, least(cap, (select level from chosen) * w) as target from levels),
-keyed as (select d.*, -ln((('0x' || substr(md5(coalesce(d.doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+keyed as (select d.*, -ln((('0x' || substr(md5(drawn), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
     / coalesce(weight, 1.0)::double as key from docs d left join good using (doc_id)),
 sums as (select *, coalesce(sum(size) over (partition by source order by key, doc_id, size
     rows between unbounded preceding and 1 preceding), 0)::double as before from keyed),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.llm.decontaminate import decontaminated
@@ -16,7 +16,7 @@ from tracewarden.llm.mixing import mix
 from tracewarden.llm.neardup import near_duplicates
 from tracewarden.llm.secrets import redacted
 from tracewarden.llm.steps import tidy
-from tracewarden.session import shared_dir
+from tracewarden.session import freeze, shared_dir
 
 #: A text whose best language is less likely than this has none.
 LEAST_SCORE = 0.5
@@ -38,9 +38,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest ``doc_id`` of each group of near duplicates."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Keeps the smallest ``doc_id`` of each group of near duplicates.
+
+    Rows of one ``doc_id`` are one document: the one whose text sorts first
+    stays.  Rows without a ``doc_id`` are in no group and all stay.
+    """
+    key, place = ("_".join([name, *docs.columns]) for name in ("key", "place"))  # no column's names
+    found = near_duplicates(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias(key))
+    # An id's rows are in one group, so they are kept or not together.
+    found = freeze(found.agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("not kept or rows > 1").select(key, "kept"))
+    same = docs["doc_id"] == F.col(key)
+    once = docs.join(found.select(key), same, "left_anti")
+    several = docs.join(freeze(found.filter("kept").select(key)), same, "left_semi")  # mostly few
+    order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))
+    first = several.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+    return once.unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +66,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document, those of none left out."""
-    taken = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return taken.filter("taken > 0")
+    """The documents of the mix with their texts and all their columns, and how
+    many words of each it takes (``taken``; whole repeats of its ``size``)."""
+    mixed = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True)
+    return mixed.filter("taken > 0")
 
 
 STAGES = [

@@ -111,9 +111,11 @@ def mix(
     by_text = F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))
     drawn = uniform(F.coalesce(F.col("doc_id").cast("string"), by_text))
     carried = [c for c in docs.columns if c not in RESULTS] if whole else []
-    # Inside a struct the names of documents' columns clash with none.
+    # Inside a struct the names of documents' columns clash with none.  Documents
+    # are numbered where they are written, and only their numbers are sorted.
     along = [F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc")] if carried else []
-    rows = freeze(docs.select("doc_id", "source", size.alias("size"), drawn.alias("u"), *along))
+    held = freeze(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size"), drawn.alias("u"), *along))
+    rows = held.drop("doc")
     targets = freeze(source_targets(rows, weights, epochs))
     if labels is not None:
         rows = rows.join(quality_weights(labels), "doc_id", "left")
@@ -130,7 +132,7 @@ def mix(
     # The part of the source's keys that is expected below this one.
     below = sum(F.col(f"share_{i}") * (1 - F.exp(-w * F.col("key"))) for i, w in enumerate((GOOD, PLAIN, POOR)))
     rows = rows.withColumn("range", F.floor(below * F.col("ranges")))
-    rows = rows.select("doc_id", "source", "size", "key", "range", *(["doc"] if carried else []))
+    rows = rows.select("row", "doc_id", "source", "size", "key", "range")
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     over = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("range_size").over(over), F.lit(0)))
@@ -143,5 +145,7 @@ def mix(
     rest = F.col("target") - full * F.col("source_size")
     more = (F.col("base") + F.col("before") + F.col("size") / 2 <= rest).cast("long")
     taken = (F.col("size") * (full + more)).cast("long").alias("taken")
-    first = [F.col(f"doc.`{c}`").alias(c) for c in carried] if carried else ["doc_id"]
-    return rows.select(*first, "size", "source_size", "target", taken)
+    if not whole:
+        return rows.select("doc_id", "size", "source_size", "target", taken)
+    rows = rows.select("row", "size", "source_size", "target", taken).join(held.select("row", "doc"), "row")
+    return rows.select(*[F.col(f"doc.`{c}`").alias(c) for c in carried], "size", "source_size", "target", "taken")

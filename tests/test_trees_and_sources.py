@@ -328,3 +328,36 @@ def test_preorder_of_a_deep_chain(spark):
     found = tree.preorder(chain)
     right = (F.col("depth") == F.col("span_id").cast("int")) & (F.col("position") == F.col("depth")) & (F.col("size") == deep - F.col("depth"))
     assert found.filter(right).count() == deep
+
+
+def test_rate_of_a_counter_with_restarts_and_gaps(spark):
+    draw, rows = random.Random(5), []
+    for label in ("hot", "cold", None):
+        ms, value = -40_000, 7.0
+        for _ in range(600 if label == "hot" else 60):
+            ms += draw.choice([0, 900, 2_500, 5_000, 15_000, 200_000 if draw.random() < 0.1 else 4_000])
+            value = float(draw.randrange(3)) if draw.random() < 0.1 else value + draw.randrange(5)
+            rows.append((label, ms, value))
+    rows += [("cold", None, 1.0), ("cold", 5, None)]
+    want = {}
+    for label in ("hot", "cold", None):
+        mine = sorted((m, v) for lab, m, v in rows if lab == label and m is not None and v is not None)
+        for end in range(mine[0][0] // 15_000 * 15_000, mine[-1][0] + 75_000, 15_000):
+            held = [(m, v) for m, v in mine if end - 60_000 < m <= end]
+            if not held or held[0][0] == held[-1][0]:
+                continue
+            more = sum(v if v < u else v - u for (_, u), (_, v) in zip(held, held[1:]))
+            seconds = (held[-1][0] - held[0][0]) / 1000
+            mean = seconds / (len(held) - 1)
+            ahead, behind = (held[0][0] - (end - 60_000)) / 1000, (end - held[-1][0]) / 1000
+            if more > 0:
+                ahead = min(ahead, seconds * held[0][1] / more)
+            ahead, behind = (mean / 2 if gap >= mean * 1.1 else gap for gap in (ahead, behind))
+            want[label, end] = (len(held), more, pytest.approx(more * (seconds + ahead + behind) / seconds / 60, rel=1e-9))
+    df = spark.createDataFrame(rows, "label string, ms long, value double")
+    found = metrics.counter_rate(df, F.col("ms"), F.col("value"), F.col("label"))
+    got = {(r["label"], r["window_end_ms"]): (r["samples"], r["increase"], r["per_second"]) for r in found.collect()}
+    assert got == want and len(got) > 100
+    assert metrics.counter_rate(df.limit(0), F.col("ms"), F.col("value"), F.col("label")).collect() == []
+    with pytest.raises(ValueError):
+        metrics.counter_rate(df, F.col("ms"), F.col("value"), F.col("label"), 50, 15)

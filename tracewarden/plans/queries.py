@@ -1516,3 +1516,23 @@ SELECT service AS label, start_ns // 15000000000 * 15000 + i * 15000 AS window_e
 FROM spans, (VALUES (1), (2), (3), (4)) AS x(i) GROUP BY ALL""")
 def j3_rate_by(spark, d):
     return metrics.rate_by(events(spark, d), fs.nanos_to_ms(start()), trace_query.service_name())
+
+
+@query("j3_counter_rate", """WITH samples AS (
+  SELECT event_type AS label, epoch_us(ts) // 1000 AS ms, (event_id % 997)::DOUBLE AS value FROM events),
+ends AS (SELECT DISTINCT label, ceil(ms / 21600000.0)::BIGINT * 21600000 + i * 21600000 AS window_end_ms
+  FROM samples, (VALUES (0), (1), (2), (3)) AS x(i)),
+inside AS (SELECT e.label, window_end_ms, ms, value, lag(value) OVER w AS before, first_value(value) OVER w AS begin
+  FROM ends e JOIN samples s ON e.label = s.label AND ms > window_end_ms - 86400000 AND ms <= window_end_ms
+  WINDOW w AS (PARTITION BY e.label, window_end_ms ORDER BY ms, value)),
+sums AS (SELECT label, window_end_ms, count(*) AS samples, min(begin) AS begin,
+  sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END) AS increase,
+  (max(ms) - min(ms)) / 1000 AS seconds, (min(ms) - (window_end_ms - 86400000)) / 1000 AS ahead, (window_end_ms - max(ms)) / 1000 AS behind
+  FROM inside GROUP BY label, window_end_ms),
+near AS (SELECT *, seconds / (samples - 1) AS mean,
+  CASE WHEN increase > 0 AND begin >= 0 THEN least(ahead, seconds * (begin / increase)) ELSE ahead END AS nearer FROM sums WHERE seconds > 0)
+SELECT label, window_end_ms, samples, increase, increase * ((seconds + CASE WHEN nearer >= mean * 1.1::DOUBLE THEN mean / 2 ELSE nearer END
+  + CASE WHEN behind >= mean * 1.1::DOUBLE THEN mean / 2 ELSE behind END) / seconds) / 86400 AS per_second FROM near""")
+def j3_counter_rate(spark, d):
+    samples = spark.read.parquet(f"{d}/events.parquet")
+    return metrics.counter_rate(samples, F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id") % 997, F.col("event_type"), 86_400, 21_600)

@@ -12,7 +12,7 @@ from tracewarden.operators.properties import duration_safety
 from tracewarden.operators.sessions import key_by_attribute, session_counters, sessionize
 from tracewarden.schema import SPANS
 from tracewarden.sources.otlp import with_event_time
-from tracewarden.streaming.run import MonitorStream, run_monitor_stream, stream_rates, stream_session_counters
+from tracewarden.streaming.run import MonitorStream, run_monitor_stream, stream_dedupe, stream_rates, stream_session_counters
 
 SEC = 1_000_000_000
 FAR = 10**6 * SEC
@@ -145,3 +145,25 @@ def test_observed_counts(spark, hot_spans):
     hot_spans[1].observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
     assert seen.get["rows"] == len(hot_spans[0])
     assert metrics.observed(hot_spans[1], "x").count() == len(hot_spans[0])
+
+
+def test_deduped_stream_with_repeated_and_late_spans(spark, tmp_path):
+    """Copies in one batch, over batches and behind the newest span; one id in two traces."""
+    step = lambda i, trace="t": span(trace, f"s{i}", "", "step", (1000 + i) * SEC, (1001 + i) * SEC)
+    batches = [
+        [step(i) for i in range(20)] + [step(3)] * 50 + [step(4, "u")],
+        [step(i) for i in range(15, 40)] + [step(19), step(4, "u")],
+        [step(25), step(38)] * 30 + [step(i) for i in range(36, 60)],
+    ]
+    folder = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        spans(spark, rows).coalesce(1).write.mode("append").parquet(str(folder))
+    timed = with_event_time(stream_of(spark, folder), "60 seconds")
+    query = (
+        stream_dedupe(timed).select("trace_id", "span_id").writeStream.format("parquet").trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / "state")).start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    batch = spark.read.schema(SPANS).parquet(str(folder)).select("trace_id", "span_id").distinct()
+    assert got == sorted(map(tuple, batch.collect())) and len(got) == 61

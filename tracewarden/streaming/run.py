@@ -222,6 +222,17 @@ def run_monitor_stream(
     )
 
 
+def stream_dedupe(spans: DataFrame, by: tuple[str, ...] = ("trace_id", "span_id")) -> DataFrame:
+    """The first row that comes of each span of a stream with a watermark.
+
+    Copies are known as long as the watermark allows them to come: of rows whose
+    event times lie no further apart than the allowed lateness one stays, whatever
+    their order.  State is one row per span, dropped once the watermark passes it.
+    Rows later than the watermark are left out, as in every stateful step.
+    """
+    return spans.dropDuplicatesWithinWatermark(list(by))
+
+
 def stream_session_counters(keyed: DataFrame, gap: str) -> DataFrame:
     """Spans and roots per session of a keyed stream with a watermark on ``ts``.
 

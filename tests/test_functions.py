@@ -1,5 +1,6 @@
 """Column functions on attribute lists, texts and JSON payloads."""
 
+import datetime
 import json
 
 import pytest
@@ -137,6 +138,25 @@ def test_typed_values_and_filters(spark):
     assert p.attribute_filter(rows, "a", None, None).count() == 2
 
 
+def test_a_value_is_in_the_column_of_its_type(spark):
+    big = "9" * 25
+    rows = ["12", "-3", "1.5", "1e3", "true", "false", '"7"', "abc", "", "2024-02-29", '"2023-01-31"', "2023-02-29",
+            "1234", "null", "[1]", "{}", "not true", "007", big, None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    got = p.typed_getters(df, "t")
+    assert got.columns == ["i", "t", "as_int", "as_float", "as_bool", "as_date", "as_string"]
+    found = {r.t: [(n, v) for n, v in r.asDict().items() if n.startswith("as_") and v is not None] for r in got.collect()}
+    day = datetime.date
+    assert {t: v[0][1] if v else None for t, v in found.items()} == {
+        "12": 12, "-3": -3, "1.5": 1.5, "1e3": 1000.0, "true": True, "false": False, '"7"': "7", "abc": "abc", "": "",
+        "2024-02-29": day(2024, 2, 29), '"2023-01-31"': day(2023, 1, 31), "2023-02-29": "2023-02-29", "1234": 1234,
+        "null": None, "[1]": None, "{}": None, "not true": "not true", "007": "007", big: None, None: None,
+    }
+    assert all(len(v) <= 1 for v in found.values())
+    kinds = {"12": "as_int", "1e3": "as_float", "true": "as_bool", "2024-02-29": "as_date", '"7"': "as_string"}
+    assert {t: found[t][0][0] for t in kinds} == kinds
+
+
 def test_small_helpers(spark):
     df = spark.createDataFrame([(0, bytearray(b"\x01\xab"), 1_700_000_000_123_456_789)], "n int, b binary, t bigint")
     got = df.select(

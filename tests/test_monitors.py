@@ -11,7 +11,7 @@ from tracewarden.functions import spans as fs
 from tracewarden.operators import monitor as m
 from tracewarden.operators.sessions import session_slices
 from tracewarden.operators.properties import (
-    answer_is_yes, classify_text, duration_safety, judge_texts, mention_response,
+    answer_is_yes, classify_text, duration_safety, judge_new_texts, judge_texts, known_answers, mention_response,
 )
 from tracewarden.schema import KEY_VALUES
 from tracewarden.session import freeze
@@ -286,6 +286,36 @@ def test_each_text_is_judged_once(spark):
     assert [r[0] for r in answers.select(answer_is_yes(F.col("a"))).collect()] == [True, False, False]
 
 
+def test_answers_are_kept(spark, tmp_path):
+    path, asked = str(tmp_path / "answers"), spark.sparkContext.accumulator(0)
+
+    def judge(texts):
+        asked.add(len(texts))
+        if (texts == "bad").any():
+            raise RuntimeError("no answer")
+        return texts.map({"a": True, "b": False, "c": None}).astype("boolean")
+
+    def told(rows, name="j"):
+        df = spark.createDataFrame([(r,) for r in rows], "t string")
+        before, known = asked.value, judge_new_texts(df, "t", judge, path, name)
+        count = asked.value - before
+        said = classify_text(df, "t", known).select("t", "impolite").collect()
+        return count, sorted(map(tuple, said), key=str)
+
+    assert told([None, ""][:1]) == (0, [(None, None)])
+    with pytest.raises(Exception, match="no answer"):
+        told(["a", "bad"])
+    assert known_answers(spark, path, "j").count() == 0
+    assert told(["a", "a", None, "b"]) == (2, [("a", True), ("a", True), ("b", False), (None, None)])
+    assert told(["b", "a"]) == (0, [("a", True), ("b", False)])
+    # A text without an answer is asked again; other judges know nothing of these.
+    assert told(["c", "a"])[0] == 1 and told(["c", "a"])[0] == 1
+    assert told(["a"], "k/=2")[0] == 1 and told(["a"], "k/=2")[0] == 0
+    twice = spark.createDataFrame([(r.digest, True, "j") for r in known_answers(spark, path, "j").collect()], "digest string, answer boolean, judge string")
+    twice.write.mode("append").partitionBy("judge").parquet(path)
+    assert told(["a", "b"]) == (0, [("a", True), ("b", False)])
+
+
 def test_settings(spark):
     monitor = configured(duration_safety(), {"name": "safe", "config": {"session-gap-seconds": 300}})
     assert (monitor.name, monitor.key_attribute, monitor.gap_ms) == ("safe", None, 300_000)

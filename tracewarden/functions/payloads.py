@@ -106,6 +106,35 @@ def typed_values(df: DataFrame, column: str, kind: str, out: str = "typed") -> D
     return df.withColumn(out, F.col(column).try_cast(kind))
 
 
+def typed_getters(df: DataFrame, column: str, out: str = "as") -> DataFrame:
+    """The value of a text column in the one column of its own type.
+
+    ``{out}_int``, ``_float``, ``_bool``, ``_date`` and ``_string``; of these at
+    most one is set.  JSON numbers, booleans and strings are of their type,
+    calendar dates as ``yyyy-MM-dd`` are dates, quoted or not, and all that is
+    no JSON is a string.  Lists, objects and ``null`` are of none of the types,
+    and so are whole numbers of more than 64 bits.
+    """
+    read = parse_json_column(df.select("*", F.col(column).alias("_raw")), "_raw", "_read")
+    kind, value = F.col("_read_kind"), F.col("_read")
+    said = F.when(kind == "TEXT", F.col("_raw")).when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    # Only a text that looks like a date is read as one.
+    looks = F.col("_said").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    date = F.when(looks, F.try_to_date(F.col("_said"), "yyyy-MM-dd"))
+    real = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    whole = F.col("_raw").rlike("^\\s*-?[0-9]+\\s*$")
+    typed = read.withColumn("_said", said).withColumns(
+        {
+            f"{out}_int": F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")),
+            f"{out}_float": F.when(real & ~whole, F.try_variant_get(value, "$", "double")),
+            f"{out}_bool": F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")),
+            f"{out}_date": date,
+            f"{out}_string": F.when(date.isNull(), F.col("_said")),
+        }
+    )
+    return typed.drop("_raw", "_read", "_read_kind", "_read_error", "_said")
+
+
 def type_mismatches(df: DataFrame, column: str, kind: str) -> DataFrame:
     """How many values hold the type and how many do not."""
     typed = F.col(column).try_cast(kind)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.functions.spans import (
@@ -16,6 +16,7 @@ from tracewarden.functions.spans import (
     span_duration_nanos,
 )
 from tracewarden.operators.monitor import Rule, StateMonitor, SumMonitor
+from tracewarden.session import freeze
 
 # Limits of the two properties (fixed values).
 IMAGE_LIMIT_NANOS = 1_000_000_000
@@ -90,9 +91,11 @@ def classify_text(df: DataFrame, column: str, judged: DataFrame, label: str = "i
 
     Texts are compared by their SHA-256 digest, so whole texts do not travel
     through the join.  Rows without a text get a key of their own each, as
-    they would else all meet in one task.  ``judged`` holds one row per text.
+    they would else all meet in one task.  ``judged`` holds one row per text,
+    with the ``text`` or its ``digest``.
     """
-    marks = judged.select(F.sha2("text", 256).alias("_digest"), F.col(label))
+    digest = F.col("digest") if "digest" in judged.columns else F.sha2("text", 256)
+    marks = judged.select(digest.alias("_digest"), F.col(label))
     own = F.concat(F.lit("none "), F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).cast("string"))
     keyed = df.withColumn("_digest", F.coalesce(F.sha2(column, 256), own))
     return keyed.join(marks, "_digest", "left").drop("_digest")
@@ -115,6 +118,51 @@ def judge_texts(
     return texts.mapInPandas(ask, f"text string, {label} boolean")
 
 
+ANSWERS = "digest string, answer boolean, judge string"
+
+
+def known_answers(spark: SparkSession, path: str, name: str, label: str = "impolite") -> DataFrame:
+    """``digest`` of each text that judge ``name`` has answered, and the answer.
+
+    Runs side by side may both have asked a text; then one answer is taken, a
+    ``false`` before a ``true``.
+    """
+    stored = spark.read.schema(ANSWERS).parquet(path).filter(F.col("judge") == name)
+    return stored.groupBy("digest").agg(F.min("answer").alias(label))
+
+
+def judge_new_texts(
+    df: DataFrame,
+    column: str,
+    judge: Callable[[pd.Series], pd.Series],
+    path: str,
+    name: str,
+    label: str = "impolite",
+) -> DataFrame:
+    """Ask a batch judge for the texts that table ``path`` has no answer to yet.
+
+    Gives ``digest`` and ``label`` of all that judge ``name`` has answered by
+    then, which ``classify_text`` takes as they are.  The answers are appended
+    in one commit once all texts are asked, so a run that fails leaves none,
+    and a repeated run asks nothing.  A text that the judge answers with null
+    is not stored, and asked again by the next run.  Rows without a text are
+    not asked.  Texts that are known travel as digests only.  Runs jobs.
+    """
+    spark = df.sparkSession
+    spark.createDataFrame([], ANSWERS).write.mode("ignore").partitionBy("judge").parquet(path)
+    said = df.select(F.col(column).alias("text")).dropna().withColumn("digest", F.sha2("text", 256))
+    new = freeze(said.select("digest").distinct().join(known_answers(spark, path, name), "digest", "left_anti"))
+    texts = said.join(new, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["digest"]].assign(answer=judge(batch["text"]))
+
+    answers = texts.mapInPandas(ask, "digest string, answer boolean").dropna().withColumn("judge", F.lit(name))
+    answers.write.mode("append").partitionBy("judge").parquet(path)
+    return known_answers(spark, path, name, label)
+
+
 def answer_is_yes(answer: Column) -> Column:
     """A judge's reply counts as yes when it contains ``yes``."""
     return F.contains(answer, F.lit("yes"))

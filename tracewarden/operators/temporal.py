@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tracewarden.functions.spans import is_root
-from tracewarden.operators.ordered import next_values
+from tracewarden.operators.ordered import same_keys
 from tracewarden.operators.sessions import sessionize, sessions, tumbling_letters
 from tracewarden.session import freeze
 
@@ -68,34 +69,48 @@ def bounded_response(
     q: Column,
     within: int,
     closed: bool | None = True,
-    chunks: int | None = None,
 ) -> DataFrame:
     """Every ``p`` has a ``q`` at or after it, at most ``within`` positions on.
 
-    ``position`` is the column that counts events, letters or nanoseconds; the
-    rows are ordered by ``order``.  While rows may still come, a ``p`` whose
-    bound has not passed yet leaves the check undecided.  Runs jobs while it is
-    built.
+    ``position`` is the whole number that counts events, letters or
+    nanoseconds, and never falls along ``order``, by which rows are ordered.
+    While rows may still come, a ``p`` whose bound has not passed yet leaves
+    the check undecided.  Rows without a position count as neither.
+
+    Nothing is ordered.  Positions are cut into slots as wide as the bound, so
+    an answer lies in the slot of its ``p`` or in the next one: it is enough to
+    know the last ``q`` of the one and the first ``q`` of the other, which are
+    partial aggregates.  Writes the narrow rows once while it is built.
     """
+    if within < 0 or not isinstance(rows.schema[position].dataType, IntegralType):
+        raise ValueError(f"{position} and its bound of {within} are to be whole numbers, the bound not below 0")
+    width, at = max(within, 1), F.col(position).cast("long")
     needed = freeze(
         rows.select(
-            *keys, *order, *([position] if position not in order else []),
-            _flag(p).alias("_p"), F.when(_flag(q), F.col(position)).alias("_q"),
+            *keys, at.alias("_at"), (at - F.pmod(at, F.lit(width))).alias("_slot"), F.struct(*order).alias("_place"),
+            (_flag(p) & at.isNotNull()).alias("_p"), (_flag(q) & at.isNotNull()).alias("_q"),
         )
     )
-    # Only rows with p or q take part; the end of the key is an aggregate.
-    ends = needed.groupBy(*keys).agg(F.max(position).alias("_end"))
-    marked = next_values(
-        needed.filter(F.col("_p") | F.col("_q").isNotNull()), keys, order, {"_q": F.col("_q")},
-        chunks=chunks,
+    place, mark = needed.schema["_place"].dataType, F.col("_at")
+    seen = F.array(
+        F.struct(F.col("_slot"), F.col("_place").alias("_last"), F.lit(None).cast("long").alias("_next")),
+        F.struct((F.col("_slot") - width).alias("_slot"), F.lit(None).cast(place).alias("_last"), mark.alias("_next")),
+    )
+    slots = needed.filter("_q").select(*keys, F.inline(seen)).groupBy(*keys, "_slot").agg(
+        F.max("_last").alias("_last"), F.min("_next").alias("_next")
+    )
+    answered = F.coalesce(F.col("_last") >= F.col("_place"), F.lit(False)) | F.coalesce(
+        F.col("_next") - mark <= within, F.lit(False)
     )
-    late = F.coalesce(F.col("_q") - F.col(position) > within, F.lit(True))
-    open_p = marked.filter(F.col("_p") & late).groupBy(*keys).agg(
-        F.min(position).alias("_first"), F.count_if(F.col("_q").isNotNull()).alias("_missed")
+    met = same_keys(needed.filter("_p"), slots, [*keys, "_slot"], "left").filter(~answered)
+    none = F.lit(None).cast("long")
+    # The first open p of each key, and its end, from one aggregate.
+    both = needed.select(*keys, mark.alias("_end"), none.alias("_first")).unionAll(
+        met.select(*keys, none.alias("_end"), mark.alias("_first"))
     )
-    joined = ends.join(open_p, keys, "left")
-    passed = (F.col("_missed") > 0) | (F.col("_first") + within < F.col("_end"))
-    return _judged(joined, keys, F.col("_first").isNull(), F.when(passed, False), closed)
+    found = both.groupBy(*keys).agg(F.max("_end").alias("_end"), F.min("_first").alias("_first"))
+    passed = F.coalesce(F.col("_first") + within < F.col("_end"), F.lit(False))
+    return _judged(found, keys, F.col("_first").isNull(), F.when(passed, False), closed)
 
 
 def implies(a: Column, b: Column) -> Column:

@@ -552,6 +552,27 @@ def c21_parse_json_column(spark, d):
     return payloads.parse_json_column(props.unionByName(texts), "raw").select("source", "id", "parsed_error")
 
 
+@query("c21_kinds_and_values", """
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'OBJECT' WHEN 1 THEN 'BIGINT' WHEN 2 THEN 'DECIMAL' WHEN 3 THEN 'STRING'
+  WHEN 4 THEN 'BOOLEAN' WHEN 5 THEN 'ARRAY' ELSE 'TEXT' END AS kind,
+  CASE event_id % 7 WHEN 0 THEN replace(props, ': ', ':') WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN event_id || '.5'
+  WHEN 3 THEN '"' || event_type || '"' WHEN 4 THEN 'true' WHEN 5 THEN '[' || event_id || ',null]' ELSE event_type END AS value,
+  event_id % 7 = 6 AS parsed_error FROM events""")
+def c21_kinds_and_values(spark, d):
+    n, name, number = F.col("event_id") % 7, F.col("event_type"), F.col("event_id").cast("string")
+    raw = (
+        F.when(n == 0, F.col("props")).when(n == 1, number).when(n == 2, F.concat(number, F.lit(".5")))
+        .when(n == 3, F.concat(F.lit('"'), name, F.lit('"'))).when(n == 4, F.lit("true"))
+        .when(n == 5, F.concat(F.lit("["), number, F.lit(", null]"))).otherwise(name)
+    )
+    read = payloads.parse_json_column(tables.load(spark, d, "events").withColumn("raw", raw), "raw")
+    kind = F.split_part("parsed_kind", F.lit("("), F.lit(1))
+    return read.select(
+        "event_id", F.split_part(kind, F.lit("<"), F.lit(1)).alias("kind"),
+        F.coalesce(F.to_json("parsed"), F.col("raw")).alias("value"), "parsed_error",
+    )
+
+
 @query("c22_typed_values", """SELECT kind, count(*) FILTER (WHERE ok) AS typed, count(*) FILTER (WHERE NOT ok) AS mismatched
 FROM (SELECT 'bigint' AS kind, try_cast(substr(c_name, 10) AS BIGINT) IS NOT NULL AS ok FROM customer
 UNION ALL SELECT 'bigint', try_cast(c_mktsegment AS BIGINT) IS NOT NULL FROM customer
@@ -567,6 +588,24 @@ def c22_typed_values(spark, d):
     return counts[0].unionByName(counts[1])
 
 
+@query("c22_typed_getters", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_custkey AS BIGINT) END AS as_int,
+  CASE WHEN o_orderkey % 6 = 1 THEN o_custkey + 0.25::DOUBLE END AS as_float,
+  CASE WHEN o_orderkey % 6 = 2 THEN CASE o_custkey % 2 WHEN 0 THEN 'true' ELSE 'false' END END AS as_bool,
+  CASE WHEN o_orderkey % 6 = 3 THEN CAST(o_orderdate AS DATE) END AS as_date,
+  CASE WHEN o_orderkey % 6 = 4 THEN o_orderpriority END AS as_string FROM orders""")
+def c22_typed_getters(spark, d):
+    n, number = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    raw = (
+        F.when(n == 0, number).when(n == 1, F.concat(number, F.lit(".25")))
+        .when(n == 2, F.when(F.col("o_custkey") % 2 == 0, "true").otherwise("false"))
+        .when(n == 3, F.date_format("o_orderdate", "yyyy-MM-dd")).when(n == 4, F.col("o_orderpriority"))
+        .otherwise(F.concat(F.lit("["), number, F.lit("]")))
+    )
+    rows = tables.load(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
+    return payloads.typed_getters(rows, "raw").drop("raw").withColumn("as_bool", F.col("as_bool").cast("string"))
+
+
 @query("c23_json_quality_report", """
 SELECT count(*) AS payloads, count(*) FILTER (WHERE event_id % 5 = 0) AS objects,
        count(*) FILTER (WHERE event_id % 5 = 2) AS other_json,
@@ -906,7 +945,9 @@ MENTION, TURNS = "the", 2
 def judged_chats(spark, d) -> DataFrame:
     """The judge here calls a reply impolite when it holds a certain syllable."""
     replies = tables.load(spark, d, "conversations").filter("role = 'assistant'")
-    return replies.select("text").distinct().withColumn("impolite", F.contains("text", F.lit("que")))
+    return replies.dropna(subset=["text"]).select(
+        F.sha2("text", 256).alias("digest"), F.contains("text", F.lit("que")).alias("impolite")
+    ).distinct()
 
 
 def mention_monitor(spark, d, **settings) -> monitor.StateMonitor:
@@ -976,6 +1017,19 @@ def e12_judge_texts(spark, d):
     return judged.agg(F.count(F.lit(1)).alias("texts"), F.count_if("impolite").alias("impolite"))
 
 
+@query("e12_judge_new_texts", """SELECT doc_id, CASE WHEN text IS NULL THEN 'Undecided'
+  WHEN strpos(text, 'que') > 0 THEN 'True' ELSE 'False' END AS impolite FROM documents""")
+def e12_judge_new_texts(spark, d):
+    """A second judge of the same name is asked nothing, as all texts have answers."""
+    docs = tables.load(spark, d, "documents")
+    path = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    properties.judge_new_texts(docs, "text", lambda texts: texts.str.contains("que", regex=False), path, "que")
+    known = properties.judge_new_texts(docs, "text", lambda texts: ~texts.str.contains("que", regex=False), path, "que")
+    return properties.classify_text(docs.select("doc_id", "text"), "text", known).select(
+        "doc_id", monitor.truth(F.col("impolite")).alias("impolite")
+    )
+
+
 @query("e13_bot_message", f"""WITH {sql.CONVERSATIONS}
 SELECT span_id, CASE WHEN role = 'assistant' THEN text END AS message FROM spans""")
 def e13_bot_message(spark, d):
@@ -1123,7 +1177,7 @@ SELECT {keys}, {sql.truth('c')} AS closed, {sql.truth('o')} AS "open" FROM check
     EV_SESSIONS, "key, session_start", "evs", "epoch_ns, trace_id, span_id, is_end", "epoch_ns",
     "name = 'error'", "name = 'purchase'", DAY_NS // 4))
 def f5_bounded_response_time(spark, d):
-    rows = session_rows(spark, d)
+    rows = ss.session_events(keyed(spark, d), GAP)
     return both(temporal.bounded_response(
         rows, KEYS, SEQ, "epoch_unix_nano", is_error(), is_buy(), DAY_NS // 4, None))
 

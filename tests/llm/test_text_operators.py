@@ -6,13 +6,15 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracewarden.llm.chat import escaped, read_windows, training_windows, unescaped, window_digests
-from tracewarden.llm.decontaminate import contamination, decontaminated
+from tracewarden.llm.decontaminate import _carried, contamination, decontaminated
 from tracewarden.llm.mixing import mix, source_targets
 from tracewarden.llm.secrets import ALLOW, CANDIDATE, ITERATIVE, PARTS, SCANS, find_secrets, redacted
+from tracewarden.llm.words import ALNUM, split_words
 
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
 
@@ -56,7 +58,37 @@ def test_contamination(judged):
 
 def test_contamination_by_a_join(judged):
     docs, items = judged
-    assert rows_of(contamination(docs, items, max_grams=0)) == rows_of(contamination(docs, items))
+    assert rows_of(contamination(docs, items, max_bytes=0)) == rows_of(contamination(docs, items))
+    clash = docs.withColumns({c: F.lit(c) for c in ("row", "near", "h", "n", "start", "words", "item_id", "k", "m")})
+    for mode in ("documents", "spans"):
+        by_join = decontaminated(clash, items, remove=mode, max_bytes=0)
+        assert by_join.columns == clash.columns
+        assert rows_of(by_join) == rows_of(decontaminated(clash, items, remove=mode))
+    assert contamination(docs.limit(0), items, max_bytes=0).collect() == []
+
+
+def test_large_sets_of_items_and_a_hot_passage(spark):
+    """Half of all rows are one text; many items share one window."""
+    draw = random.Random(3)
+    word = lambda: f"w{draw.randrange(40)}"
+    texts = [" ".join(word() for _ in range(draw.choice([0, 1, 4, 30]))) for _ in range(60)]
+    hot = " ".join(word() for _ in range(40))
+    items = [(i, draw.choice([hot, *texts])[: draw.choice([9, 200])], "x") for i in range(90)]
+    docs = [(i % 50, hot if i % 2 else draw.choice(texts) + " " + draw.choice(texts)) for i in range(300)]
+    items = spark.createDataFrame(items, "item_id int, text string, doc_id string")
+    docs = spark.createDataFrame(docs, "doc_id int, text string").repartition(5)
+    for width in (2, 13):
+        told = rows_of(contamination(docs, items, width))
+        assert told == rows_of(contamination(docs, items, width, max_bytes=0)) and len(told) == 300
+        cut = [rows_of(decontaminated(docs, items, width, 20, "spans", b)) for b in (0, 1 << 30)]
+        assert cut[0] == cut[1] and any(r["n_hit"] for r in contamination(docs, items, width).collect())
+
+
+def test_words_of_a_hit_are_compared():
+    found = split_words(pa.array(["a b c", "b c"]), ALNUM, fold=True)
+    near = [[{"start": 1, "n": 2, "words": w, "item_id": i} for w, i in (("b c", "1"), ("b d", "2"), ("b c", "3"))], None]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("words", pa.string()), ("item_id", pa.string())]))
+    assert list(_carried(found, None, pa.array(near, kind))) == [(0, 1, 2, ["1", "3"])]
 
 
 def test_decontaminated_documents_and_spans(judged):

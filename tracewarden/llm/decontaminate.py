@@ -1,9 +1,11 @@
 """Benchmark decontamination: word n-grams of test items found in documents.
 
 The n-grams of the items are hashed into a set that every task gets, after a
-check of its size.  Tasks slide over the words of whole documents, look the
+check of its bytes.  Tasks slide over the words of whole documents, look the
 windows' hashes up, and compare the words of each hit.  Nothing is shuffled.
-A set beyond the bound is joined with the windows instead.
+A larger set stays a table: every task gets a bit filter of fixed size, the
+windows that pass it are joined with the table, and the words of each hit are
+compared where they stand.  Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -18,8 +20,12 @@ from tracewarden.llm.steps import tidy
 from tracewarden.llm.words import ALNUM, covered, grams, pieces, plain_strings, split_words
 from tracewarden.session import freeze
 
-#: Most n-grams that are sent to every task: about 60 MB.
-MAX_GRAMS = 200_000
+#: Most bytes of n-grams that are sent to every task, and what one takes there
+#: beside its words and its item.
+MAX_BYTES = 128 << 20
+GRAM_BYTES = 600
+#: Bits of the filter that every task gets where the n-grams are more than that.
+FILTER_BITS = 1 << 27
 FOUND = "n_words long, n_hit long, items array<string>, contaminated boolean"
 
 
@@ -96,12 +102,27 @@ def _without(text: str, starts, ends, out) -> str:
     return b"".join([*pieces_kept, data[last:]]).decode()
 
 
-def _scan(table, share: int, finish, schema):
-    """``finish(part, rows, cut)`` makes a batch of each piece of a batch;
-    ``cut(i)`` is a text without its hit words."""
+def _carried(found, owner, near):
+    """``_Grams.hits`` where each row brings the n-grams that may be its own."""
+    for i, met in enumerate(near.to_pylist()):
+        held = {}
+        for one in met or ():
+            held.setdefault((one["start"], one["n"], one["words"]), []).append(one["item_id"])
+        for (start, n, words), items in held.items():
+            k = int(found.bounds[i]) + start
+            if words.encode() == b" ".join(found.data[a:b].tobytes() for a, b in zip(found.starts[k : k + n], found.ends[k : k + n], strict=True)):
+                yield i, start, n, items
+
+
+def _scan(hits, share: int, finish, schema):
+    """``hits(found, owner, near)`` tells the occurrences in a piece of rows;
+    ``finish(part, rows, cut)`` makes a batch of it, ``cut(i)`` is a text
+    without its hit words.  Batches are of ``(row, near)``."""
 
     def task(batches):
         for batch in batches:
+            whole = batch.column(0)
+            batch, near = pa.RecordBatch.from_arrays(whole.flatten(), names=[f.name for f in whole.type]), batch.column(1)
             texts = plain_strings(batch, "text")
             for low, high in pieces(texts):
                 part, here = batch.slice(low, high - low), texts[low:high]
@@ -109,7 +130,7 @@ def _scan(table, share: int, finish, schema):
                 sizes = np.diff(found.bounds)
                 owner = np.repeat(np.arange(len(here)), sizes)
                 spans, items = {}, {}
-                for i, start, n, which in table.value.hits(found, owner):
+                for i, start, n, which in hits(found, owner, near[low:high]):
                     spans.setdefault(i, []).append((start, n))
                     items.setdefault(i, set()).update(which)
                 judged = [_judged(int(n), spans.get(i, []), items.get(i, ()), share) for i, n in enumerate(sizes)]
@@ -130,30 +151,40 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: int, max_grams: int) -> DataFrame:
-    """``doc_id`` and ``FOUND``."""
+def _matched(docs: DataFrame, benchmark: DataFrame, width: int, max_bytes: int):
+    """``(row, near)`` of each document and the ``hits`` that ``_scan`` takes."""
     spark = tidy(docs.sparkSession)
     found = freeze(item_grams(benchmark, width))
-    docs = docs.select("doc_id", "text")
-    if found.count() > max_grams:
-        return _joined(docs, found, share).drop("text")
+    held = F.octet_length("words") + F.octet_length("item_id") + GRAM_BYTES
+    rows = docs.select(F.struct("*").alias("row"))
+    if (found.agg(F.sum(held.cast("long"))).first()[0] or 0) > max_bytes:
+        return _near(rows, found), _carried
     table = spark.sparkContext.broadcast(_Grams(found.select("n", "g1", "words", "item_id").collect()))
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(FOUND).fields])
-    arrow = _arrow(schema)
+    return rows.withColumn("near", F.lit(None).cast("int")), lambda words, owner, near: table.value.hits(words, owner)
 
-    def finish(part, rows, cut):
-        new = pa.RecordBatch.from_pylist(rows, pa.schema(list(arrow)[1:]))
-        return pa.RecordBatch.from_arrays([part.column(0), *new.columns], names=arrow.names)
 
-    return docs.mapInArrow(_scan(table, share, finish, arrow), schema)
+def _filter(found: DataFrame) -> np.ndarray:
+    """Two bits for each n-gram, as bytes: at most ``FILTER_BITS`` in all."""
+    slots = found.select(F.explode(F.array(*[F.pmod(g, F.lit(FILTER_BITS)) for g in ("g1", "g2")])).alias("slot"))
+    bits = slots.groupBy(F.expr("slot div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits"))
+    got = bits.toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out[np.asarray(got["byte"])] = np.asarray(got["bits"])
+    return out
 
 
-def _joined(docs: DataFrame, found: DataFrame, share: int) -> DataFrame:
-    """The same by a join, where the n-grams are too many for every task."""
-    keyed = docs.withColumn("h", F.xxhash64("text"))
+def _near(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Each row with the n-grams whose hashes its windows have, by a join."""
+    keyed = rows.withColumn("h", F.xxhash64("row.text"))
     lengths = [r[0] for r in found.select("n").distinct().collect()]
+    table = rows.sparkSession.sparkContext.broadcast(_filter(found))
+    docs = keyed.select("row.doc_id", "h", "row.text")
     schema = pa.schema([("doc_id", _arrow(docs.schema).field("doc_id").type), ("h", pa.int64()), ("n", pa.int32()), ("g1", pa.int64()), ("g2", pa.int64()), ("start", pa.int64())])
 
+    def passed(bits, grams_):
+        slot = grams_ % np.uint64(FILTER_BITS)
+        return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
     def windows(batches):
         for batch in batches:
             texts = plain_strings(batch, "text")
@@ -162,39 +193,26 @@ def _joined(docs: DataFrame, found: DataFrame, share: int) -> DataFrame:
                 owner = np.repeat(np.arange(high - low), np.diff(words.bounds))
                 for n in lengths:
                     one, two = grams(words.hashes, n), grams(words.hashes, n, 1)
-                    at = np.flatnonzero(owner[: len(one)] == owner[n - 1 :]) if len(one) else np.empty(0, np.int64)
+                    if not len(one):
+                        continue
+                    at = np.flatnonzero((owner[: len(one)] == owner[n - 1 :]) & passed(table.value, one) & passed(table.value, two))
                     who = pa.array(owner[at])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(who), part.column(2).take(who), pa.array(np.full(len(at), n, np.int32)), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(at - words.bounds[owner[at]])],
+                        [part.column(0).take(who), part.column(1).take(who), pa.array(np.full(len(at), n, np.int32)), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(at - words.bounds[owner[at]])],
                         schema=schema,
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = keyed.mapInArrow(windows, f"doc_id {kind}, h long, n int, g1 long, g2 long, start long")
-    hits = cut.join(found.select("n", "g1", "g2", "item_id"), ["n", "g1", "g2"]).groupBy("doc_id", "h").agg(
-        F.collect_set(F.struct("start", F.col("n").cast("long").alias("n"))).alias("spans"), F.collect_set("item_id").alias("items")
+    cut = docs.mapInArrow(windows, f"doc_id {kind}, h long, n int, g1 long, g2 long, start long")
+    hits = cut.join(found, ["n", "g1", "g2"]).groupBy("doc_id", "h").agg(
+        F.collect_set(F.struct("start", "n", "words", "item_id")).alias("near")
     )
-    joined = keyed.alias("k").join(
-        hits.alias("m"), F.col("k.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("k.h") == F.col("m.h")), "left"
-    ).select("k.doc_id", "k.text", "m.spans", F.coalesce("m.items", F.array()).alias("items"))
-    out = T.StructType([*docs.schema.fields, *T._parse_datatype_string(FOUND).fields])
-    arrow = _arrow(out)
-
-    def judge(batches):
-        for batch in batches:
-            texts = plain_strings(batch, "text")
-            sizes = np.concatenate([np.diff(split_words(texts[a:b], ALNUM, fold=True).bounds) for a, b in pieces(texts)] or [[]])
-            rows = []
-            for n, row in zip(sizes, batch.to_pylist(), strict=True):
-                spans = [(s["start"], s["n"]) for s in row["spans"] or []]
-                rows.append({"doc_id": row["doc_id"], "text": row["text"], **_judged(int(n), spans, row["items"], share)[0]})
-            yield pa.RecordBatch.from_pylist(rows, arrow)
-
-    return joined.mapInArrow(judge, out)
+    same = F.col("k.row.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("k.h") == F.col("m.h"))
+    return keyed.alias("k").join(hits.alias("m"), same, "left").select("k.row", "m.near")
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, max_grams: int = MAX_GRAMS
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, max_bytes: int = MAX_BYTES
 ) -> DataFrame:
     """``(doc_id, n_words, n_hit, items, contaminated)`` for each row of
     ``docs(doc_id, text)`` against ``benchmark(item_id, text)``.
@@ -203,28 +221,30 @@ def contamination(
     ASCII.  A word is hit inside any occurrence of an item's window; a document
     is contaminated where at least one of ``share`` words is hit.  Null and
     empty texts have no words; items without id or words are not looked for;
-    equal items are all named.  Other columns are not read.
+    equal items are all named.  Other columns are not read.  The rows are the
+    same whether the n-grams of the items take more than ``max_bytes`` or not.
     """
-    return _found(docs, benchmark, width, share, max_grams)
+    matched, hits = _matched(docs.select("doc_id", "text"), benchmark, width, max_bytes)
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(FOUND).fields])
+    arrow = _arrow(schema)
+
+    def finish(part, rows, cut):
+        new = pa.RecordBatch.from_pylist(rows, pa.schema(list(arrow)[1:]))
+        return pa.RecordBatch.from_arrays([part.column(0), *new.columns], names=arrow.names)
+
+    return matched.mapInArrow(_scan(hits, share, finish, arrow), schema)
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, remove: str = "documents"
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, remove: str = "documents",
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """``docs`` with all its columns, without contaminated documents, or with
-    the hit words cut out of all texts (``remove="spans"``)."""
+    the hit words cut out of all texts (``remove="spans"``).  Both as in
+    ``contamination``, with n-grams of any size."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
-    tidy(docs.sparkSession)
-    found = freeze(item_grams(benchmark, width))
-    if found.count() > MAX_GRAMS:
-        if remove == "spans":
-            raise ValueError(f"spans are cut for at most {MAX_GRAMS} n-grams")
-        bad = _joined(docs.select("doc_id", "text"), found, share).filter("contaminated")
-        bad = bad.select("doc_id", F.xxhash64("text").alias("h")).distinct()
-        match = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"])
-        return docs.join(bad, match, "left_anti")
-    table = docs.sparkSession.sparkContext.broadcast(_Grams(found.select("n", "g1", "words", "item_id").collect()))
+    matched, hits = _matched(docs, benchmark, width, max_bytes)
     arrow = _arrow(docs.schema)
     place = docs.columns.index("text")
 
@@ -236,4 +256,4 @@ def decontaminated(
         columns[place] = pa.array(texts, arrow.field(place).type)
         return pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
-    return docs.mapInArrow(_scan(table, share, finish, arrow), docs.schema)
+    return matched.mapInArrow(_scan(hits, share, finish, arrow), docs.schema)

@@ -592,7 +592,7 @@ def c22_typed_values(spark, d):
 SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_custkey AS BIGINT) END AS as_int,
   CASE WHEN o_orderkey % 6 = 1 THEN o_custkey + 0.25::DOUBLE END AS as_float,
   CASE WHEN o_orderkey % 6 = 2 THEN CASE o_custkey % 2 WHEN 0 THEN 'true' ELSE 'false' END END AS as_bool,
-  CASE WHEN o_orderkey % 6 = 3 THEN CAST(o_orderdate AS DATE) END AS as_date,
+  CASE WHEN o_orderkey % 6 = 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS as_date,
   CASE WHEN o_orderkey % 6 = 4 THEN o_orderpriority END AS as_string FROM orders""")
 def c22_typed_getters(spark, d):
     n, number = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
@@ -603,7 +603,8 @@ def c22_typed_getters(spark, d):
         .otherwise(F.concat(F.lit("["), number, F.lit("]")))
     )
     rows = tables.load(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
-    return payloads.typed_getters(rows, "raw").drop("raw").withColumn("as_bool", F.col("as_bool").cast("string"))
+    words = {c: F.col(c).cast("string") for c in ("as_bool", "as_date")}
+    return payloads.typed_getters(rows, "raw").drop("raw").withColumns(words)
 
 
 @query("c23_json_quality_report", """

@@ -12,7 +12,7 @@ from tracewarden.operators.sessions import multiple_root_errors, tumbling_letter
 from tracewarden.settings import Job
 from tracewarden.operators.properties import duration_safety
 from tracewarden.sinks import text, verdicts
-from tracewarden.sources import otlp, simspans
+from tracewarden.sources import otlp, simspans, tables
 
 PLAN = [
     ("trace1", "root1", None, 0, 1000), ("trace1", "child11", "root1", 0, 3000),
@@ -75,6 +75,44 @@ def test_deep_chain_and_wide_root(spark):
     assert first == ["n0", "n1", "n2"]
 
 
+def odd_forest():
+    """Small and larger traces with repeated and missing ids, cycles, orphans and several roots."""
+    rng, rows = random.Random(5), []
+    for t in range(40):
+        size = rng.choice([1, 2, 5, 9, 30, 90])
+        for i in range(size):
+            parent = None if i == 0 or rng.random() < 0.03 else f"s{rng.randrange(max(0, i - 6), i)}"
+            if rng.random() < 0.04:
+                parent = rng.choice(["", "gone", f"s{rng.randrange(size)}"])
+            name = None if t % 10 == 3 and rng.random() < 0.1 else f"s{i}"
+            row = (f"t{t}" if t else None, name, parent, rng.choice([None, 0, 700, 2500]), rng.choice([None, 0, 40, 3000]))
+            rows += [row] * (2 if t % 10 == 7 and rng.random() < 0.1 else 1)
+    return rows
+
+
+@pytest.mark.parametrize("tree_of", [
+    tree.span_tree, lambda df: tree.preorder(df.dropDuplicates(["trace_id", "span_id"])),
+    lambda df: tree.effective_timeline(df).drop("attributes"),
+])
+def test_traces_as_one_row_give_what_joins_give(spark, monkeypatch, tree_of):
+    df = plan(spark, odd_forest())
+    found = []
+    for small in (0, 64):
+        monkeypatch.setattr(tree, "SMALL", small)
+        got = tree_of(df)
+        found.append((got.columns, sorted(map(repr, got.collect()))))
+    assert found[0] == found[1] and len(found[0][1]) > 300
+
+
+@pytest.mark.parametrize("tree_of", [tree.span_tree, tree.preorder, tree.effective_timeline, tree.tree_errors])
+def test_small_traces_are_not_joined_round_by_round(spark, monkeypatch, tree_of):
+    written, freeze = [], tree.freeze
+    monkeypatch.setattr(tree, "freeze", lambda df: written.append(df.columns) or freeze(df))
+    rows = [("t", "n0", None, 0, 1)] + [("t", f"n{i}", f"n{i - 1}", 0, 1) for i in range(1, 40)]
+    assert tree_of(plan(spark, rows)).count() == (0 if tree_of is tree.tree_errors else 40)
+    assert len(written) == 3
+
+
 def test_sim_files(spark, tmp_path):
     line = ('{"spanId":{"traceId":"trace1","spanId":"child11"},"parentId":"root1","spanName":"child11",'
             '"spanKind":"INTERNAL","startTimeOffsetMs":0,"durationMs":3000,"attributes":{"bar":"baz"}}')
@@ -361,3 +399,20 @@ def test_rate_of_a_counter_with_restarts_and_gaps(spark):
     assert metrics.counter_rate(df.limit(0), F.col("ms"), F.col("value"), F.col("label")).collect() == []
     with pytest.raises(ValueError):
         metrics.counter_rate(df, F.col("ms"), F.col("value"), F.col("label"), 50, 15)
+
+
+def test_planned_spans_of_repeated_and_incomplete_lines(spark, tmp_path):
+    lines = [
+        (1, 10, 1, 5.0), (1, 11, 1, 5.0), (1, 12, 2, 4.0), (1, 12, 2, 6.0), (1, 13, 4, 4.0), (2, 1, 3, 4.0),
+        (None, 1, 1, 4.0), (None, 1, 2, 4.0), (3, 1, None, 4.0), (3, None, 1, None),
+    ]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = tables.sim_spans_from_orders(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert sorted(map(repr, [(r.trace_id, r.span_id, r.parent_id) for r in got.collect()])) == sorted(map(repr, [
+        ("order1", "root", None), ("order1", "line1", "root"), ("order1", "line1-2", "root"), ("order1", "line2", "line1"),
+        ("order1", "line2-2", "root"), ("order1", "line4", "root"), ("order2", "line3", "root"),
+        (None, "line1", "root"), (None, "line2", "root"), ("order3", None, "root"), ("order3", "line1", "root"),
+    ]))

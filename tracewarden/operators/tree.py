@@ -2,13 +2,20 @@
 
 Trees are climbed by pointer doubling: after round ``k`` each span points to
 its ancestor ``2^k`` levels up and knows what lies in between, so a tree of
-depth ``d`` takes ``log2 d`` joins.  Each round joins and writes only the spans
-that have not reached their root; nothing is gathered per trace.
+depth ``d`` takes ``log2 d`` rounds.
+
+A trace of at most ``SMALL`` spans is one row, and its rounds are made inside
+that row, so that all such traces together cost one shuffle.  Other traces, and
+those in which an id is missing or repeats, are joined round by round; each
+round joins and writes only the spans that have not reached their root, and
+nothing is gathered per trace.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.operators.ordered import next_values
@@ -17,6 +24,8 @@ from tracewarden.session import freeze
 
 PAD_MS = 1000
 LATENESS_MS = 500
+# Spans of a trace that is worked on as one row.
+SMALL = 64
 
 
 def duplicate_span_ids(spans: DataFrame) -> DataFrame:
@@ -76,10 +85,77 @@ def _climb(nodes: DataFrame, paths: bool = False) -> tuple[DataFrame, list[DataF
         done, pending = done.unionByName(level.filter("up is null")), level.filter("up is not null")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not again per array item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _paths(up: Column) -> Column:
+    """For each item of a trace the places of the items from its root to itself.
+
+    ``up`` holds the place of each item's parent, from 1: 0 if it is missing,
+    NULL at a root.  Items below no root get NULL.
+    """
+    begun = F.transform(up, lambda u, i: F.struct(u.cast("int").alias("to"), F.array(i).alias("path")))
+
+    def joined(items: Column, item: Column) -> Column:
+        above = F.get(items, item["to"] - 1)
+        higher = F.struct(above["to"].alias("to"), F.concat(above["path"], item["path"]).alias("path"))
+        return F.when(item["to"] > 0, higher).otherwise(item)
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(up) + 1)).cast("int"))
+    ended = F.aggregate(rounds, begun, lambda items, _: F.transform(items, lambda item: joined(items, item)))
+    return F.transform(ended, lambda item: F.when(item["to"].isNull(), item["path"]))
+
+
+def _by_size(spans: DataFrame, parent: Column, ordered: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Small traces as rows ``(trace_id, items, paths)``, and the spans of the others.
+
+    ``items`` holds the spans' other columns, and is in the order of the ids if
+    ``ordered``; ``paths`` is that of :func:`_paths`.  Spans without a trace are left
+    out.  Runs jobs.
+    """
+    rows = freeze(spans.filter("trace_id is not null"))
+    large = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SMALL)
+    large = freeze(large.select("trace_id"))
+    none_large = large.isEmpty()
+    few = rows if none_large else rows.join(large, "trace_id", "left_anti")
+    columns = ["span_id", *[c for c in rows.columns if c not in ("trace_id", "span_id")]]
+    items = F.collect_list(F.struct(*columns, parent.alias("_up")))
+    traces = few.groupBy("trace_id").agg((F.array_sort(items) if ordered else items).alias("items"))
+    ids = F.col("items")["span_id"]
+    up = _bound(ids, lambda known: F.transform("items", lambda x: F.array_position(known, x["_up"])))
+    own = F.size(F.array_distinct(F.array_compact(ids)))
+    traces = freeze(
+        traces.select("trace_id", "items", (own < F.size("items")).alias("odd"), _bound(up, _paths).alias("paths"))
+    )
+    odd = traces.filter("odd").select("trace_id", F.inline("items")).drop("_up")
+    others = [] if none_large else [rows.join(large, "trace_id", "left_semi")]
+    others += [] if odd.isEmpty() else [odd.select(*rows.columns)]
+    rest = others[0].unionByName(others[-1]) if len(others) == 2 else others[0] if others else None
+    return traces.filter("not odd").drop("odd"), rest
+
+
+def _through(items: Column, path: Column, of: Callable[[Column], Column]) -> Column:
+    """The items whose path (``of`` an item) leads through the end of ``path``."""
+    return F.filter(items, lambda item: F.get(of(item), F.size(path) - 1) == F.element_at(path, -1))
+
+
+def _parent() -> Column:
+    return F.when(F.col("parent_id") != "", F.col("parent_id"))
+
+
+def _in_first_tree(paths: Column, items: Column) -> Column:
+    """The paths from the root with the smallest id."""
+    roots = F.filter(paths, lambda p: F.size(p) == 1)
+    place = lambda p: F.get(p, F.lit(0))
+    first = F.array_min(F.transform(roots, lambda p: F.struct(F.get(items, place(p))["span_id"], place(p).alias("at"))))
+    return _bound(first["at"], lambda top: F.filter(paths, lambda p: place(p) == top))
+
+
 def _nodes(spans: DataFrame, own: str | None = None) -> DataFrame:
     number = F.col(own).cast("bigint") if own else F.lit(0).cast("bigint")
-    parent = F.when(F.col("parent_id") != "", F.col("parent_id"))
-    return spans.select("trace_id", "span_id", parent.alias("up"), number.alias("own"))
+    return spans.select("trace_id", "span_id", _parent().alias("up"), number.alias("own"))
 
 
 def _first_roots(spans: DataFrame) -> DataFrame:
@@ -88,8 +164,21 @@ def _first_roots(spans: DataFrame) -> DataFrame:
 
 
 def _reached(spans: DataFrame, paths: bool) -> DataFrame:
-    done, _ = _climb(_nodes(spans), paths)
-    return done.join(_first_roots(spans), ["trace_id", "top"], "left_semi")
+    """``(trace_id, span_id, depth)`` of what can be reached from the first root, and its ``path``."""
+    out = ["trace_id", "span_id", "depth", *(["path"] if paths else [])]
+    traces, rest = _by_size(spans.select("trace_id", "span_id", "parent_id"), _parent())
+    span_id = lambda at: F.get("items", at)["span_id"]
+    columns = lambda p: [
+        span_id(F.element_at(p, -1)).alias("span_id"),
+        (F.size(p) - 1).alias("depth"),
+        *([F.array_join(F.transform(p, span_id), "/").alias("path")] if paths else []),
+    ]
+    listed = F.transform(_in_first_tree(F.col("paths"), F.col("items")), lambda p: F.struct(*columns(p)))
+    found = traces.select("trace_id", F.inline(listed)).select(*out)
+    if rest is None:
+        return found
+    done, _ = _climb(_nodes(rest), paths)
+    return found.unionByName(done.join(_first_roots(rest), ["trace_id", "top"], "left_semi").select(*out))
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
@@ -136,10 +225,24 @@ def preorder(spans: DataFrame) -> DataFrame:
     next sibling, else out of the parent.  Steps are ranked by pointer doubling
     along this list, each adding up what lies up to the step it points to, so a
     tree of ``n`` spans takes ``log2(2 n)`` joins, however deep or wide it is.
+    In a small trace paths are sorted instead.
     """
-    parent = F.when(F.col("parent_id") != "", F.col("parent_id"))
-    nodes = spans.filter("trace_id is not null and span_id is not null").select("trace_id", "span_id", parent.alias("parent"))
-    nodes = freeze(nodes)
+    named = spans.filter("trace_id is not null and span_id is not null").select("trace_id", "span_id", "parent_id")
+    traces, rest = _by_size(named, _parent(), ordered=True)
+    # Items lie in the order of their ids, so paths of places sort as paths of ids.
+    walk = F.array_sort(_in_first_tree(F.col("paths"), F.col("items")))
+    listed = _bound(walk, lambda paths: F.transform(paths, lambda p, i: F.struct(
+        F.get("items", F.element_at(p, -1))["span_id"].alias("span_id"),
+        (F.size(p) - 1).alias("depth"),
+        i.cast("bigint").alias("position"),
+        F.size(_through(paths, p, lambda q: q)).cast("bigint").alias("size"),
+    )))
+    found = traces.select("trace_id", F.inline(listed))
+    return found if rest is None else found.unionByName(_preorder_by_steps(rest))
+
+
+def _preorder_by_steps(spans: DataFrame) -> DataFrame:
+    nodes = freeze(spans.select("trace_id", "span_id", _parent().alias("parent")))
     below = nodes.filter("parent is not null")
     siblings = next_values(below, ["trace_id", "parent"], ["span_id"], {"sibling": F.col("span_id")}, strict=True)
     firsts = below.groupBy("trace_id", F.col("parent").alias("span_id")).agg(F.min("span_id").alias("child"))
@@ -200,7 +303,32 @@ def effective_timeline(sim_spans: DataFrame, pad_ms: int = PAD_MS) -> DataFrame:
     A span starts at its offset but not before its parent; it ends after its
     duration but not before its children.
     """
-    spans = freeze(sim_spans.withColumn("offset", F.col("start_offset_ms") + pad_ms))
+    spans = sim_spans.withColumn("offset", F.col("start_offset_ms") + pad_ms)
+    traces, rest = _by_size(spans, _parent())
+    items, paths = F.col("items"), F.col("paths")
+    offset = lambda at: F.get(items, at)["offset"].cast("bigint")
+    reached = F.filter(paths, lambda p: p.isNotNull())
+    start = lambda p: F.array_max(F.transform(p, offset))
+    begun = F.transform(reached, lambda p: F.struct(
+        p.alias("path"),
+        start(F.slice(p, 1, F.size(p) - 1)).alias("parent_start_ms"),
+        start(p).alias("start_ms"),
+        (start(p) + F.get(items, F.element_at(p, -1))["duration_ms"]).alias("end_ms"),
+    ))
+    columns = ["span_id", *[c for c in spans.columns if c not in ("trace_id", "span_id")]]
+    listed = _bound(begun, lambda all_: F.transform(all_, lambda b: F.struct(
+        *[F.get(items, F.element_at(b["path"], -1))[c].alias(c) for c in columns],
+        (F.size(b["path"]) - 1).alias("depth"),
+        b["parent_start_ms"].alias("parent_start_ms"),
+        b["start_ms"].alias("start_ms"),
+        F.array_max(F.transform(_through(all_, b["path"], lambda e: e["path"]), lambda e: e["end_ms"])).alias("end_ms"),
+    )))
+    found = traces.select("trace_id", F.inline(listed))
+    return found if rest is None else found.unionByName(_timeline_by_rounds(rest))
+
+
+def _timeline_by_rounds(sim_spans: DataFrame) -> DataFrame:
+    spans = freeze(sim_spans)
     done, rounds = _climb(_nodes(spans, "offset"))
     starts = done.select(
         "trace_id",

@@ -212,25 +212,28 @@ def sim_spans_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("start_offset_ms"),
         (F.col("o_custkey") % 5000).cast("bigint").alias("duration_ms"),
     )
-    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity")
-    copies = lines.select(
+    # Both windows lie on the same shuffle and sort of the lines, by order.
+    detail = ["l_partkey", "l_quantity"]
+    before = F.lag("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *detail))
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*detail))
+    numbered = lines.select("l_orderkey", "l_linenumber", *detail).withColumn("before", before).withColumn("copy", copy)
+    # A first copy comes right behind the lines of the next smaller number.
+    follows = F.col("l_orderkey").isNotNull() & (F.col("copy") == 1) & (F.col("before") == F.col("l_linenumber") - 1)
+    placed = numbered.select(
         F.col("l_orderkey").alias("o_orderkey"),
         "l_linenumber",
         F.col("l_partkey").alias("part"),
         F.col("l_quantity").alias("quantity"),
-        F.row_number().over(same).alias("copy"),
+        "copy",
+        follows.alias("has_above"),
     )
-    above = copies.filter("copy = 1").select(
-        "o_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.lit(1).alias("has_above"), "copy"
-    )
-    placed = copies.join(above, ["o_orderkey", "l_linenumber", "copy"], "left")
     line = F.concat(F.lit("line"), F.col("l_linenumber").cast("string"))
     own = F.when(F.col("copy") > 1, F.concat(line, F.lit("-"), F.col("copy").cast("string")))
     children = placed.select(
         trace.alias("trace_id"),
         F.coalesce(own, line).alias("span_id"),
         F.when(
-            F.col("has_above") == 1,
+            F.col("has_above"),
             F.concat(F.lit("line"), (F.col("l_linenumber") - 1).cast("string")),
         ).otherwise("root").alias("parent_id"),
         F.lit("ship").alias("span_name"),

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.operators import ordered
@@ -31,9 +31,11 @@ from tracewarden.operators.sessions import (
     dedupe_spans,
     ignore_windows,
     key_spans,
+    no_large_key,
     session_counters,
     session_slices,
     sessionize,
+    sessionize_small,
     sessions,
     to_events,
 )
@@ -110,7 +112,8 @@ class Monitor:
 def constants(values, kind: str) -> Column:
     """An array of literals, folded to one constant by the optimizer."""
     text = ",".join("" if v is None else str(v).lower() for v in values)
-    return F.transform(F.split(F.lit(text), ","), lambda x: x.try_cast(kind))
+    # A lambda over the parts would not be folded, but worked out anew for each event.
+    return F.split(F.lit(text), ",").try_cast(f"array<{kind}>")
 
 
 @dataclass(frozen=True)
@@ -221,12 +224,31 @@ def _traced(
         *keys, F.explode(F.arrays_zip("blocks", starts.alias("starts"))).alias("b")
     )
     block, start = F.col("b.blocks"), F.col("b.starts")
+    if keep is not None and not before:
+        return _kept(per_block, keys, step, keep)
     rows = F.arrays_zip(block.alias("item"), ordered.running(block, start, step, before).alias("state"))
     if keep is not None:
         rows = F.filter(rows, lambda r: r["item"][keep])
     return per_block.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.item.*", "r.state")
 
 
+def _kept(per_block: DataFrame, keys: list[str], step, keep: str) -> DataFrame:
+    """The flagged items of the blocks with the state after each; only these are written down."""
+    state = lambda acc, e: step(acc["s"], e)
+    row = lambda e, s: F.struct(e.alias("item"), s.alias("state"))
+    begin = F.col("b.starts")
+    none = F.array_repeat(row(F.get("b.blocks", F.lit(0)), begin), 0)
+
+    def moved(acc: Column, e: Column) -> Column:
+        after = state(acc, e)
+        return F.when(e[keep], F.struct(after.alias("s"), F.array_append(acc["out"], row(e, after)).alias("out"))).otherwise(
+            F.struct(after.alias("s"), acc["out"].alias("out"))
+        )
+
+    rows = F.aggregate("b.blocks", F.struct(begin.alias("s"), none.alias("out")), moved, lambda acc: acc["out"])
+    return per_block.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.item.*", "r.state")
+
+
 def fold(
     rows: DataFrame,
     keys: list[str],
@@ -381,6 +403,10 @@ def _session_totals(narrow: DataFrame, monitor: Monitor, starts, borders) -> Dat
 def _session_states(narrow, monitor, starts, chunks, borders) -> DataFrame:
     payload = list(monitor.features)
     keys = monitor.fold_keys()
+    plain = borders is None and chunks is None and monitor.ignore_session is None and monitor.gap_ms > 0
+    # Sessions without a key or a start are sessions too, but have no events.
+    if plain and no_large_key(narrow, whole=True):
+        return _small_session_states(narrow, monitor, starts)
     if borders is None:
         borders = freeze(session_slices(narrow, monitor.gap_ms, monitor.ttl_ms))
     events = monitor_events(monitored(narrow, monitor, borders), monitor.features)
@@ -403,6 +429,39 @@ def _session_states(narrow, monitor, starts, chunks, borders) -> DataFrame:
     )
 
 
+def _small_session_states(narrow, monitor, starts) -> DataFrame:
+    """``_session_states`` where every key fits one task: one shuffle by key."""
+    payload, keys = list(monitor.features), monitor.fold_keys()
+    spans = dedupe_spans(sessionize_small(narrow, monitor.gap_ms, monitor.ttl_ms))
+    first = F.row_number().over(Window.partitionBy("key", "session_start").orderBy("span_id")) == 1
+    # A row per event that counts, and one more per session, the mark at its end.
+    fixed = [c for c in EVENT_ORDER if c != "is_end"]
+    event = lambda is_end, time: F.struct(
+        F.lit(False).alias("mark"), F.col(time).alias("epoch_unix_nano"), "trace_id", "span_id",
+        F.lit(is_end).alias("is_end"), *[F.col(f"{n}_{int(is_end)}").alias(n) for n in payload],
+    )
+    both = [event(False, "start_time_unix_nano"), event(True, "end_time_unix_nano")]
+    folding = monitor
+    if isinstance(monitor, StateMonitor):
+        both = [F.when(F.col(f"letter_{i}") > 0, e) for i, e in enumerate(both)]
+    else:
+        folding = _past_marks(monitor)
+    order = [c for c in FOLD_ORDER if c not in keys]
+    carried = [c for c in ("session_end", "generation") if c not in keys]
+    kinds = {n: spans.schema[f"{n}_0"].dataType for n in payload}
+    marked = F.struct(
+        F.lit(True).alias("mark"), *[F.lit(None).cast("bigint" if c == "epoch_unix_nano" else "string").alias(c) for c in fixed],
+        F.lit(None).cast("boolean").alias("is_end"),
+        *[(F.lit(0) if isinstance(monitor, StateMonitor) else F.lit(None)).cast(kinds[n]).alias(n) for n in payload],
+    )
+    rows = spans.withColumn("_first", first).select(
+        "key", "generation", "session_start", "session_end",
+        F.inline(F.array_compact(F.array(*both, F.when(F.col("_first"), marked)))),
+    )
+    arrays = ordered.arrays_per_chunk(rows.withColumn(CHUNK, F.lit(0).cast("bigint")), keys, order, [*carried, *payload])
+    return _traced(_with_starts(arrays, keys, starts, monitor.init), keys, folding.step, "mark")
+
+
 def _past_marks(monitor: Monitor) -> Monitor:
     """The monitor for rows among which marks move nothing."""
     step, lift, neutral = monitor.step, monitor.lift, monitor.neutral

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.spans import is_root, nanos_to_ms, string_attribute
-from tracewarden.operators.ordered import CHUNK, multiple, next_values, numbered, prefixes, same_keys, suffixes
+from tracewarden.operators.ordered import CHUNK, CHUNK_BITS, multiple, next_values, numbered, prefixes, same_keys, suffixes
 from tracewarden.session import freeze
 
 # Order of the events of a session; ends follow starts at the same instant.
@@ -153,6 +153,38 @@ def sessionize(
     return placed.join(borders, ["key", "slice"]).drop("slice", "start_ms")
 
 
+def no_large_key(spans: DataFrame, whole: bool = False) -> bool:
+    """Does each key fit one task, with two events per span?  Runs a job.
+
+    With ``whole`` no span may be without a key or a start either.
+    """
+    bare = F.count_if(F.col("start_time_unix_nano").isNull() | F.col("key").isNull()) if whole else F.lit(0)
+    sizes = spans if whole else spans.filter("key is not null")
+    sizes = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), bare.alias("bare"))
+    return sizes.filter((F.col("n") > 2 ** (CHUNK_BITS - 1)) | (F.col("bare") > 0)).isEmpty()
+
+
+def sessionize_small(spans: DataFrame, gap_ms: int, ttl_ms: int | None = None) -> DataFrame:
+    """``sessionize`` where :func:`no_large_key` holds.
+
+    The spans of a key are shuffled once, by the key; what is done next per key
+    or session, dedupe and order too, stays where they are.
+    """
+    others = [c for c in spans.columns if c != "key"]
+    by_time = Window.partitionBy("key").orderBy("start_ms")
+    up_to_here = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = spans.withColumn("start_ms", _start_ms()).filter("key is not null and start_ms is not null")
+    pause = known.withColumn("pause", F.col("start_ms") - F.lag("start_ms").over(by_time))
+    border = F.when(F.col("pause").isNull() | (F.col("pause") > gap_ms), F.col("start_ms"))
+    expired = F.lit(0) if ttl_ms is None else F.when(F.col("pause") > gap_ms + ttl_ms, 1).otherwise(0)
+    generation = F.lit(0) if ttl_ms is None else F.sum(expired).over(up_to_here).cast("int")
+    begun = pause.withColumns({
+        "session_start": F.last(border, ignorenulls=True).over(up_to_here), "generation": generation,
+    })
+    last = F.max("start_ms").over(Window.partitionBy("key", "session_start"))
+    return begun.withColumn("session_end", last + gap_ms).select("key", *others, "session_start", "session_end", "generation")
+
+
 def sessions(
     spans: DataFrame, gap_ms: int, ttl_ms: int | None = None, borders: DataFrame | None = None
 ) -> DataFrame:
@@ -202,6 +234,10 @@ def session_events(spans: DataFrame, gap_ms: int, ttl_ms: int | None = None) ->
 
 def session_sequence(spans: DataFrame, gap_ms: int, chunks: int | None = None) -> DataFrame:
     """What a monitor sees: the events of each (key, session), numbered in order."""
+    if chunks is None and gap_ms > 0 and no_large_key(spans):
+        events = to_events(dedupe_spans(sessionize_small(spans, gap_ms)))
+        place = F.row_number().over(Window.partitionBy("key", "session_start").orderBy(*EVENT_ORDER))
+        return events.withColumn("seq", place.cast("bigint"))
     return order_events(session_events(spans, gap_ms), chunks=chunks)
 
 

@@ -416,3 +416,16 @@ def test_planned_spans_of_repeated_and_incomplete_lines(spark, tmp_path):
         ("order1", "line2-2", "root"), ("order1", "line4", "root"), ("order2", "line3", "root"),
         (None, "line1", "root"), (None, "line2", "root"), ("order3", None, "root"), ("order3", "line1", "root"),
     ]))
+
+
+def test_packed_simulation_files_say_the_same_in_less(spark, tmp_path):
+    rows = [("t", f"n{i}", "r" if i else None, 0, i) for i in range(500)]
+    sizes, read = [], []
+    for codec in (None, "gzip"):
+        folder = tmp_path / str(codec)
+        text.write_sim_spans(plan(spark, rows).coalesce(1), str(folder), codec, lines_per_file=200)
+        files = list(folder.glob("part-*"))
+        assert len(files) == 3
+        sizes.append(sum(f.stat().st_size for f in files))
+        read.append(sorted(map(repr, simspans.read_sim_spans(spark, [str(folder)]).collect())))
+    assert read[0] == read[1] and len(read[0]) == 500 and sizes[1] * 5 < sizes[0]

@@ -198,7 +198,7 @@ SELECT trace_id || s AS trace_id, span_id, parent_id, span_name, start_offset_ms
 def a5_read_sim_spans(spark, d):
     folders = [scratch(spark), scratch(spark)]
     for folder in folders:
-        text_sink.write_sim_spans(tables.sim_spans_from_orders(spark, d), folder)
+        text_sink.write_sim_spans(tables.sim_spans_from_orders(spark, d), folder, "gzip")
     return simspans.read_sim_spans(spark, folders).select(
         *_SIM_COLUMNS.split(", "), F.col("attributes")["line"].alias("line")
     )
@@ -333,7 +333,7 @@ def b6_span_terms(spark, d):
 @query("b7_write_sim_spans", f"WITH {sql.SIM} SELECT {_SIM_COLUMNS} FROM sim")
 def b7_write_sim_spans(spark, d):
     path = scratch(spark)
-    text_sink.write_sim_spans(tables.sim_spans_from_orders(spark, d), path)
+    text_sink.write_sim_spans(tables.sim_spans_from_orders(spark, d), path, "gzip")
     return simspans.read_sim_spans(spark, [path], add_index=False).select(*_SIM_COLUMNS.split(", "))
 
 

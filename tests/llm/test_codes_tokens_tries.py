@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import zlib
 from fractions import Fraction
 
@@ -154,6 +155,48 @@ def test_memory_stays_bounded(monkeypatch):
         assert len(small.known) <= 10 and len(small.stable) <= 40
 
 
+def test_new_words_are_worked_out_together(library):
+    """Calls of Python functions, which go by letter, are few for new words."""
+    rng = random.Random(6)
+    parts = ["an", "the", "ion", "é", "ung", "st", "re", "ß", "qu", "o", "ñ", "keit"]
+    words = [["".join(rng.choice(parts) for _ in range(rng.randint(3, 6))) for _ in range(8000)] for _ in range(2)]
+    count, calls = PrefixCounter(VOCABULARY), 0
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    count.texts([" ".join(words[0])])
+    text = " ".join(words[1])
+    sys.setprofile(called)
+    try:
+        [along] = count.texts([text])
+    finally:
+        sys.setprofile(None)
+    assert calls < len(text) / 2
+    for k in [*range(1, 3000, 7), len(text)]:
+        assert along[k - 1] == len(library.encode(text[:k], add_special_tokens=False).ids)
+
+
+def test_words_with_other_white_space_are_known(library):
+    count = PrefixCounter(VOCABULARY)
+    for texts in (["wonderfully palabras"], ["palabras wonderfully\n"], ["wonderfully\t\tx 's", "palabras\n\n'll don't "], ["x" * 70 + "  'll " + "x" * 70]):
+        for text, along in zip(texts, count.texts(texts), strict=True):
+            want = library.encode_batch([text[:k] for k in range(1, len(text) + 1)], add_special_tokens=False)
+            assert along.tolist() == [len(e.ids) for e in want], text
+
+
+def test_words_longer_and_shorter_than_those_taken_together(library, monkeypatch):
+    from tracewarden.llm import tokens
+
+    monkeypatch.setattr(tokens, "SHORT", 4)
+    monkeypatch.setattr(tokens, "AT_ONCE", 12)
+    monkeypatch.setattr(tokens, "PAIRS", 2)
+    text = "é ésta está tion nation nations wwwwwww don't été ññññ the then 각각 x"
+    want = [len(e.ids) for e in library.encode_batch([text[:k] for k in range(1, len(text) + 1)], add_special_tokens=False)]
+    assert PrefixCounter(VOCABULARY).texts([text])[0].tolist() == want
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         PrefixCounter("/opt/tokenizers/byte_bpe_50k.json")

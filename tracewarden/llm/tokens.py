@@ -8,6 +8,11 @@ of the two together give just these two.  One step per character thus gives the
 exact count at every prefix.  A word's last symbol bears the end mark, so there
 are two tables: one for what goes on, one for what ends here.
 
+New words are worked out together, letter by letter of all words at once, as
+numpy columns.  Vocabulary entries lie in a trie read backwards, so those that
+end at a letter are one node and its ancestors; whether two tokens stay apart is
+remembered by pair.
+
 Cutting, budgets and truncation are then look-ups; nothing is encoded again.
 """
 
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import accumulate
 
@@ -32,12 +38,17 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 LIMIT = 2048
 #: Pieces remembered by a task (twice so many at most), and their longest.
 MEMORY, MEMORABLE = 1 << 19, 64
+#: Words of at most so many bytes are worked out together, and so many bytes of
+#: them at once; places for remembered pairs of tokens.
+SHORT, AT_ONCE, PAIRS = 64, 1 << 20, 1 << 21
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Letters that a normal form may join to what is before them, and the one
 #: letter that becomes two in lower case.
 _UNSTEADY = r"\p{NFC_QC=N}\p{NFC_QC=M}\P{ccc=0}İ"
 #: Letters that the two libraries' versions of Unicode may class differently.
 _FOREIGN = r"[\p{Cn}\U00030000-\U0010FFFF]"
 _STEPS = np.dtype("i")
+_WIDTH = _STEPS.itemsize
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,6 +59,113 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class Endings:
+    """What tokens end at the letters of many words, by columns.
+
+    Nodes of a trie of the tokens' bytes read backwards; a token is the number
+    of its node, 0 is none.  ``kinds`` are the tokens that go on and those that
+    end a word; ``stays(kind, before, token)`` says if two stay two.
+    """
+
+    def __init__(self, kinds: tuple[set[str], set[str]], stays):
+        codes = {letter: byte for byte, letter in _byte_letters().items()}
+        edges: dict[int, int] = {}
+        above, sizes = [0], [0]
+        self.names, self.stays = {}, stays
+        own: list[set[int]] = [set(), set()]
+        for kind, tokens in enumerate(kinds):
+            for token in tokens:
+                if not all(c in codes for c in token):
+                    continue
+                node = 0
+                for c in reversed(token):
+                    key = node << 8 | codes[c]
+                    below = edges.get(key)
+                    if below is None:
+                        below = edges[key] = len(above)
+                        above.append(node)
+                        sizes.append(sizes[node] + 1)
+                    node = below
+                self.names[node] = token
+                own[kind].add(node)
+        #: Of each node and kind: the longest token at or above it, and above it.
+        self.longest, self.shorter = [], []
+        for nodes in own:
+            found = [0] * len(above)
+            for node in range(1, len(above)):  # a node comes after the one above
+                found[node] = node if node in nodes else found[above[node]]
+            self.longest.append(np.array(found, np.int64))
+            self.shorter.append(self.longest[-1][above])
+        self.sizes = np.array(sizes, np.int64)
+        keys, below = np.array(list(edges), np.int64), np.array(list(edges.values()), np.int32)
+        used, column = np.unique(keys & 255, return_inverse=True)
+        inner, row = np.unique(keys >> 8, return_inverse=True)
+        self.column = np.zeros(256, np.int64)
+        self.column[used] = np.arange(1, len(used) + 1)
+        self.row = np.full(len(above), len(inner), np.int64)
+        self.row[inner] = np.arange(len(inner))
+        self.below = np.zeros((len(inner) + 1, len(used) + 1), np.int32)
+        self.below[row, column + 1] = below
+        self.pairs, self.apart = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+
+    def _fits(self, kind: int, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Does each token stay behind the one before it, if there is one?"""
+        out = before == 0
+        at = np.flatnonzero(before)
+        n = len(self.sizes)
+        keys = (before[at] + kind * n) * n + token[at]
+        slots = ((keys.view(np.uint64) * _SPREAD) >> np.uint64(40)).view(np.int64) % PAIRS
+        held = self.pairs[slots] == keys
+        out[at[held]] = self.apart[slots[held]]
+        if not held.all():
+            new, where = np.unique(keys[~held], return_inverse=True)
+            names, left, right = self.names, (new // n - kind * n).tolist(), (new % n).tolist()
+            apart = np.array([self.stays(kind, names[x], names[y]) for x, y in zip(left, right)])[where]
+            out[at[~held]] = apart
+            # Of pairs for one place the last is remembered, in both columns.
+            self.pairs[slots[~held]], self.apart[slots[~held]] = keys[~held], apart
+        return out
+
+    def _last(self, kind: int, at: np.ndarray, ends: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+        """The last token of what ends at each place: the longest that stays."""
+        token = self.longest[kind][ends]
+        left = np.arange(len(at))
+        while len(left):
+            tried = token[left]
+            if not tried.all():
+                raise ValueError("no token ends a word")
+            left = left[~self._fits(kind, lasts[at[left] - self.sizes[tried]], tried)]
+            token[left] = self.shorter[kind][token[left]]
+        return token
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """Tokens of each prefix that ends with a code point, word by word."""
+        raw = np.frombuffer(b"\0" + b"\0".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        heads = np.cumsum(sizes + 1) - sizes - 1  # the place before each word
+        letters = self.column[raw]
+        letters[heads] = 0
+        ends = self.below[self.row[0], letters]
+        alive, back = np.flatnonzero(ends), 0
+        while len(alive):
+            back += 1
+            found = self.below[self.row[ends[alive]], letters[alive - back]]
+            alive, found = alive[found > 0], found[found > 0]
+            ends[alive] = found
+        lasts, counts = np.zeros(len(raw), np.int64), np.zeros(len(raw), _STEPS)
+        order = np.argsort(-sizes, kind="stable")
+        longer, places = -sizes[order], heads[order]
+        for size in range(1, int(sizes.max())):
+            at = places[: np.searchsorted(longer, -size)] + size
+            token = self._last(0, at, ends[at], lasts)
+            lasts[at], counts[at] = token, counts[at - self.sizes[token]] + 1
+        whole = np.ones(len(raw), bool)  # the last byte of a code point
+        whole[:-1] = (raw[1:] & 0xC0) != 0x80
+        whole[heads] = False
+        at = np.flatnonzero(whole)
+        return counts[at - self.sizes[self._last(1, at, ends[at], lasts)]] + 1
+
+
 class PrefixCounter:
     """Counts for one vocabulary file of the ``tokenizers`` library.
 
@@ -69,10 +187,15 @@ class PrefixCounter:
         self.unsteady = regex.compile(f"[{_UNSTEADY}]")
         self.foreign = regex.compile(_FOREIGN)
         self.cluster = regex.compile(f"(?s:.)[{_UNSTEADY}--\\u0130]*", regex.V1)
-        self.known: dict[str, tuple[bytes, int]] = {}
-        self.older: dict[str, tuple[bytes, int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._library = None
         self.path = path
+        #: A shorter string is not such a word cut short, but other words.
+        self.fixed: dict[str, bytes] = {}
+        for word in sorted(self.literals, key=len):
+            steps = [int(self.text(word[:k])[-1]) for k in range(1, len(word))]
+            self.fixed[word] = array("i", steps).tobytes() + self._along([word])[word][-_WIDTH:]
 
     def _read_pattern(self, spec: dict) -> None:
         steps = (spec["normalizer"] or {}).get("normalizers", [])
@@ -114,6 +237,10 @@ class PrefixCounter:
                     ends.setdefault(t[-3:], set()).add(len(t))
             self.sizes[mark] = {end: sorted(sizes, reverse=True) for end, sizes in ends.items()}
         self.near: dict[str, dict[str, list[int]]] = {mark: {} for mark in self.tokens}
+        marks = ("", self.mark)
+        self.endings = Endings(
+            tuple(self.tokens[mark] for mark in marks), lambda kind, before, token: self._stays(before, token + marks[kind])
+        )
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """What stands at the left (0) or right (1) edge of a token while it is
@@ -174,8 +301,23 @@ class PrefixCounter:
 
         return last
 
-    def _along(self, words: list[str]) -> dict[str, list[int]]:
-        """Tokens of each prefix of some words, by code points.
+    def _along(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Tokens of each prefix of some words, by code points, as the bytes of
+        an array."""
+        coded = [(word, word.encode()) for word in words]
+        out = self._along_long([word for word, code in coded if len(code) > SHORT])
+        coded = [(word, code) for word, code in coded if 0 < len(code) <= SHORT]
+        for low in range(0, len(coded), AT_ONCE // SHORT):
+            part = coded[low : low + AT_ONCE // SHORT]
+            steps, start = self.endings.counts([code for _, code in part]).tobytes(), 0
+            for word, _ in part:
+                stop = start + _WIDTH * len(word)
+                out[word] = steps[start:stop]
+                start = stop
+        return out
+
+    def _along_long(self, words: list[str]) -> dict[str, bytes]:
+        """:meth:`_along` of long words, letter by letter.
 
         Words are taken in order, so that what two neighbours begin with in
         common is worked out once.
@@ -202,42 +344,40 @@ class PrefixCounter:
                 ended.append(counts[end - len(ending(letters, end, lasts))] + 1)
             held = letters
             if len(word) == len(letters):
-                out[word] = ended[1:]
+                out[word] = array("i", ended[1:]).tobytes()
             else:
-                out[word] = [ended[k] for k in accumulate(len(c.encode()) for c in word)]
+                out[word] = array("i", [ended[k] for k in accumulate(len(c.encode()) for c in word)]).tobytes()
         return out
 
-    def _learn(self, found: set[str]) -> dict[str, tuple[bytes, int]]:
+    def _learn(self, found: set[str]) -> dict[str, bytes]:
         """Counts along pieces: words with the white space behind them.
 
         Short ones are remembered, and those in use longer than others."""
-        ends, learned = {}, {}
-        for piece in found:
-            if piece in self.known:
-                continue
-            if piece in self.older:
-                self.known[piece] = self.older[piece]
+        known, older, ends, along, learned = self.known, self.older, {}, {}, {}
+        for piece in found.difference(known):
+            if piece in older:
+                known[piece] = older[piece]
                 continue
             held = self.word.match(piece)
-            ends[piece] = held.end() if held else 0
-        along = self._along({p[:end] for p, end in ends.items() if end and p[:end] not in self.literals})
+            end = ends[piece] = held.end() if held else 0
+            word = piece[:end]
+            # Often the word is known, but with other white space behind it.
+            steps = known.get(word) or known.get(word + " ")
+            if steps and end:
+                along[word] = steps[: _WIDTH * end]
+        new = {p[:end] for p, end in ends.items() if end}
+        along |= self._along(new.difference(self.literals, along))
         for piece, end in ends.items():
-            kept = self.known if len(piece) <= MEMORABLE else learned
+            kept = known if len(piece) <= MEMORABLE else learned
             kept[piece] = self._padded(piece, end, along)
         return learned
 
-    def _padded(self, piece: str, end: int, along: dict[str, list[int]]) -> tuple[bytes, int]:
+    def _padded(self, piece: str, end: int, along: dict[str, bytes]) -> bytes:
         word = piece[:end]
         if not word:
-            steps = [0] * len(piece)
-        elif word in self.literals:
-            # A shorter string is not this word cut short, but other words.
-            steps = [int(self.text(word[:k])[-1]) for k in range(1, end)] + self._along([word])[word][-1:]
-        else:
-            steps = along[word]
-        if len(piece) > end > 0:
-            steps = steps + steps[-1:] * (len(piece) - end)
-        return array("i", steps).tobytes(), steps[-1] if steps else 0
+            return bytes(_WIDTH * len(piece))
+        steps = self.fixed[word] if word in self.literals else along[word]
+        return steps + steps[-_WIDTH:] * (len(piece) - end)
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts along a text that is in normal form."""
@@ -248,16 +388,15 @@ class PrefixCounter:
             stops = [start for start, _ in words[1:]] + [len(text)]
             along = self._along({text[start:end] for start, end in words} - self.literals)
             head = text[: words[0][0]] if words else text
-            parts, found = [head], [self._padded(head, 0, along)]
+            found = [self._padded(head, 0, along)]
             for (start, end), stop in zip(words, stops):
-                parts.append(text[start:stop])
-                found.append(self._padded(parts[-1], end - start, along))
-            return self._joined(parts, found)
+                found.append(self._padded(text[start:stop], end - start, along))
+            return self._joined(found)
         return self._of_parts(self.cut.findall(text))
 
     def _of_parts(self, parts: list[str]) -> np.ndarray:
         long = self._learn(set(parts))
-        out = self._joined(parts, [self.known.get(p) or long[p] for p in parts])
+        out = self._joined([self.known.get(p) or long[p] for p in parts])
         self._forget()
         return out
 
@@ -269,11 +408,12 @@ class PrefixCounter:
                 table.clear()
 
     @staticmethod
-    def _joined(parts: list[str], found: list[tuple[bytes, int]]) -> np.ndarray:
-        totals = np.fromiter((f[1] for f in found), _STEPS, len(found))
-        before = np.cumsum(totals, dtype=_STEPS) - totals
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.frombuffer(b"".join([f[0] for f in found]), _STEPS) + np.repeat(before, sizes)
+    def _joined(found: list[bytes]) -> np.ndarray:
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // _WIDTH
+        out = np.frombuffer(b"".join(found), _STEPS)
+        sizes = sizes[sizes > 0]
+        totals = out[np.cumsum(sizes) - 1]
+        return out + np.repeat(np.cumsum(totals, dtype=_STEPS) - totals, sizes)
 
     def _unmarked(self, text: str) -> np.ndarray:
         """Counts along a text in which special strings are ordinary."""
@@ -313,9 +453,11 @@ class PrefixCounter:
                 parts[k] = self.cut.findall(text.replace("Σ", "σ").lower())
                 found.update(parts[k])
         long, known = self._learn(found), self.known
-        out = [self._joined(p, [known.get(x) or long[x] for x in p]) for p in parts.values()]
+        known.update(long)  # until all are looked up
+        out = iter([self._joined(list(map(known.__getitem__, p))) for p in parts.values()])
+        for piece in long:
+            del known[piece]
         self._forget()
-        out = iter(out)
         return [next(out) if k in parts else self.text(text) for k, text in enumerate(texts)]
 
     def text(self, text: str) -> np.ndarray:
